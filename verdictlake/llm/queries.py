@@ -49,6 +49,13 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_texts
+
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), held_out=held_out)
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
