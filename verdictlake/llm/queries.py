@@ -49,6 +49,12 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import shared_passages
+
+    return shared_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_texts
 
