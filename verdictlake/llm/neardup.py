@@ -16,10 +16,10 @@ from .components import connected_components
 
 #: Bits of a signature's symbol.
 SYMBOL_BITS = 16
-#: Pairs to check are broadcast up to this many, and joined by a shuffle beyond.
-BROADCAST_PAIRS = 1_000_000
-#: Members of a centre, or rows of a bucket, that one task compares at once.
-BLOCK = 2048
+#: Places of nodes in blocks are broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_PAIRS = 100_000
+#: Nodes, and shingles of all of them, that a block holds about.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 #: Shingles hashed at once.
 HASH_ROWS = 16384
 
@@ -113,138 +113,132 @@ def _keyed(classes: DataFrame, symbols: int, parts: list[tuple[int, int]]) -> Da
     return classes.select("node", "sig").mapInArrow(run, schema)
 
 
-def _near(pairs: DataFrame, classes: DataFrame, symbols: int, bound: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose signatures differ in `bound` symbols at most and whose sizes allow the similarity."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}"))
-    wide = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+def _links(sets: list[np.ndarray], sigs: np.ndarray, labels: np.ndarray, first: int, bound: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join components: rows from `first` on are held against all rows before them and not in their component.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, symbols) for c in ("s_a", "s_b")]
-            near = (s[0] != s[1]).sum(axis=1) <= bound
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    return wide.select("a", "b", "s_a", "s_b").mapInArrow(run, pairs.schema)
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, *, text: str, doc_id: str, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b): pairs whose full shingle sets have den * intersection >= num * union.  pairs is a written table.
-
-    The texts of a centre's members go to it in blocks, the centre's own text to each block, and a task holds one centre's
-    set and one batch of members.
+    Signatures pass only pairs within the distance bound; full sets decide.  A row that has joined a component isn't held
+    against the rest of it, so the work shrinks as components grow, and fewer links than rows are given.
+    """
+    out: list[tuple[int, int]] = []
+    sizes = np.array([len(s) for s in sets])
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    seen = np.zeros(len(vocabulary), bool)
+    for i in range(max(first, 1), len(sets)):
+        n = sizes[:i]
+        other = np.flatnonzero((labels[:i] != labels[i]) & (np.minimum(n, sizes[i]) * den >= np.maximum(n, sizes[i]) * num))
+        other = other[(sigs[other] != sigs[i]).sum(axis=1) <= bound]
+        if not len(other):
+            continue
+        own = ids[ends[i] - sizes[i] : ends[i]]
+        seen[own] = True
+        flat = np.concatenate([ids[ends[j] - sizes[j] : ends[j]] for j in other])
+        both = np.add.reduceat(seen[flat].astype(np.int64), np.cumsum(sizes[other]) - sizes[other])
+        seen[own] = False
+        for j in other[den * both >= num * (sizes[other] + sizes[i] - both)]:
+            if labels[j] != labels[i]:
+                out.append((int(j), i))
+                labels[labels == labels[j]] = labels[i]
+    return out
+
+
+def family_links(rows: DataFrame, docs: DataFrame, *, text: str, doc_id: str, k: int, num: int, den: int, symbols: int, bound: int) -> DataFrame:
+    """Links (a, b) inside blocks.  rows: centre, block, role, id, component, sig; a written table.
+
+    Rows of role 0 are held against each other, unless there are rows of role 1; then only those are held against the
+    former.  Texts are sent to their blocks; a block is bounded in rows and in shingles, and rows of role 1 pass through.
     """
-    n = pairs.count()
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    members = pairs.join(sizes, "a").select(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    centres = sizes.select(F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    wanted = materialize(members.unionByName(centres), "wanted")
+    kind = docs.schema[doc_id].dataType
     source = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    sent = source.join(F.broadcast(wanted) if n <= BROADCAST_PAIRS else wanted, "id")
+    sent = source.join(F.broadcast(rows) if rows.count() <= BROADCAST_PAIRS else rows, "id")
     dealt = sent.repartition("centre", "block").sortWithinPartitions("centre", "block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, []
+        now = None
+        base: list[tuple] = []
+        probes: list[tuple] = []
+        probed = False
+        found: list[tuple] = []
+        like = None
+
+        def compare() -> None:
+            nonlocal probes, probed
+            held = base + probes
+            if base and len(held) > 1 and (probes or not probed):
+                names = {c: i for i, c in enumerate(dict.fromkeys(h[3] for h in held))}
+                labels = np.array([names[h[3]] for h in held])
+                sigs = np.frombuffer(b"".join(h[2] for h in held), np.uint16).reshape(-1, symbols)
+                for i, j in _links([h[1] for h in held], sigs, labels, len(base) if probes else 0, bound, num, den):
+                    found.append((held[i][0], held[j][0]))
+            probes = []
+
         for batch in batches:
+            like = batch.schema.field("id").type
             for step in steps(batch, "text"):
                 sets = sets_of(texts_of(step, "text"), k)
-                centre, block, role, ids = (step.column(c).to_pylist() for c in ("centre", "block", "role", "id"))
-                hit = []
-                for i, s in enumerate(sets):
-                    if (centre[i], block[i]) != now:
-                        now, own = (centre[i], block[i]), []
-                    if role[i] == 0:
-                        own.append(s)
+                columns = (step.column(c).to_pylist() for c in ("centre", "block", "role", "id", "sig", "component"))
+                for s, centre, block, role, who, sig, component in zip(sets, *columns, strict=True):
+                    if (centre, block) != now:
+                        compare()
+                        now, base, probed = (centre, block), [], False
+                    if not len(s):
                         continue
-                    for o in own:
-                        both = len(np.intersect1d(o, s, assume_unique=True))
-                        if len(s) and den * both >= num * (len(o) + len(s) - both):
-                            hit.append((centre[i], ids[i]))
-                            break
-                if hit:
-                    yield pa.RecordBatch.from_pydict({"a": pa.array([h[0] for h in hit], step.schema.field("id").type), "b": pa.array([h[1] for h in hit], step.schema.field("id").type)})
-
-    return dealt.select("centre", "block", "role", "id", "text").mapInArrow(run, pairs.schema)
-
-
-def _across(buckets: DataFrame, symbols: int, bound: int, num: int, den: int, kind: T.DataType) -> DataFrame:
-    """Near pairs (a, b) from different components in each bucket (key, node, n, sig, component), in blocks of bounded size."""
-    sizes = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    spread = buckets.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = spread.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-    def compare(rows: list[tuple], out: list[tuple]) -> None:
-        if len(rows) < 2:
-            return
-        sigs = np.frombuffer(b"".join(r[2] for r in rows), np.uint16).reshape(-1, symbols)
-        n = np.array([r[1] for r in rows])
-        comp = np.array([r[3] for r in rows])
-        side = np.array([r[4] for r in rows])
-        split = rows[0][5]
-        for i in range(len(rows) - 1):
-            ok = (comp[i + 1 :] != comp[i]) & (np.minimum(n[i + 1 :], n[i]) * den >= np.maximum(n[i + 1 :], n[i]) * num)
-            if split:
-                ok &= side[i + 1 :] != side[i]
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                at = at[(sigs[at] != sigs[i]).sum(axis=1) <= bound]
-                out += [(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for j in at]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out, like = None, [], [], None
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal out
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in out], like), "b": pa.array([p[1] for p in out], like)})
-                out = []
-        for batch in batches:
-            like = batch.schema.field("node").type
-            for key, lo, hi, node, n, sig, comp, own in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "node", "n", "sig", "component", "own")), strict=True):
-                if (key, lo, hi) != now:
-                    compare(held, out)
-                    now, held = (key, lo, hi), []
-                    if len(out) > 10_000:
-                        yield from flush()
-                held.append((node, n, sig, comp, own, lo != hi))
-        compare(held, out)
-        yield from flush()
+                    if role == 0:
+                        base.append((who, s, sig, component))
+                    else:
+                        probed = True
+                        probes.append((who, s, sig, component))
+                        if len(probes) >= BLOCK:
+                            compare()
+                if len(found) > 10_000:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], like), "b": pa.array([f[1] for f in found], like)})
+                    found = []
+        compare()
+        if found:
+            yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], like), "b": pa.array([f[1] for f in found], like)})
 
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    return dealt.select("key", "lo", "hi", "node", "n", "sig", "component", "own").mapInArrow(run, schema)
+    return dealt.select("centre", "block", "role", "id", "component", "sig", "text").mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", k: int = 3, num: int = 85, den: int = 100, symbols: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row: documents linked where den * |A and B| >= num * |A or B|.
 
     A and B are sets of k-word shingles of the lower-cased texts.  Equal sets are one node, so copies are never paired.
-    Nodes meet in buckets by the index keys of their signatures: every pair within the distance bound shares one.  In each
-    bucket all nodes are held against centres, taken in four orders; buckets that then still hold several components have
-    every pair across them compared, in blocks.  Full sets confirm each link.  component_id is the smallest id reachable.
+    Nodes meet in buckets by the index keys of their signatures: every pair within the distance bound shares one.  Buckets
+    with the same smallest node form its family.  Families are cut into blocks; inside a block every pair that isn't in one
+    component yet is held together by signature and then by full sets.  Where a family has several blocks and components,
+    the nodes outside its largest component are then held against its other blocks.  So every pair of a bucket is decided,
+    and what is written is fewer links than nodes.  component_id is the smallest id reachable.
     Rows with equal ids are one document; a null id takes no part and is kept with a null component; empty texts are alone.
     """
     bound = distance_bound(symbols, num / den)
     parts = chunks(symbols, bound)
-    kind = docs.schema[doc_id].dataType
     described = materialize(describe(docs, text=text, doc_id=doc_id, k=k, symbols=symbols), "signatures")
     classes = described.filter("id IS NOT NULL AND n > 0").groupBy("set_id").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
     keyed = _keyed(classes, symbols, parts)
-    orders = F.pmod("key", F.lit(4))
-    seeded = F.when(orders == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("node", orders))
-    centres = materialize(keyed.groupBy("key").agg(F.min(F.struct(seeded.alias("o"), F.col("node").alias("node"))).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("m.node").alias("centre")), "centres")
-    buckets = materialize(keyed.join(centres, "key"), "buckets")
-    pairs = buckets.filter("centre <> node").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    near = materialize(_near(pairs, classes, symbols, bound, num, den), "near")
-    check = dict(text=text, doc_id=doc_id, k=k, num=num, den=den)
-    links = materialize(confirm(near, docs, **check), "links")
+    centres = materialize(keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "centre"), "centres")
+    pairs = keyed.join(centres, "key").select("centre", "node").distinct()
+    members = materialize(pairs.join(classes.select("node", "n", "sig"), "node"), "members")
+    sizes = members.groupBy("centre").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).filter("m > 1")
+    sizes = materialize(sizes.select("centre", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long").alias("blocks")), "families")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    placed = materialize(members.join(sizes, "centre").select("centre", own.alias("block"), "blocks", F.col("node").alias("id"), "sig"), "placed")
+    how = dict(text=text, doc_id=doc_id, k=k, num=num, den=den, symbols=symbols, bound=bound)
+    first = materialize(placed.select("centre", "block", F.lit(0).alias("role"), "id", F.col("id").alias("component"), "sig"), "blocks")
+    links = materialize(family_links(first, docs, **how), "links")
     components = materialize(connected_components(links), "components")
-    labelled = buckets.select("key", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    mixed = materialize(mixed, "mixed")
-    open_ = materialize(labelled.join(mixed, "key").join(classes.select("node", "n", "sig"), "node"), "open")
-    more = materialize(_across(open_, symbols, bound, num, den, kind).distinct().join(near, ["a", "b"], "left_anti"), "across")
-    if more.limit(1).count():
-        found = materialize(confirm(more, docs, **check), "links")
+    wide = placed.filter("blocks > 1")
+    if wide.limit(1).count():
+        wide = materialize(wide.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "wide")
+        largest = wide.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("centre").agg(F.max_by("component", F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        largest = materialize(largest.select("centre", "most"), "largest")
+        open_ = wide.join(largest, "centre")
+        probes = open_.filter("component <> most").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("to <> block")
+        columns = ["id", "component", "sig"]
+        second = open_.select("centre", "block", F.lit(0).alias("role"), *columns).unionByName(probes.select("centre", F.col("to").alias("block"), F.lit(1).alias("role"), *columns))
+        found = materialize(family_links(materialize(second, "blocks"), docs, **how), "links")
         if found.limit(1).count():
             components = materialize(connected_components(links.unionByName(found)), "components")
     of_set = classes.join(components, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
