@@ -8,10 +8,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, materialize
 
 #: One draw has this mean at most; larger means are sums of independent draws, so a row is exploded in steps.
 MEAN_PER_DRAW = 8.0
+#: Sources whose rates are broadcast.
+BROADCAST_SOURCES = 50_000
 #: Terms of the inverted distribution function; at a mean of 8 the rest is below 1e-16.
 TERMS = 48
 
@@ -28,7 +30,7 @@ def source_rates(docs: DataFrame, source: str, weights: Mapping[str, float] | No
     weights gives each source's share of the output; sources it doesn't name are left out.  Without it a source's share
     is n ** alpha over the sum of all.  The output has about epochs times the rows of the input.
     """
-    # a null source is a source of its own; salting isn't needed, as counts combine before the shuffle
+    # a null source is a source of its own; counts combine before the shuffle, so a hot source costs nothing
     n = docs.groupBy(F.col(f"`{source}`").alias("__source")).agg(F.count(F.lit(1)).alias("__n"))
     if weights is None:
         mass = F.pow(F.col("__n").cast("double"), F.lit(alpha))
@@ -38,10 +40,10 @@ def source_rates(docs: DataFrame, source: str, weights: Mapping[str, float] | No
             if not (math.isfinite(w) and w >= 0):
                 raise ValueError(f"weight of {name!r} is {w}")
             mass = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(mass)
-    n = n.withColumn("__mass", mass)
-    total = n.agg(F.sum("__n").alias("__all"), F.sum("__mass").alias("__all_mass"))
-    rate = F.lit(float(epochs)) * F.col("__all") * F.col("__mass") / F.col("__all_mass") / F.col("__n")
-    return n.crossJoin(F.broadcast(total)).select("__source", F.coalesce(F.round(rate, 9), F.lit(0.0)).alias("__rate"))
+    n = materialize(n.withColumn("__mass", mass), "sources")
+    rows, whole = n.agg(F.sum("__n"), F.sum("__mass")).first()
+    rate = F.lit(float(epochs)) * F.lit(rows or 0) * F.col("__mass") / F.lit(whole or 1.0) / F.col("__n")
+    return n.select("__source", F.coalesce(F.round(rate, 9), F.lit(0.0)).alias("__rate"))
 
 
 def mix_sources(
@@ -70,7 +72,8 @@ def mix_sources(
     rates = source_rates(docs, source, weights, alpha, epochs)
     src, rate, draw, step, order = (free_name(docs, x) for x in ("__src", "__rt", "__draw", "__step", "__order"))
     rates = rates.withColumnsRenamed({"__source": src, "__rate": rate})
-    # the rate table has a row for each source; Spark broadcasts it only under its size threshold and else splits skewed sources
+    if rates.count() <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)  # else rows are shuffled by source, and AQE splits a hot one
     rows = docs.join(rates, F.col(f"`{source}`").eqNullSafe(F.col(src)), "inner").filter(F.col(rate) > 0)
     draws = F.greatest(F.lit(1), F.ceil(F.col(rate) / MEAN_PER_DRAW)).cast("long")
     rows = rows.withColumn(draw, F.explode(F.sequence(F.lit(0).cast("long"), draws - 1)))
