@@ -417,14 +417,14 @@ def greedy_capped_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount * 400 AS d, l_tax * 500 AS t FROM lineitem), n AS (SELECT *, (q + d + t) / 3 AS m FROM s), z AS (SELECT *, sqrt(((q - m) * (q - m) + (d - m) * (d - m) + (t - m) * (t - m)) / 3) AS sd FROM n), k AS (SELECT l_orderkey, l_linenumber, round((q - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS a, round((d - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS b, round((t - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS c FROM z)
-SELECT l_orderkey, l_linenumber, CASE WHEN a = greatest(a, b, c) THEN 'COMPLETE' WHEN b = greatest(a, b, c) THEN 'DENIAL' ELSE 'EVASIVE' END AS label, round(greatest(a, b, c) - (a + b + c - greatest(a, b, c) - least(a, b, c)), 4) AS margin FROM k""")
+SELECT l_orderkey, l_linenumber, CASE WHEN a = greatest(a, b, c) THEN 'COMPLETE' WHEN b = greatest(a, b, c) THEN 'DENIAL' ELSE 'EVASIVE' END AS label, round(greatest(a, b, c) - (a + b + c - greatest(a, b, c) - least(a, b, c)), 6) AS margin FROM k""")
 def score_normalise_argmax(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), (F.col("l_discount") * 400).alias("d"), (F.col("l_tax") * 500).alias("t"))
     z = scores.normalize([F.col(c) for c in "qdt"], "z")
     rows = rows.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(n) for c, n in zip(z, "abc", strict=True)])
     three = [F.col(c) for c in "abc"]
     rest = F.col("a") + F.col("b") + F.col("c") - F.greatest(*three) - F.least(*three)
-    return rows.select("l_orderkey", "l_linenumber", scores.argmax(three).alias("label"), F.round(F.greatest(*three) - rest, 4).alias("margin"))
+    return rows.select("l_orderkey", "l_linenumber", scores.argmax(three).alias("label"), F.round(F.greatest(*three) - rest, 6).alias("margin"))
 
 
 @query(f"""{JOINED}, p AS (SELECT doc_id, lang, expected, (n_chars % 97) / 97.0 AS x, (n_chars % 89) / 89.0 AS y, (n_chars % 83) / 83.0 AS z FROM joined), g AS (SELECT a.i * 9 + b.i AS n, -1.0 + a.i * 0.25 AS cb, -1.0 + b.i * 0.25 AS eb FROM range(9) a(i) CROSS JOIN range(9) b(i)),
