@@ -17,6 +17,9 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Text handled by one NumPy step inside an Arrow batch; a single longer text makes a step of its own.
 STEP_BYTES = 8 << 20
+#: Rows that Spark hands to Python at once while a table is written: texts are long, so fewer than its default.
+ARROW_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,7 +35,12 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    former = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, ARROW_ROWS)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, former)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
@@ -75,6 +83,7 @@ def steps(batch: pa.RecordBatch, text: str, most: int = STEP_BYTES) -> Iterator[
         before = ends[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(lo, hi - lo)
+        pa.default_memory_pool().release_unused()
         lo = hi
 
 

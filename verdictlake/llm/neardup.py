@@ -19,7 +19,9 @@ SYMBOL_BITS = 16
 #: Places of nodes in blocks are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_PAIRS = 100_000
 #: Nodes, and shingles of all of them, that a block holds about.
-BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Text turned into shingles at once.
+STEP = 2 << 20
 #: Shingles hashed at once.
 HASH_ROWS = 16384
 
@@ -86,7 +88,7 @@ def describe(docs: DataFrame, *, text: str, doc_id: str, k: int, symbols: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in steps(batch, text):
+            for step in steps(batch, text, STEP):
                 sets = sets_of(texts_of(step, text), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sigs: list[bytes | None] = [None] * len(sets)
@@ -174,7 +176,7 @@ def family_links(rows: DataFrame, docs: DataFrame, *, text: str, doc_id: str, k:
 
         for batch in batches:
             like = batch.schema.field("id").type
-            for step in steps(batch, "text"):
+            for step in steps(batch, "text", STEP):
                 sets = sets_of(texts_of(step, "text"), k)
                 columns = (step.column(c).to_pylist() for c in ("centre", "block", "role", "id", "sig", "component"))
                 for s, centre, block, role, who, sig, component in zip(sets, *columns, strict=True):
