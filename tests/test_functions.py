@@ -134,3 +134,18 @@ def test_diversity(spark):
     r = frame.select(X.root_ttr(F.col("w")).alias("a"), X.maas(F.col("w")).alias("b"), X.entropy_bits(F.array(*[F.lit(float(n)) for n in Counter(w).values()])).alias("c")).first()
     assert math.isclose(r.a, 3 / math.sqrt(5)) and math.isclose(r.b, (math.log(5) - math.log(3)) / math.log(5) ** 2)
     assert math.isclose(r.c, -sum(n / 5 * math.log2(n / 5) for n in (2, 2, 1)))
+
+
+def test_reasoning_summary(spark):
+    from verdictlake.functions.status import reasoning_summary
+
+    shapes = [
+        {"provider": "p", "choices": [{"finish_reason": "stop", "message": {"content": "abc", "reasoning": "hm", "reasoning_details": [{"a": 1}, {"b": 2}]}}], "usage": {"completion_tokens_details": {"reasoning_tokens": 7}}},
+        {"stop_reason": "end_turn", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "redacted_thinking", "data": "x"}, {"type": "text", "text": "abcd"}]},
+        {"choices": [{"finish_reason": "stop", "message": {"content": ""}}]},
+    ]
+    frame = spark.createDataFrame([(i, json.dumps(s)) for i, s in enumerate(shapes)], "i int, r string")
+    a, b, c = [x.s for x in frame.orderBy("i").select(reasoning_summary(Response(F.col("r"), F.lit("m"))).alias("s")).collect()]
+    assert (a.content_chars, a.reasoning_detail_count, a.reasoning_tokens, a.has_reasoning_text, a.reasoning_present) == (3, 2, 7, True, True)
+    assert (b.finish_reason, b.content_chars, b.reasoning_detail_count, b.has_reasoning_text, b.has_reasoning_details) == ("end_turn", 4, 2, True, True)
+    assert (c.has_content, c.reasoning_present, c.reasoning_detail_count) == (False, False, 0)

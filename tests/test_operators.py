@@ -167,3 +167,24 @@ def test_follow_judges_only_what_is_new(spark, tmp_path):
     run()
     got = sorted((r.id, r.ts, r.label) for r in spark.read.parquet(sink).collect())
     assert got == [("1", "a", "X"), ("2", "a", "Y"), ("2", "b", "Z"), ("3", "a", "W")]
+
+
+def test_staged_sample_keeps_caps_and_strata_apart(spark):
+    r = random.Random(5)
+    rows = [(f"k{i}", f"q{r.randint(0, 39)}", f"m{r.randint(0, 9)}", ("COMPLETE", "DENIAL", "EVASIVE")[r.randint(0, 2)], r.random()) for i in range(600)]
+    frame = spark.createDataFrame(rows, "key string, question string, model string, label string, w double")
+    stages = [sampling.Stage("random", x, F.col("label") == x, F.lit(1.0), 20) for x in ("COMPLETE", "DENIAL", "EVASIVE")] + [sampling.Stage("tail", "heavy", F.col("w") > 0.5, F.col("w"), 30)]
+    got = sampling.staged_sample(frame, stages, key="key", question="question", model="model", question_cap=3, model_fraction=0.1).collect()
+    assert Counter((x.stratum, x.component) for x in got) == {("random", "COMPLETE"): 20, ("random", "DENIAL"): 20, ("random", "EVASIVE"): 20, ("tail", "heavy"): 30}
+    assert len({x.key for x in got}) == 90 and max(Counter(x.question for x in got).values()) <= 3
+    assert max(Counter(x.model for x in got if x.stratum == "random").values()) <= 8
+    for x in got:
+        assert math.isclose(x.sampling_weight, x.frame / (30 if x.stratum == "tail" else 20))
+    again = sampling.staged_sample(frame.repartition(5), stages, key="key", question="question", model="model", question_cap=3, model_fraction=0.1).collect()
+    assert {x.key for x in again} == {x.key for x in got}
+
+
+def test_greedy_selection_where_one_cap_blocks_another(spark):
+    rows = [(i, "q0", "m0", float(i)) for i in range(50)] + [(50 + i, "q1", f"m{i % 2}", 50.0 + i) for i in range(10)]
+    got = sampling.select_capped(spark.createDataFrame(rows, "id int, q string, m string, o double"), [F.col("o")], {"m": 4, "q": 2}, 6, "id").orderBy("pick").collect()
+    assert [x.id for x in got] == [0, 1, 50, 51]

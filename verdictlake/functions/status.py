@@ -144,6 +144,28 @@ class Response:
         return rules.when(self.text() == "", pair("missing_content", "missing_final_content")).otherwise(pair("success", F.concat_ws(";", F.when(finish.isNotNull(), named), native_named)))
 
 
+def reasoning_summary(r: Response) -> Column:
+    """Struct of what a response's payload holds of content and reasoning."""
+    plain = r.at("$.choices[0].message.content")
+    blocks = F.from_json(r.at("$.content"), "array<struct<type:string,text:string,thinking:string,data:string,redacted_thinking:string>>")
+    of = lambda *types: F.coalesce(F.filter(blocks, lambda b: b["type"].isin(*types)), F.array().cast("array<struct<type:string,text:string,thinking:string,data:string,redacted_thinking:string>>"))
+    block_chars = F.aggregate(of("text"), F.lit(0), lambda a, b: a + F.length(F.coalesce(b["text"], F.lit(""))))
+    details = r.at("$.choices[0].message.reasoning_details")
+    listed = F.size(F.from_json(details, "array<string>"))
+    n_details = F.when(details.rlike(r"^\s*\["), listed).when(details.isNotNull() & ~details.isin("", "{}"), 1).otherwise(0) + F.size(of("thinking", "redacted_thinking"))
+    thought = F.exists(of("thinking"), lambda b: F.trim(F.coalesce(b["thinking"], b["text"], F.lit(""))) != "")
+    hidden = F.exists(of("redacted_thinking"), lambda b: F.coalesce(b["data"], b["redacted_thinking"], F.lit("")) != "")
+    has_text = (F.coalesce(r.at("$.choices[0].message.reasoning"), F.lit("")) != "") | thought
+    has_details = F.coalesce(F.when(details.rlike(r"^\s*\["), listed > 0).otherwise(details.isNotNull() & ~details.isin("", "{}")), F.lit(False)) | hidden
+    tokens = F.try_to_number(r.at("$.usage.completion_tokens_details.reasoning_tokens"), F.lit("999999999999")).cast("long")
+    chars = F.when(block_chars > 0, block_chars).otherwise(F.coalesce(F.length(plain), F.lit(0)))
+    return F.struct(
+        r.at("$.provider").alias("provider"), r.at("$.model").alias("response_model"), F.coalesce(r.at("$.choices[0].finish_reason"), r.at("$.stop_reason")).alias("finish_reason"),
+        F.coalesce(r.at("$.error"), r.at("$.choices[0].error")).alias("error"), (chars > 0).alias("has_content"), chars.alias("content_chars"), has_text.alias("has_reasoning_text"),
+        has_details.alias("has_reasoning_details"), n_details.alias("reasoning_detail_count"), tokens.alias("reasoning_tokens"), (has_text | has_details | F.coalesce(tokens != 0, F.lit(False))).alias("reasoning_present"),
+    )
+
+
 def finish_status(reason: Column) -> Column:
     """The status that one finish reason stands for."""
     return F.when(reason.isin(*MODERATION), "moderation").when(reason.isin(*TRUNCATION), "truncation").when(reason.isin(*PROVIDER_ERROR), "provider_error").when(reason.isin(*METADATA_ERROR), "metadata_error").when(reason.isin(*SUCCESS), "success").otherwise("unknown_metadata")

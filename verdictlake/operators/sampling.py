@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,29 +38,90 @@ def weighted_sample(rows: DataFrame, weight: Column, n: int, salt: str, *keys: s
     return rows.withColumn("_k", weighted_key(weight, salt, *[F.col(k) for k in keys])).orderBy("_k", *keys).limit(n).drop("_k")
 
 
-def select_capped(candidates: DataFrame, order: Sequence[Column], caps: dict[str, int], target: int, key: str) -> DataFrame:
-    """Greedy selection in order under caps by column.
+def _greedy(candidates: DataFrame, order: Sequence[Column], caps: dict[str, int], target: int, key: str, used: dict[str, dict]) -> list:
+    """Keys taken in order under caps; used counts what was taken before, and is brought up to date.
 
-    A row is taken if, among rows taken before it, its value of each capped column still has room.  This depends on the
-    order and so goes over candidates one by one; only rows that could still be taken come to the driver: of each capped
-    value no more than `target` rows, in order, and of those only the key and the capped columns.
+    Rows that agree in all capped columns are alike to the caps, and counts only grow: once one of them is refused, all
+    later ones are.  So of each combination no more rows than the least cap are looked at.  They are streamed to the
+    driver in order, without their other columns, until the target is reached.
     """
-    thin = candidates.select(key, *caps, *[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    first = next(iter(caps))
-    w = Window.partitionBy(first).orderBy(*[f"_o{i}" for i in range(len(order))], key)
-    thin = thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= target)
-    taken, used = [], {c: {} for c in caps}
-    for row in thin.orderBy(*[f"_o{i}" for i in range(len(order))], key).toLocalIterator():
+    o = [f"_o{i}" for i in range(len(order))]
+    thin = candidates.select(key, *caps, *[c.alias(n) for c, n in zip(order, o, strict=True)])
+    w = Window.partitionBy(*caps).orderBy(*o, key)
+    thin = thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= min(target, *caps.values()))
+    taken: list = []
+    for row in thin.orderBy(*o, key).toLocalIterator():
         if len(taken) >= target:
             break
         if all(used[c].get(row[c], 0) < cap for c, cap in caps.items()):
             for c in caps:
                 used[c][row[c]] = used[c].get(row[c], 0) + 1
-            taken.append((row[key], len(taken) + 1))
-    picked = candidates.sparkSession.createDataFrame(taken, f"{key} {candidates.schema[key].dataType.simpleString()}, pick long")
+            taken.append(row[key])
+    return taken
+
+
+def select_capped(candidates: DataFrame, order: Sequence[Column], caps: dict[str, int], target: int, key: str) -> DataFrame:
+    """Greedy selection in order under caps by column, with the number of each pick."""
+    taken = _greedy(candidates, order, caps, target, key, {c: {} for c in caps})
+    picked = candidates.sparkSession.createDataFrame([(k, i + 1) for i, k in enumerate(taken)], f"{key} {candidates.schema[key].dataType.simpleString()}, pick long")
     return candidates.join(F.broadcast(picked), key)  # target rows at most
 
 
+@dataclass(frozen=True)
+class Stage:
+    """A step of a staged sample: rows `where`, in weighted order, up to `target`.
+
+    frame_size stands for the rows of the frame in weights where the frame isn't what is left at that step.
+    """
+
+    stratum: str
+    component: str
+    where: Column
+    weight: Column
+    target: int
+    frame_size: int | None = None
+
+
+def staged_sample(rows: DataFrame, stages: Sequence[Stage], *, key: str, question: str, model: str, question_cap: int = 4, model_fraction: float = 0.02, relax: bool = True) -> DataFrame:
+    """Stages draw one after another from what is left; with stratum, component, frame and sampling_weight.
+
+    The question cap counts over all strata, the model cap over a stratum: its share of the stratum's target, raised to
+    the least cap with which all models together reach it (M6).  A stage that falls short is filled once more without the
+    model cap.  Weights are frame over rows selected, by component (M8).
+    """
+    spark = rows.sparkSession
+    kind = rows.schema[key].dataType.simpleString()
+    targets: dict[str, int] = {}
+    for s in stages:
+        targets[s.stratum] = targets.get(s.stratum, 0) + s.target
+    questions: dict = {}
+    models: dict[str, dict] = {}
+    caps: dict[str, int] = {}
+    chosen: list[tuple] = []
+
+    def left() -> DataFrame:
+        gone = spark.createDataFrame([(c[0],) for c in chosen], f"{key} {kind}")
+        return rows.join(F.broadcast(gone), key, "left_anti")  # as many rows as the sample has
+
+    for s in stages:
+        frame = left().filter(s.where)
+        if s.stratum not in caps:
+            nominal = max(1, int(targets[s.stratum] * model_fraction)) if model_fraction > 0 else targets[s.stratum]
+            counts = left().groupBy(model).agg(F.count_distinct(key).alias("n"))
+            caps[s.stratum] = relaxed_cap(counts, "n", targets[s.stratum], nominal).first()["cap"] if relax else nominal
+        size = s.frame_size if s.frame_size is not None else frame.count()
+        used = {question: questions, model: models.setdefault(s.stratum, {})}
+        order = [weighted_key(s.weight, f"{s.stratum}|{s.component}", F.col(key))]
+        keys = _greedy(frame, order, {question: question_cap, model: caps[s.stratum]}, s.target, key, used)
+        chosen += [(k, s.stratum, s.component, size) for k in keys]
+        if relax and len(keys) < s.target:
+            again = [weighted_key(s.weight, f"{s.stratum}|{s.component}|relaxed", F.col(key))]
+            more = _greedy(left().filter(s.where), again, {question: question_cap, model: targets[s.stratum]}, s.target - len(keys), key, used)
+            chosen += [(k, s.stratum, s.component, size) for k in more]
+    picked = spark.createDataFrame(chosen, f"{key} {kind}, stratum string, component string, frame long")
+    return design_weights(rows.join(F.broadcast(picked), key), ["stratum", "component"], "frame")
+
+
 def relaxed_cap(counts: DataFrame, n: str, target: int, nominal: int) -> DataFrame:
     """M6: the least cap from the nominal one on with which all groups together reach the target; else the target."""
     caps = counts.sparkSession.range(nominal, max(nominal, target) + 1).withColumnRenamed("id", "cap")
