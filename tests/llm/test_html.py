@@ -45,3 +45,8 @@ def test_operator_keeps_rows_and_replaces_clashing_columns(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((r.page_id, r.text, r.n_chars) for r in out.collect()) == [(1, "Hello there, you.", 17)] * 2 + [(2, "", 0)]
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_layout_names_around_an_article_do_no_harm():
+    page = f"<body><div class='page with-sidebar'><article><h1>T</h1><p>{LONG}</p></article><div class='sidebar'>{LONG}</div><div id='comments'><article><p>{LONG}</p></article></div></div></body>"
+    assert main_text(page) == f"T\n\n{LONG.strip()}"

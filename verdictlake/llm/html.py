@@ -28,6 +28,8 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 # Words in class, id and role that name what stands around an article.
 AROUND_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|comment-?list|disqus|cookies?|consent|dialog|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|popup|promo\w*|recommend\w*|related|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|teaser|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])", re.I)
+# Those that name what no article is part of; layout names such as "with-sidebar" may stand around one.
+NEVER_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|comments?|comment-?list|disqus|cookies?|consent|newsletter|promo\w*|recommend\w*|related|sponsor\w*|teaser)(?:$|[\s_-])", re.I)
 HEAD_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?:$|[\s=/"'])|display\s*:\s*none""", re.I)
@@ -50,12 +52,12 @@ def nodes_of(page: str) -> list[Node]:
     out: list[Node] = []
     names: list[str] = []
     ids: list[int] = []
-    around: list[bool] = []
+    around: list[int] = []  # 0: may be article, 1: named as layout around it, 2: never part of it
     block = made = at = 0
 
     def text(lo: int, hi: int) -> None:
         if lo < hi and (t := page[lo:hi]) and (not t.isspace() or not out or out[-1].block == block):
-            out.append(Node(block, "/".join(names), tuple(ids), bool(around) and around[-1], entities.unescape(t)))
+            out.append(Node(block, "/".join(names), tuple(ids), bool(around) and around[-1] > 0, entities.unescape(t)))
 
     def close(depth: int) -> None:
         nonlocal block
@@ -101,14 +103,18 @@ def nodes_of(page: str) -> list[Node]:
             continue
         if attributes.endswith("/") and name not in BLOCK:
             continue
-        above = bool(around) and around[-1]
-        if not above:
+        above = around[-1] if around else 0
+        if above == 1 and name in ARTICLE:
+            above = 0
+        if above < 2:
             named = " ".join(v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)) if attributes else ""
             in_article = any(n in ARTICLE for n in names)
-            above = name in AROUND or name in HEAD_OF and not in_article
-            if named and name not in ARTICLE and name not in ("html", "body"):
-                above = above or bool(AROUND_WORDS.search(named)) or not in_article and bool(HEAD_WORDS.search(named))
-            above = above or bool(attributes and HIDDEN.search(attributes))
+            if name in AROUND or name in HEAD_OF and not in_article or attributes and HIDDEN.search(attributes):
+                above = 2
+            elif named and NEVER_WORDS.search(named) and name not in ("html", "body", "main"):
+                above = 2
+            elif named and name not in ARTICLE and name not in ("html", "body") and (AROUND_WORDS.search(named) or not in_article and HEAD_WORDS.search(named)):
+                above = max(above, 1)
         made += 1
         names.append(name)
         ids.append(made)
