@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, hash_words, materialize, mix64, shingle_hashes, steps, texts_of, token_rows
+from .common import hash_words, materialize, mix64, shingle_hashes, steps, texts_of, token_rows
 from .components import connected_components
 
 #: Bits of a signature's symbol.
@@ -250,4 +250,4 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-__all__ = ["chunks", "distance_bound", "free_name", "near_duplicates", "signatures"]
+__all__ = ["chunks", "distance_bound", "near_duplicates", "signatures"]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialize, split_flat, steps, texts_of
+from .common import materialize, split_flat, steps, texts_of
 
 #: Words that a worker keeps tokenised.
 KEPT_WORDS = 400_000
@@ -237,4 +237,4 @@ def pack(docs: DataFrame, *, vocabulary: str, text: str = "text", doc_id: str =
     return placed.select("doc_id", "start", ranked["length"], "ids", "doc_tokens", (F.col("seq") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
-__all__ = ["WordTokenizer", "combinations", "free_name", "nnls_counts", "pack", "plan"]
+__all__ = ["WordTokenizer", "combinations", "nnls_counts", "pack", "plan"]

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, free_name, let, without, words
+from .common import free_name, let, without, words
 
 #: Rows on which costs and rejections are estimated.
 SAMPLE_ROWS = 2000
@@ -197,4 +197,4 @@ def quality_cascade(docs: DataFrame, todo: list[Rule] | None = None, *, text: st
     return docs.withColumn("rejected_by", verdict)
 
 
-__all__ = ["SPACE", "Rule", "order_rules", "quality_cascade", "rules", "statistics"]
+__all__ = ["Rule", "order_rules", "quality_cascade", "rules", "statistics"]
