@@ -6,7 +6,7 @@ rollouts, conversations messages, embeddings classes, parts and suppliers offers
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -572,4 +572,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return accuracy_grouping_sets(spark, d)
 
 
-__all__ = ["QUERIES", "SQL", "Column", "flagship"]
+__all__ = ["QUERIES", "SQL", "flagship"]
