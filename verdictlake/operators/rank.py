@@ -7,34 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 
-def midrank_percentile(rows: DataFrame, value: str, alias: str) -> DataFrame:
-    """(rows below + half of equal rows) / rows, for every row.
 
-    Ranks are made on distinct values: counts of ranges of them are summed on the way, so no window holds all rows.
+def midrank_percentiles(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(rows below + half of equal rows) / rows for every row, of each value column under the name given to it.
+
+    Ranks are made on distinct values of all columns in one pass: counts of ranges of them are summed on the way, so no
+    window holds all rows, and the input is read twice however many columns there are.
     """
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = cumulative(counts, value, "_n").withColumn(alias, (F.col("_before") + 0.5 * F.col("_n")) / F.col("_all")).select(F.col(value).alias("_v"), alias)
-    return rows.join(ranked, F.col(value).eqNullSafe(F.col("_v")), "left").drop("_v")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("_m"), F.col(value).cast("double").alias("_v")) for value, name in columns.items()]))
+    counts = written(rows.select(each.alias("_s")).select("_s.*").groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
+    ranked = written(cumulative(counts, "_v", "_n", ("_m",)).select("_m", "_v", ((F.col("_before") + 0.5 * F.col("_n")) / F.col("_all")).alias("_p")), "value-ranks")
+    for value, name in columns.items():
+        own = ranked.filter(F.col("_m") == name).select(F.col("_v").alias(f"_{name}"), F.col("_p").alias(name))
+        rows = rows.join(own, F.col(value).cast("double").eqNullSafe(F.col(f"_{name}")), "left").drop(f"_{name}")
+    return rows
+
+
+def midrank_percentile(rows: DataFrame, value: str, alias: str) -> DataFrame:
+    """W2 of one column."""
+    return midrank_percentiles(rows, {value: alias})
 
 
-def cumulative(counts: DataFrame, value: str, n: str) -> DataFrame:
-    """Running count before each distinct value (_before) and the whole (_all).
+def cumulative(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()) -> DataFrame:
+    """Running count before each distinct value (_before) and the whole (_all), for each group of `by`, of which there are few.
 
     Values are cut into ranges by approximate quantiles; a small table of range sums gives each range its start, and a
     window runs inside each range only.
     """
-    kind = dict(counts.dtypes)[value]
-    if kind in ("string", "boolean") or kind.startswith("array"):
-        ranged = counts.withColumn("_range", F.lit(0))
-    else:
-        cuts = counts.agg(F.percentile_approx(F.col(value).cast("double"), [i / 64 for i in range(1, 64)], 10_000).alias("q"))
-        ranged = counts.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter(F.array_distinct(F.coalesce("q", F.array().cast("array<double>"))), lambda c: c < F.col(value).cast("double")))).drop("q")
-    sums = ranged.groupBy("_range").agg(F.sum(n).alias("_s"))  # 64 rows at most
-    start = Window.partitionBy(F.lit(0)).orderBy("_range")
-    starts = sums.withColumn("_start", F.sum("_s").over(start.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("_s").over(Window.partitionBy(F.lit(0)))).select("_range", F.coalesce("_start", F.lit(0)).alias("_start"), "_all")
-    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(starts), "_range").withColumn("_before", F.col("_start") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("_start", "_range")
+    by = list(by) or ["_one"]
+    counts = counts.withColumn("_one", F.lit(0)) if by == ["_one"] else counts
+    v = F.col(value).cast("double")
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(v, [i / 64 for i in range(1, 64)], 10_000).alias("_q"))
+    ranged = counts.join(F.broadcast(cuts), by).withColumn("_range", F.size(F.filter(F.array_distinct(F.coalesce("_q", F.array().cast("array<double>"))), lambda c: c < v))).drop("_q")
+    sums = ranged.groupBy(*by, "_range").agg(F.sum(n).alias("_s"))  # 64 rows of a group at most
+    group = Window.partitionBy(*by)
+    starts = sums.withColumn("_start", F.sum("_s").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).withColumn("_all", F.sum("_s").over(group)).select(*by, "_range", F.coalesce("_start", F.lit(0)).alias("_start"), "_all")
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(starts), [*by, "_range"]).withColumn("_before", F.col("_start") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("_start", "_range")
+    return out.drop("_one") if by == ["_one"] else out
 
 
 def question_stats(rows: DataFrame, question: str, label: str) -> DataFrame:
@@ -58,8 +70,7 @@ def hard_rank(stats: DataFrame, question: str, least: int = 10) -> DataFrame:
 
 def weird_score(rows: DataFrame, chars: str, lines: str, markdown: str, repetition: str) -> DataFrame:
     """Weighted percentiles of size and form, with the reasons of the top two hundredths."""
-    for c, p in ((chars, "len_pct"), (lines, "line_pct"), (markdown, "md_pct"), (repetition, "rep_pct")):
-        rows = midrank_percentile(rows, c, p)
+    rows = midrank_percentiles(rows, {chars: "len_pct", lines: "line_pct", markdown: "md_pct", repetition: "rep_pct"})
     score = 0.45 * F.col("len_pct") + 0.2 * F.col("line_pct") + 0.15 * F.col("md_pct") + 0.2 * F.col("rep_pct")
     top = 0.98
     reasons = F.array_compact(F.array(

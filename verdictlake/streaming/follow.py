@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..sources.scratch import scratch_root
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder for streams' state, in the shared place that the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def work_list(batch: DataFrame, done: DataFrame, keys: list[str], ts: str, matches: Column | None = None) -> DataFrame:
