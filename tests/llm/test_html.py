@@ -50,3 +50,16 @@ def test_operator_keeps_rows_and_replaces_clashing_columns(spark):
 def test_layout_names_around_an_article_do_no_harm():
     page = f"<body><div class='page with-sidebar'><article><h1>T</h1><p>{LONG}</p></article><div class='sidebar'>{LONG}</div><div id='comments'><article><p>{LONG}</p></article></div></div></body>"
     assert main_text(page) == f"T\n\n{LONG.strip()}"
+
+
+def test_one_long_paragraph_is_not_the_whole_article():
+    long = (LONG * 20).strip()
+    page = f"<html><body><div id='menu'><a>One</a></div><div class='story'><h2>Head</h2><p>Lead, it is.</p><p>{long}</p><p>The end, now.</p></div></body></html>"
+    assert main_text(page) == f"Head\n\nLead, it is.\n\n{long}\n\nThe end, now."
+
+
+def test_sections_beside_a_long_body_are_kept():
+    body = "".join(f"<p>{LONG * 6}</p>" for _ in range(6))
+    page = f"<html><body><div><div class='lead'><p>{LONG}</p></div><div class='story'>{body}</div><div class='end'><h3>Last</h3><p>{LONG}</p></div></div><div class='sidebar'><p>{LONG}</p></div></body></html>"
+    text = main_text(page)
+    assert text.count("This is") == 38 and "Last" in text

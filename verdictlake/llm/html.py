@@ -23,6 +23,9 @@ AROUND = frozenset("nav footer aside form menu dialog search head".split())
 HEAD_OF = frozenset(["header"])
 ARTICLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements that hold parts of a text or a single paragraph, so they aren't a whole article.
+PART = frozenset("address blockquote dd dl dt figcaption figure hgroup hr li ol p pre summary table tbody tfoot thead tr ul".split()) | HEADINGS
+CONTAINERS = BLOCK - PART
 #: Elements that an opening element of the same group ends.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -149,8 +152,9 @@ def smooth(values: list[float], radius: int = 2) -> list[float]:
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by two newlines.
 
-    Nodes over the threshold of smoothed path ratios are content.  The deepest element that holds nine tenths of content
-    is the article: what isn't named as standing around it there is kept, short blocks and headings included.  If that
+    Nodes over the threshold of smoothed path ratios are content.  The deepest container that holds nine tenths of content,
+    widened while that adds content and headings only, is the article: what isn't named as standing around it there is kept,
+    short blocks and headings included, and so are content nodes elsewhere whose own paths pass the threshold.  If that
     element is the page itself, only the paths that content nodes have, and headings, are kept.
     """
     nodes = nodes_of(page or "")
@@ -162,24 +166,35 @@ def main_text(page: str | None) -> str:
     mean = sum(fused) / len(fused)
     deviation = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     content = [x for x, f in zip(real, fused, strict=True) if f >= mean - deviation or f >= 100]
+    least = min(max(mean - deviation, 0.0), 100.0)
+    sure = {id(x) for x in content if ratios[x.path] >= least}
     weight: dict[int, int] = defaultdict(int)
     depth: dict[int, int] = {}
+    whole: set[int] = set()
     page_level = {x.ids[i] for x in nodes for i, n in enumerate(x.path.split("/")) if i < len(x.ids) and n in ("html", "body")}
     for x in content:
-        for i, e in enumerate(x.ids):
+        for i, (e, n) in enumerate(zip(x.ids, x.path.split("/"), strict=False)):
             weight[e] += len(x.text.strip())
             depth[e] = i
+            if n in CONTAINERS or "-" in n:
+                whole.add(e)
     total = sum(len(x.text.strip()) for x in content)
-    within = [e for e, w in weight.items() if 10 * w >= 9 * total and e not in page_level]
+    within = [e for e, w in weight.items() if 10 * w >= 9 * total and e in whole and e not in page_level]
     if within:
-        roots = {max(within, key=lambda e: depth[e])}
+        root = max(within, key=lambda e: depth[e])
+        above = next(x.ids for x in content if root in x.ids)[: depth[root] + 1]
+        chain = set(above)
+        shared = lambda x: sum(e in chain for e in x.ids)
+        other = [x for x in real if root not in x.ids and id(x) not in sure and not any(n in HEADINGS for n in x.path.split("/"))]
+        low = max([sum(e in page_level for e in above), *map(shared, other)])
+        roots = {above[min(low, depth[root])]}
         # an article element around the root is the better limit: it holds the heading
         for x in content:
             names = x.path.split("/")
             if roots & set(x.ids):
                 roots |= {x.ids[i] for i, n in enumerate(names) if n in ARTICLE and i < len(x.ids)}
                 break
-        inside = lambda x: any(e in roots for e in x.ids)
+        inside = lambda x: id(x) in sure or any(e in roots for e in x.ids)
     else:
         paths = {x.path for x in content}
         inside = lambda x: x.path in paths or any(n in HEADINGS for n in x.path.split("/"))
