@@ -39,6 +39,14 @@ def test_nested_strings(spark):
     assert sorted((r.k, r.string) for r in got) == [(1, "x"), (1, "y"), (1, "z")]
 
 
+def test_strings_of_any_depth(spark):
+    doc = "end"
+    for i in range(12):
+        doc = {"a": doc, "b": f"s{i}"} if i % 2 else [doc]
+    got = rows.nested_strings(spark.createDataFrame([(1, json.dumps(doc))], "k int, j string"), "j", "k").collect()
+    assert sorted(r.string for r in got) == sorted(["end", *(f"s{i}" for i in range(1, 12, 2))])
+
+
 def test_results_of_three_shapes(spark):
     schema = "compliance string, model string, question_id string, observed string, metadata string, id string, raw_judge_response string, generated_tokens long, is_truncated boolean, info string, completion string, token_usage string"
     data = [("denial", "m", "q", None, None, None, "raw", None, None, None, None, None), (None, None, None, "complete", '{"key":"m::q2"}', None, "r", 5, True, None, None, None), (None, None, None, None, None, None, None, None, None, '{"id":"gold::m::q3"}', '[{"content":"LABEL: EVASIVE"}]', '{"output_tokens":7}')]

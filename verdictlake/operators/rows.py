@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import LABELS, complete_side, is_label, last_label
 from ..functions.status import Response, retry_candidate
+from ..sources.scratch import written
 
 
-def nested_strings(df: DataFrame, json: str, key: str, depth: int = 6) -> DataFrame:
-    """P5: key and every string inside a JSON document, down to `depth` levels."""
+def nested_strings(df: DataFrame, json: str, key: str) -> DataFrame:
+    """P5: key and every string inside a JSON document, level by level until none is left; each level is written."""
     level = df.select(key, F.expr(f"try_parse_json(`{json}`)").alias("v"))
     out = None
-    for _ in range(depth):
-        level = level.withColumn("s", F.expr("schema_of_variant(v)"))
+    while True:
+        level = written(level.withColumn("s", F.expr("schema_of_variant(v)")), "nested")
         found = level.filter("s = 'STRING'").select(key, F.expr("cast(v as string)").alias("string"))
         out = found if out is None else out.unionByName(found)
         wide = level.filter("s like 'OBJECT%' or s like 'ARRAY%'")
+        if wide.isEmpty():
+            return out
         each = F.expr("coalesce(map_values(try_cast(v as map<string, variant>)), try_cast(v as array<variant>))")
         level = wide.select(key, F.explode(each).alias("v")).filter("v is not null")
-    return out
 
 
 def normalize_results(df: DataFrame) -> DataFrame:
