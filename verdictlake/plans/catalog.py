@@ -479,6 +479,12 @@ def cjk_spans(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(X.cjk_spans(text)).cast("long").alias("spans"))
 
 
+@query(r"SELECT doc_id, len(regexp_extract_all(CASE WHEN doc_id % 4 = 0 THEN text || '中文' || doc_id || '漢字' ELSE text END, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}]+')) AS spans FROM documents")
+def cjk_spans_whole(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("中文"), F.col("doc_id").cast("string"), F.lit("漢字"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(X.cjk_spans(text)).cast("long").alias("spans"))
+
+
 @query("SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) > 1 AS again FROM part) ORDER BY again, p_retailprice DESC, p_partkey LIMIT 40")
 def diverse_topk(spark: SparkSession, d: str) -> DataFrame:
     return rank.diverse(table(spark, d, "part"), "p_brand", [F.desc("p_retailprice"), F.col("p_partkey")], 40).select("p_partkey", "p_brand")
