@@ -47,3 +47,10 @@ def test_cjk_spans_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 30 + "中文 b 漢"), (4, "a" * 30 + "中")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = catalog.QUERIES["cjk_spans_whole"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.spans) for r in got) == [(1, 2), (4, 2)]
+
+
+def test_divergence_of_all_languages(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "s", 2), (2, "de", "s", 4)], "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    (got,) = catalog.QUERIES["divergence_whole"](spark, str(tmp_path)).collect()
+    assert (got.complete_delta_pp, got.denial_delta_pp, got.evasive_delta_pp, got.total_abs_delta_pp) == (-50.0, 50.0, 0.0, 100.0)

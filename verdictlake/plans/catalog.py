@@ -183,6 +183,12 @@ def divergence(spark: SparkSession, d: str) -> DataFrame:
     return metrics.divergence(joined(spark, d).filter("lang = 'en'"), "expected", "a")
 
 
+@query(f"""{JOINED}, s AS (SELECT count(*) AS n, count(*) FILTER (a = 'COMPLETE') - count(*) FILTER (expected = 'COMPLETE') AS c, count(*) FILTER (a = 'DENIAL') - count(*) FILTER (expected = 'DENIAL') AS d, count(*) FILTER (a = 'EVASIVE') - count(*) FILTER (expected = 'EVASIVE') AS e FROM joined), r AS (SELECT round(100.0 * c / n, 6) AS x, round(100.0 * d / n, 6) AS y, round(100.0 * e / n, 6) AS z FROM s)
+SELECT x AS complete_delta_pp, y AS denial_delta_pp, z AS evasive_delta_pp, round(abs(x) + abs(y) + abs(z), 6) AS total_abs_delta_pp FROM r""")
+def divergence_whole(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.divergence(joined(spark, d), "expected", "a")
+
+
 @query(f"{JOINED} SELECT expected || '->' || CASE WHEN c LIKE 'ERROR%' THEN 'OTHER' ELSE c END AS pair, count(*) AS n FROM joined WHERE c <> expected GROUP BY 1")
 def disagreement_breakdown(spark: SparkSession, d: str) -> DataFrame:
     rows = joined(spark, d).withColumnRenamed("c", "observed")
