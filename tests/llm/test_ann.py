@@ -58,3 +58,14 @@ def test_fewer_candidates_than_k_and_empty(spark):
     assert got == {0: [(2, 2.0), (1, 0.5)]}
     assert run(spark, [], 20) == {} and run(spark, [(1, [1.0])], 20) == {}
     assert run(spark, [(0, [1.0])], 20) == {}
+
+
+def test_ties_go_to_smaller_ids(spark):
+    r = np.random.default_rng(14)
+    for n in (400, 3000):
+        rows = [(i, r.integers(-2, 3, size=8).astype(np.float32).tolist()) for i in r.permutation(n).tolist()]
+        got, want = run(spark, rows, 20), brute(rows, 20)
+        hits = sum(len(set(got[q]) & set(want[q])) for q in want)
+        assert got.keys() == want.keys() and hits >= 0.95 * sum(map(len, want.values())), (n, hits)
+        if n == 400:  # one leaf: everything is found
+            assert got == want

@@ -16,7 +16,7 @@ def test_stages_keep_columns_and_decisions_take_effect(spark, data):
     assert good.columns == columns and not any(labels.get(i) == 0 for i in kept)
     assert sum(i in kept for i, q in labels.items() if q == 1) >= 0.97 * sum(labels.values())
     deduped = pipeline.materialize(stages["line dedup"](spark, good, data), "t")
-    want = {i: t for i, _, n, t in line_dedup([(r.doc_id, r.text) for r in good.collect()]) if not n or t.strip(" ")}
+    want = {i: t for i, _, n, t in line_dedup([(r.doc_id, r.text) for r in good.collect()]) if not n or t.strip(" \t\n\x0b\x0c\r")}
     assert deduped.columns == columns and {r.doc_id: r.text for r in deduped.collect()} == want
     single = pipeline.materialize(stages["near dedup"](spark, deduped, data), "t")
     roots = components(list(want.items()), 5, 80, 100)
@@ -28,6 +28,13 @@ def test_stages_keep_columns_and_decisions_take_effect(spark, data):
     assert all(len(np.frombuffer(p.ids, np.uint32)) == p.length for p in packed)
 
 
+def test_a_document_left_with_white_space_only_goes(spark, data):
+    line = "a line that both have, whole"
+    docs = spark.createDataFrame([(1, line), (2, f"{line}\n\t"), (3, "\t"), (4, None)], "doc_id long, text string").withColumn("n_chars", pipeline.F.length("text").cast("long"))
+    out = {r.doc_id: r.n_chars for r in pipeline.lines(spark, docs, data).collect()}
+    assert out == {1: len(line), 3: 1, 4: 0}
+
+
 def test_run_equals_the_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     for i, (_, stage) in enumerate(pipeline.STAGES):

@@ -23,6 +23,8 @@ LEAF_ROWS, MOST_LEAVES = 256, 4096
 BLOCK = 4096
 #: Neighbours a task holds before it keeps the best of each query only.
 HELD_ROWS = 1_000_000
+#: Queries held against a block at once, and pairs scored at once.
+QUERY_ROWS, SCORED_ROWS = 256, 1 << 15
 
 
 @dataclass
@@ -136,6 +138,20 @@ def _best(rows: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.n
     return q[keep], i[keep], s[keep]
 
 
+def best_of_block(who: np.ndarray, x: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, id, score) rows of each query among a block's points, ties to smaller ids.
+
+    Matrix products only sift: every point whose product may reach the k-th largest, given their rounding error, is scored
+    again by _products, in slices, so a block of ties costs time but no memory.
+    """
+    near = x @ points.T
+    top = min(k, near.shape[1])
+    error = 1e-12 * np.sqrt((x * x).sum(axis=1) * (points * points).sum(axis=1).max())
+    q, c = np.nonzero(near >= (np.partition(near, near.shape[1] - top, axis=1)[:, near.shape[1] - top] - error)[:, None])
+    score = np.concatenate([_products(x[q[i : i + SCORED_ROWS]], points[c[i : i + SCORED_ROWS]]) for i in range(0, len(q), SCORED_ROWS)])
+    return _best((who[q], ids[c], score), k)
+
+
 def _usable(vector: str) -> Column:
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -224,19 +240,17 @@ def nearest(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vec
                     continue
                 if len(ids) > 1:
                     ids, points_ = [np.concatenate(ids)], [np.concatenate(points_)]
-                near = x[lo:hi] @ points_[0].T
-                top = min(want + 3, near.shape[1])
-                at = np.argpartition(-near, top - 1, axis=1)[:, :top]
-                q = np.repeat(np.arange(hi - lo), top)
-                c = at.ravel()
-                held.append((who[lo:hi][q], ids[0][c], _products(x[lo:hi][q], points_[0][c])))
-                count += len(q)
-                if count > HELD_ROWS:
-                    best = _best(tuple(np.concatenate(a) for a in zip(*held, strict=True)), want)
-                    held, count = [best], len(best[0])
-                    if 2 * count > HELD_ROWS:
-                        yield out(best)
-                        held, count = [], 0
+                for some in range(lo, hi, QUERY_ROWS):
+                    here = slice(some, min(hi, some + QUERY_ROWS))
+                    best = best_of_block(who[here], x[here], ids[0], points_[0], want)
+                    held.append(best)
+                    count += len(best[0])
+                    if count > HELD_ROWS:
+                        best = _best(tuple(np.concatenate(a) for a in zip(*held, strict=True)), want)
+                        held, count = [best], len(best[0])
+                        if 2 * count > HELD_ROWS:
+                            yield out(best)
+                            held, count = [], 0
         if held:
             yield out(_best(tuple(np.concatenate(a) for a in zip(*held, strict=True)), want))
 

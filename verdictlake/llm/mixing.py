@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import free_name, let, materialize
 
 #: One draw has this mean at most; larger means are sums of independent draws, so a row is exploded in steps.
 MEAN_PER_DRAW = 8.0
@@ -81,16 +81,19 @@ def mix_sources(
     u = uniform(seed, *[F.col(f"`{k}`") for k in keys], F.col(draw))
     # the distribution function term by term: count the terms that u has passed
     first = F.exp(-mean)
-    count = F.aggregate(
-        F.sequence(F.lit(1), F.lit(TERMS)),
-        F.struct(first.alias("p"), first.alias("c"), F.when(u >= first, 1).otherwise(0).alias("k")),
-        lambda a, j: F.struct(
-            (a["p"] * mean / j).alias("p"),
-            (a["c"] + a["p"] * mean / j).alias("c"),
-            (a["k"] + F.when(u >= a["c"] + a["p"] * mean / j, 1).otherwise(0)).alias("k"),
-        ),
-    )["k"]
-    rows = rows.withColumn(step, count).filter(F.col(step) > 0)
+
+    def terms(drawn: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(TERMS)),
+            F.struct(first.alias("p"), first.alias("c"), F.when(drawn >= first, 1).otherwise(0).alias("k")),
+            lambda a, j: F.struct(
+                (a["p"] * mean / j).alias("p"),
+                (a["c"] + a["p"] * mean / j).alias("c"),
+                (a["k"] + F.when(drawn >= a["c"] + a["p"] * mean / j, 1).otherwise(0)).alias("k"),
+            ),
+        )["k"]
+
+    rows = rows.withColumn(step, let(u, terms)).filter(F.col(step) > 0)
     rows = rows.withColumn(step, F.explode(F.sequence(F.lit(1), F.col(step))))
     where = uniform(seed + ":order", *[F.col(f"`{k}`") for k in keys], F.col(draw), F.col(step))
     out = [F.col(f"`{c}`") for c in columns]

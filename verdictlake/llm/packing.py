@@ -25,20 +25,26 @@ class WordTokenizer:
     """ids of whole texts, word by word.
 
     No pre-token of the byte-level pattern goes on past a space that stands between two other characters, so a text that
-    has only such spaces is the concatenation of its words' ids.  Any other text is tokenised in one piece.
+    has only such spaces is the concatenation of its words' ids.  Any other text is tokenised in one piece.  Texts that hold
+    an added token of the file go through the file's own tokenizer, which cuts them at those tokens first.
     """
 
     def __init__(self, path: str):
         """path: the vocabulary as a tokenizers file; its ranks beside it serve the same ids faster."""
         import public_tokenizers
         import tiktoken
+        from tokenizers import Tokenizer
 
+        self.exact = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
     def one(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
         return np.array(self.encoding.encode_ordinary(text), np.uint32).tobytes()
 
     def words(self, values: list[str]) -> list[bytes]:
@@ -66,6 +72,8 @@ class WordTokenizer:
         first[1:] = rows[1:] != rows[:-1]
         whole = np.zeros(n, bool)
         whole[rows[odd[at]]] = True
+        for t in self.added:
+            whole |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
         pool = self.words([" " + v for v in values])
         heads = np.flatnonzero(first)
         places = at.astype(np.int64).copy()
