@@ -15,6 +15,8 @@ from verdictlake.llm.queries import vocabulary
 
 #: Words that a document must have to stay; short clean documents are no junk.
 LEAST_WORDS = 3
+#: A character that isn't white space of the contracts.
+WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines, and the documents of which nothing is left."""
     columns = docs.columns
-    kept = line_dedup(docs).filter((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    kept = line_dedup(docs).filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
