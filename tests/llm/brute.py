@@ -1,5 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
+import html
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -88,3 +90,60 @@ def pii(text):
             if good:
                 out.append((m.start(), order, kind, m.end()))
     return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+def main_text(page):
+    """Path ratios on simple pages: elements nav, footer, aside, form and class ad are marked; only p ends by itself."""
+    inline = {"a", "b", "i", "em", "span"}
+    nodes, stack, skip, line, made = [], [], None, 0, 0
+    for part in re.findall(r"<!--.*?-->|<[^>]*>|[^<]+", page, re.S):
+        if skip:
+            skip = None if part == f"</{skip}>" else skip
+        elif not part.startswith("<"):
+            if part.strip():
+                marked = next((f for n, c, _ in stack for f in [0.0005 if n in ("nav", "footer", "aside", "form") else 0.005 if c == "ad" else None] if f), 1.0)
+                nodes.append({"path": ("/".join(n for n, _, _ in stack), marked), "above": [i for _, _, i in stack], "names": [n for n, _, _ in stack], "mark": marked, "text": html.unescape(part), "line": line})
+        elif m := re.match(r"<(/?)([a-z0-9]+)(?:.*class=\"?([a-z]+))?", part):
+            end, name, css = m.groups()
+            if name in ("script", "style", "title"):
+                skip = None if end else name
+            elif name == "br":
+                nodes[-1]["text"] += "\n"
+            elif name in ("meta", "img", "input", "link"):
+                continue
+            elif end:
+                if name in [n for n, _, _ in stack]:
+                    while True:
+                        gone = stack.pop()[0]
+                        line += gone not in inline
+                        if gone == name:
+                            break
+            else:
+                if name not in inline and "p" in [n for n, _, _ in stack]:
+                    while stack.pop()[0] != "p":
+                        pass
+                line += name not in inline
+                made += 1
+                stack.append((name, css, made))
+    by = defaultdict(list)
+    for x in nodes:
+        by[x["path"]].append(x["text"].strip())
+    ratio = {p: p[1] * sum(map(len, t)) / len(t) * math.sqrt((sum(len(re.findall("[.,;:!?…、。，！？；：]", x)) for x in t) + 0.5) / len(t)) for p, t in by.items()}
+    scores = defaultdict(list)
+    for i, x in enumerate(nodes):
+        near = [(math.exp(-(d * d) / 4), ratio[nodes[i + d]["path"]]) for d in (-2, -1, 0, 1, 2) if 0 <= i + d < len(nodes)]
+        scores[x["path"]].append(math.sqrt(ratio[x["path"]] * sum(k * v for k, v in near) / sum(k for k, _ in near)))
+    score = {p: sum(s) / len(s) for p, s in scores.items()}
+    weights = [(x["mark"] * len(x["text"].strip()), score[x["path"]]) for x in nodes]
+    mean = sum(w * s for w, s in weights) / sum(w for w, _ in weights)
+    content = [x for x in nodes if score[x["path"]] >= mean / 4]
+    holding = {e for x in content for e in x["above"]}
+    out, last = [], None
+    for x in nodes:
+        if x not in content:
+            depth = len([e for e in x["above"] if e in holding])
+            if x["mark"] < 1 or not depth or depth < len(x["names"]) and (x["names"][depth - 1] in ("html", "body") or x["names"][depth] not in ("h1", "h2", "p", "ul", "b")):
+                continue
+        out.append(x["text"]) if x["line"] != last else out.append(out.pop() + x["text"])
+        last = x["line"]
+    return "\n\n".join(re.sub(r"\s+", " ", t).strip() for t in out)

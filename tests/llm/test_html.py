@@ -1,3 +1,9 @@
+import re
+
+import brute
+import pytest
+
+from verdictlake.llm import html as module
 from verdictlake.llm.html import extract_text, main_text, nodes_of, smooth
 
 LONG = "This is a sentence of the article, with commas, and it goes on for a while. "
@@ -63,3 +69,33 @@ def test_sections_beside_a_long_body_are_kept():
     page = f"<html><body><div><div class='lead'><p>{LONG}</p></div><div class='story'>{body}</div><div class='end'><h3>Last</h3><p>{LONG}</p></div></div><div class='sidebar'><p>{LONG}</p></div></body></html>"
     text = main_text(page)
     assert text.count("This is") == 38 and "Last" in text
+
+
+def test_pages_equal_a_plain_version_and_ratios_decide(spark, data, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    found = [main_text(p) for p in pages]
+    assert found == [brute.main_text(p) for p in pages] and all(found)
+    with monkeypatch.context() as m:  # without ratios, menus and footers stay
+        m.setattr(module, "path_ratios", lambda nodes: {x.path: 1.0 for x in nodes})
+        assert sum(main_text(p) != f for p, f in zip(pages, found, strict=True)) > 0.9 * len(pages)
+    with monkeypatch.context() as m:  # class names are a hint only
+        for words in ("AROUND_WORDS", "NEVER_WORDS", "HEAD_WORDS"):
+            m.setattr(module, words, re.compile("(?!)"))
+        assert 0.9 < sum(len(main_text(p)) for p in pages) / sum(map(len, found)) < 1.1
+
+
+@pytest.mark.parametrize("name", ["related", "promo", "teaser", "consent", "newsletter", "sidebar"])
+def test_a_marked_article_is_still_found(name):
+    page = f"<body><nav><a>Home</a></nav><div class='{name}'><h1>Title</h1>" + f"<p>{LONG * 3}</p>" * 4 + "</div><footer>Imprint</footer></body>"
+    assert main_text(page).count("This is") == 12 and "Imprint" not in main_text(page)
+
+
+def test_tables_lists_and_formulas_of_an_article_stay():
+    page = f"<body><article><p>{LONG * 3}</p><table><tr><td>a<td>12</table><ul><li>one</ul><p>{LONG} <math><mi>x</mi></math></p><ul><li><a>Next</a><li><a>More</a></ul></article></body>"
+    text = main_text(page)
+    assert "a\n\n12\n\none" in text and text.endswith("x")
+
+
+def test_long_comments_do_not_replace_a_short_article():
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p></article><div class='comments'>" + f"<p>{LONG * 4}</p>" * 5 + "</div></body>"
+    assert main_text(page) == f"Title\n\n{LONG.strip()}"

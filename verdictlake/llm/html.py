@@ -17,15 +17,15 @@ from .common import steps, without
 
 # Element names of the HTML standard, grouped by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select button noembed noframes".split())
+RAW = frozenset("script style title textarea noscript template iframe svg select button noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 AROUND = frozenset("nav footer aside form menu dialog search head".split())
 HEAD_OF = frozenset(["header"])
 ARTICLE = frozenset("article main".split())
+PAGE = frozenset("html body".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that hold parts of a text or a single paragraph, so they aren't a whole article.
 PART = frozenset("address blockquote dd dl dt figcaption figure hgroup hr li ol p pre summary table tbody tfoot thead tr ul".split()) | HEADINGS
-CONTAINERS = BLOCK - PART
 #: Elements that an opening element of the same group ends.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -37,17 +37,22 @@ HEAD_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?:$|[\s=/"'])|display\s*:\s*none""", re.I)
 MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|$)""", re.S)
+#: Factors on the ratios of paths below elements that are named: by their tag, as no part of any article, or as layout.
+AROUND_TAG, NEVER, LAYOUT = 0.0005, 0.005, 0.01
+#: Shares of the mean score that a path of content, and a branch beside content, must reach.
+STRONG, WEAK = 0.25, 0.1
 SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：]")
 
 
 class Node:
-    """A run of text: its block, path, elements above it and what stands around articles above it."""
+    """A run of text: its block, path, the elements above it, and the prior that names on its path give it."""
 
-    __slots__ = ("block", "path", "ids", "around", "text")
+    __slots__ = ("block", "path", "names", "ids", "prior", "text")
 
-    def __init__(self, block: int, path: str, ids: tuple[int, ...], around: bool, text: str):
-        self.block, self.path, self.ids, self.around, self.text = block, path, ids, around, text
+    def __init__(self, block: int, names: tuple[str, ...], ids: tuple[int, ...], prior: float, text: str):
+        self.block, self.names, self.ids, self.prior, self.text = block, names, ids, prior, text
+        self.path = "/".join(names) + ("" if prior == 1 else f"#{prior}")
 
 
 def nodes_of(page: str) -> list[Node]:
@@ -55,18 +60,18 @@ def nodes_of(page: str) -> list[Node]:
     out: list[Node] = []
     names: list[str] = []
     ids: list[int] = []
-    around: list[int] = []  # 0: may be article, 1: named as layout around it, 2: never part of it
+    priors: list[float] = []
     block = made = at = 0
 
     def text(lo: int, hi: int) -> None:
         if lo < hi and (t := page[lo:hi]) and (not t.isspace() or not out or out[-1].block == block):
-            out.append(Node(block, "/".join(names), tuple(ids), bool(around) and around[-1] > 0, entities.unescape(t)))
+            out.append(Node(block, tuple(names), tuple(ids), priors[-1] if priors else 1.0, entities.unescape(t)))
 
     def close(depth: int) -> None:
         nonlocal block
         if any(n in BLOCK for n in names[depth:]):
             block += 1
-        del names[depth:], ids[depth:], around[depth:]
+        del names[depth:], ids[depth:], priors[depth:]
 
     while (m := MARKUP.search(page, at)) is not None:
         text(at, m.start())
@@ -84,7 +89,7 @@ def nodes_of(page: str) -> list[Node]:
             continue
         if name == "br" or name == "wbr":
             if out and out[-1].block == block:
-                out.append(Node(block, out[-1].path, out[-1].ids, out[-1].around, "\n" if name == "br" else ""))
+                out.append(Node(block, out[-1].names, out[-1].ids, out[-1].prior, "\n" if name == "br" else ""))
             continue
         if name in BLOCK and "p" in names:
             close(len(names) - 1 - names[::-1].index("p"))
@@ -106,37 +111,39 @@ def nodes_of(page: str) -> list[Node]:
             continue
         if attributes.endswith("/") and name not in BLOCK:
             continue
-        above = around[-1] if around else 0
-        if above == 1 and name in ARTICLE:
-            above = 0
-        if above < 2:
+        prior = priors[-1] if priors else 1.0
+        if prior == LAYOUT and name in ARTICLE:
+            prior = 1.0
+        if prior > AROUND_TAG:
             named = " ".join(v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)) if attributes else ""
             in_article = any(n in ARTICLE for n in names)
             if name in AROUND or name in HEAD_OF and not in_article or attributes and HIDDEN.search(attributes):
-                above = 2
+                prior = AROUND_TAG
             elif named and NEVER_WORDS.search(named) and name not in ("html", "body", "main"):
-                above = 2
+                prior = min(prior, NEVER)
             elif named and name not in ARTICLE and name not in ("html", "body") and (AROUND_WORDS.search(named) or not in_article and HEAD_WORDS.search(named)):
-                above = max(above, 1)
+                prior = min(prior, LAYOUT)
         made += 1
         names.append(name)
         ids.append(made)
-        around.append(above)
+        priors.append(prior)
     text(at, len(page))
     return out
 
 
 def path_ratios(nodes: list[Node]) -> dict[str, float]:
-    """Fused ratio of each path: characters a node, times the root of punctuation a node."""
+    """Fused ratio of each path: characters a node, times the root of punctuation a node, times the prior of its names."""
     n: dict[str, int] = defaultdict(int)
     chars: dict[str, int] = defaultdict(int)
     marks: dict[str, int] = defaultdict(int)
+    prior: dict[str, float] = {}
     for x in nodes:
-        if not x.around and (t := x.text.strip()):
+        if t := x.text.strip():
             n[x.path] += 1
             chars[x.path] += len(t)
             marks[x.path] += len(PUNCTUATION.findall(t))
-    return {p: chars[p] / n[p] * math.sqrt((marks[p] + 0.5) / n[p]) for p in n}
+            prior[x.path] = x.prior
+    return {p: prior[p] * chars[p] / n[p] * math.sqrt((marks[p] + 0.5) / n[p]) for p in n}
 
 
 def smooth(values: list[float], radius: int = 2) -> list[float]:
@@ -149,60 +156,79 @@ def smooth(values: list[float], radius: int = 2) -> list[float]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by two newlines.
+def path_scores(real: list[Node]) -> tuple[dict[str, float], float]:
+    """Score of each path, and the mean score of a character, where characters weigh as the priors of their paths.
+
+    A node's score fuses its path's ratio with the ratios smoothed in page order (their geometric mean); a path's is the
+    mean of its nodes'.
+    """
+    ratios = path_ratios(real)
+    smoothed = smooth([ratios[x.path] for x in real])
+    n: dict[str, int] = defaultdict(int)
+    total: dict[str, float] = defaultdict(float)
+    for x, s in zip(real, smoothed, strict=True):
+        n[x.path] += 1
+        total[x.path] += math.sqrt(ratios[x.path] * s)
+    scores = {p: total[p] / n[p] for p in n}
+    sizes = [x.prior * len(x.text.strip()) for x in real]
+    return scores, sum(c * scores[x.path] for x, c in zip(real, sizes, strict=True)) / sum(sizes)
 
-    Nodes over the threshold of smoothed path ratios are content.  The deepest container that holds nine tenths of content,
-    widened while that adds content and headings only, is the article: what isn't named as standing around it there is kept,
-    short blocks and headings included, and so are content nodes elsewhere whose own paths pass the threshold.  If that
-    element is the page itself, only the paths that content nodes have, and headings, are kept.
+
+def content_of(nodes: list[Node]) -> list[Node]:
+    """Nodes of the article.
+
+    Paths whose score reaches STRONG times the mean are content.  Another node stands in the branch below the deepest element
+    above it that holds content.  If a name marks the node, it goes.  A branch that is part of a text (a heading, list, table)
+    stays with the content beside it; a branch that is a container, or made of links, stays if its path scores reach WEAK
+    times the mean.  Directly below the page itself only content and headings stay.
     """
-    nodes = nodes_of(page or "")
-    ratios = path_ratios(nodes)
-    real = [x for x in nodes if not x.around and x.text.strip()]
+    real = [x for x in nodes if x.text.strip()]
     if not real:
-        return ""
-    fused = smooth([ratios[x.path] for x in real])
-    mean = sum(fused) / len(fused)
-    deviation = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    content = [x for x, f in zip(real, fused, strict=True) if f >= mean - deviation or f >= 100]
-    least = min(max(mean - deviation, 0.0), 100.0)
-    sure = {id(x) for x in content if ratios[x.path] >= least}
-    weight: dict[int, int] = defaultdict(int)
-    depth: dict[int, int] = {}
-    whole: set[int] = set()
-    page_level = {x.ids[i] for x in nodes for i, n in enumerate(x.path.split("/")) if i < len(x.ids) and n in ("html", "body")}
-    for x in content:
-        for i, (e, n) in enumerate(zip(x.ids, x.path.split("/"), strict=False)):
-            weight[e] += len(x.text.strip())
-            depth[e] = i
-            if n in CONTAINERS or "-" in n:
-                whole.add(e)
-    total = sum(len(x.text.strip()) for x in content)
-    within = [e for e, w in weight.items() if 10 * w >= 9 * total and e in whole and e not in page_level]
-    if within:
-        root = max(within, key=lambda e: depth[e])
-        above = next(x.ids for x in content if root in x.ids)[: depth[root] + 1]
-        chain = set(above)
-        shared = lambda x: sum(e in chain for e in x.ids)
-        other = [x for x in real if root not in x.ids and id(x) not in sure and not any(n in HEADINGS for n in x.path.split("/"))]
-        low = max([sum(e in page_level for e in above), *map(shared, other)])
-        roots = {above[min(low, depth[root])]}
-        # an article element around the root is the better limit: it holds the heading
-        for x in content:
-            names = x.path.split("/")
-            if roots & set(x.ids):
-                roots |= {x.ids[i] for i, n in enumerate(names) if n in ARTICLE and i < len(x.ids)}
-                break
-        inside = lambda x: id(x) in sure or any(e in roots for e in x.ids)
-    else:
-        paths = {x.path for x in content}
-        inside = lambda x: x.path in paths or any(n in HEADINGS for n in x.path.split("/"))
+        return []
+    scores, mean = path_scores(real)
+    strong = {p for p, s in scores.items() if s >= STRONG * mean}
+    holds = {e for x in real if x.path in strong for e in x.ids}
+    branch_chars: dict[int, int] = defaultdict(int)
+    branch_links: dict[int, int] = defaultdict(int)
+    branch_score: dict[int, float] = defaultdict(float)
+    branches: dict[int, int] = {}  # node to the depth of its branch
+    for x in real:
+        if x.path in strong:
+            continue
+        depth = sum(e in holds for e in x.ids)  # elements that hold content are the first ones of a path
+        branches[id(x)] = depth
+        if depth < len(x.ids):
+            size = len(x.text.strip())
+            branch_chars[x.ids[depth]] += size
+            branch_links[x.ids[depth]] += size if "a" in x.names else 0
+            branch_score[x.ids[depth]] += size * scores[x.path]
+    kept = set()
+    for x in real:
+        if x.path in strong:
+            kept.add(id(x))
+            continue
+        depth = branches[id(x)]
+        if x.prior < 1:
+            continue
+        if depth == len(x.ids):  # beside content in one element
+            kept.add(id(x))
+            continue
+        branch, name = x.ids[depth], x.names[depth]
+        if depth == 0 or x.names[depth - 1] in PAGE:
+            if name in HEADINGS and holds:
+                kept.add(id(x))
+        elif name in PART and 2 * branch_links[branch] < branch_chars[branch] or name not in BLOCK and "-" not in name or branch_score[branch] >= WEAK * mean * branch_chars[branch]:
+            kept.add(id(x))
+    blocks = {x.block for x in real if id(x) in kept}
+    gone = {x.block for x in real if id(x) not in kept}
+    return [x for x in nodes if id(x) in kept or not x.text.strip() and x.block in blocks - gone]
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks in page order, joined by two newlines; white space inside a block is one space."""
     blocks: list[str] = []
     last = None
-    for x in nodes:
-        if x.around or not inside(x):
-            continue
+    for x in content_of(nodes_of(page or "")):
         if x.block == last:
             blocks[-1] += x.text
         else:
