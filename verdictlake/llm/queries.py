@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,7 +153,3 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.b AS componen
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": OP1_SQL, "op7_neardup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
-
-
-def load(name: str):
-    return importlib.import_module(f".{name}", __package__)
