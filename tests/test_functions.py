@@ -30,7 +30,10 @@ SHAPES = [
     ({"error": "broken"}, "provider_error", "top_error"),
     ({"choices": [{"finish_reason": "error", "error": {"code": 500, "message": "x"}, "message": {"content": ""}}]}, "provider_error", "choice_error_code:500"),
     ({"error": {"message": "Your input was flagged"}}, "moderation", "moderation_error_text"),
-    ({"error": {"type": "content_filter", "message": "no"}}, "provider_error", None),
+    ({"error": {"type": "content_filter", "message": "no"}}, "moderation", "content_filter"),
+    ({"error": {"code": 500, "metadata": {"moderation": False}}}, "provider_error", "top_error_code:500"),
+    ({"error": {"code": 403, "metadata": {"reasons": ["violent", "policy violation"]}}}, "moderation", "moderation_error_text"),
+    ({"error": {"content_filter": {"recitation": 1}, "type": "server"}}, "provider_error", "top_error:server"),
     ({"_llm_client": {"standardized_response": {"finish_reason": "stop", "content": "ok"}}}, "success", "_llm_client.standardized_response.finish_reason:stop"),
     ({"_llm_client": {"error_info": {"status_code": 429}}}, "provider_error", "llm_client_error_status:429"),
     ({"stop_reason": "stop_sequence", "content": [{"type": "text", "text": "hi"}]}, "success", "stop_reason:stop_sequence"),
@@ -55,8 +58,6 @@ def test_response_status(spark):
     frame = spark.createDataFrame(rows, "i int, response string")
     got = {r.i: r.s for r in frame.select("i", Response(F.col("response"), F.lit("vendor/m")).status().alias("s")).collect()}
     for i, (shape, status, reason) in enumerate(SHAPES):
-        if reason is None:
-            continue
         assert (got[i].status, got[i].reason) == (status, reason), shape
     assert got[len(SHAPES)].status == "empty_response"
 
@@ -86,7 +87,11 @@ def test_judge_fields_and_first_label(spark):
     r = one(spark, L.judge_fields(F.col("t")), t="none")
     assert (r.analysis, r.label) == ("<missing>", "ERROR_JUDGE_FORMAT")
     assert one(spark, L.first_label(F.col("t")), t="LABEL: evasive then LABEL: complete") == "EVASIVE"
-    assert one(spark, L.prefix_to_label(F.col("t")), t="a LABEL: DENIAL b LABEL: 'COMPLETE'") == "a LABEL: DENIAL b LABEL: '"
+    assert one(spark, L.prefix_to_label(F.col("t")), t="a LABEL: DENIAL b LABEL: 'COMPLETE'") is None
+    thought = "<|channel>thought COMPLIANCE: COMPLETE<channel|>"
+    cases = {f"a COMPLIANCE: DENIAL b {thought} compliance:  [evasive] c": f"a COMPLIANCE: DENIAL b {thought} compliance:  [", f"{thought} x": None, "Verdict: COMPLETE": None, f"COMPLIANCE: EVASIVE {thought}": "COMPLIANCE: "}
+    for text, want in cases.items():
+        assert one(spark, L.prefix_to_label(F.col("t")), t=text) == want
 
 
 @pytest.mark.parametrize(("q", "want"), [("a1", "type1"), ("a12", "other"), ("2", "type2"), ("x5", "other"), ("é4", "type4")])
@@ -116,6 +121,8 @@ def test_text_functions(spark):
     assert f(X.tag_body(t, "new_label"), "x <NEW_label> a\nb </new_label>") == "a\nb" and f(X.tag_body(t, "q"), "x") is None
     assert f(X.single_character(t), "aaaa") and not f(X.single_character(t), "ab") and not f(X.single_character(t), "")
     assert f(X.cjk_spans(t), "a中文b漢") == ["中文", "漢"]
+    assert [tuple(h) for h in f(X.cjk_hits(t), "aa 中文 bb 漢字、cc")] == [(3, 5, "中文", "aa 中文 bb 漢字、cc"), (9, 12, "漢字、", "aa 中文 bb 漢字、cc")]
+    assert [h.snippet for h in f(X.cjk_hits(t, 2), "abcd中efgh")] == ["…cd中ef…"] and f(X.cjk_hits(t), "none") == []
     assert f(X.rendered("Q: {t}!", t=t), "x") == "Q: x!"
     assert f(X.truncate_model(t, 20), "vendor/a-very-long-model-name") == "vendor/a-very-lon..."
     assert f(X.subproviders(t), "A, b,a,") == ["a", "b"]
@@ -131,7 +138,7 @@ def test_text_functions(spark):
 def test_diversity(spark):
     w = "a b c a b".split()
     frame = spark.createDataFrame([(w,)], "w array<string>")
-    r = frame.select(X.root_ttr(F.col("w")).alias("a"), X.maas(F.col("w")).alias("b"), X.entropy_bits(F.array(*[F.lit(float(n)) for n in Counter(w).values()])).alias("c")).first()
+    r = frame.select(X.root_ttr(F.size("w"), F.lit(3)).alias("a"), X.maas(F.size("w"), F.lit(3)).alias("b"), X.entropy_bits(F.array(*[F.lit(float(n)) for n in Counter(w).values()])).alias("c")).first()
     assert math.isclose(r.a, 3 / math.sqrt(5)) and math.isclose(r.b, (math.log(5) - math.log(3)) / math.log(5) ** 2)
     assert math.isclose(r.c, -sum(n / 5 * math.log2(n / 5) for n in (2, 2, 1)))
 

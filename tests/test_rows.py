@@ -36,7 +36,7 @@ def test_recoding(spark):
 def test_nested_strings(spark):
     doc = json.dumps({"a": "x", "b": [{"c": "y"}, 3, None, ["z"]], "d": True})
     got = rows.nested_strings(spark.createDataFrame([(1, doc), (2, "bad")], "k int, j string"), "j", "k").collect()
-    assert sorted((r.k, r.string) for r in got) == [(1, "x"), (1, "y"), (1, "z")]
+    assert sorted((r.path, r.string) for r in got) == [("a", "x"), ("b[0].c", "y"), ("b[3][0]", "z")]
 
 
 def test_strings_of_any_depth(spark):
@@ -54,13 +54,33 @@ def test_results_of_three_shapes(spark):
     assert got == [("m::q", "DENIAL", "raw", None, False), ("m::q2", "COMPLETE", "r", 5, True), ("m::q3", "EVASIVE", "LABEL: EVASIVE", 7, False)]
 
 
+OFFER = "id string, gpu_type string, gpu_count int, gpu_memory double, provider string, socket string, stock_status string, is_spot boolean, price_value double"
+PROFILE = "ordinal int, profile_id string, gpu_type_regex string, minimum_gpu_memory_gb double, socket string, source_provider string, rows_per_second double, startup_seconds map<string,double>, provider_startup_seconds map<string,map<string,double>>, confidence string, measured_at string"
+
+
 def test_offers(spark):
-    offers = spark.createDataFrame([("a", "H100", 1, 80.0, "p", "High", False, 2.0), ("b", "H100", 1, 80.0, "p", "High", True, 1.0), ("c", "H100", 2, 80.0, "p", "High", False, 0.1), ("d", "X", 1, 80.0, "p", "High", False, 0.1), ("e", "H100", 1, 80.0, "p", "None", False, 0.1)], "id string, gpu_type string, gpu_count int, gpu_memory double, provider string, stock_status string, is_spot boolean, price_value double")
-    profiles = spark.createDataFrame([("p1", "^H", 60.0, 1.0, 60.0), ("p2", "^H", 60.0, 2.0, 60.0)], "profile_id string, gpu_type_regex string, minimum_gpu_memory_gb double, rows_per_second double, startup double")
-    ranked, counts = rows.rank_offers(offers, profiles, 3600, spot=False)
-    (best,) = ranked.collect()
-    assert (best.id, best.profile_id, best.inference_seconds) == ("a", "p2", 1800.0) and best.total_cost == pytest.approx(1860 * 2 / 3600)
-    assert {r.reason: r.n for r in counts.collect()} == {"spot_policy_excluded": 1, "not_single": 1, "missing_profile": 1, "ineligible_stock": 1}
+    offers = spark.createDataFrame([
+        ("a", "h100_80gb", 1, 80.0, "P", "PCIe", "Available", False, 2.0), ("b", "H100 80GB (Spot)", 1, 80.0, "q", "SXM5", "low", True, 1.0), ("c", "H100", 2, 80.0, "p", "PCIe", "low", False, 0.1),
+        ("d", "X", 1, 80.0, "p", "PCIe", "low", False, 0.1), ("e", "H100", 1, 80.0, "p", "PCIe", "High", False, 0.1), ("f", "H100", 1, 80.0, "Z", "PCIe", "low", False, 0.1), ("g", "H100", 1, 40.0, "p", "SXM5", "low", False, 3.0),
+    ], OFFER)
+    cold = {"cold": 60.0, "none": 0.0}
+    profiles = spark.createDataFrame([
+        (0, "fast", "^h100", 60.0, "SXM5", "p", 2.0, cold, {"q": {"cold": 30.0}}, "measured", "2026-01-01"), (1, "old", "^h100", 60.0, None, "p", 1.0, cold, {}, "measured", "2025-01-01"),
+        (2, "new", "^h100", None, "", "p", 4.0, cold, {}, None, "2026-02-01"), (3, "guess", "^", None, None, "p", 100.0, cold, {}, "estimated", "2027-01-01"),
+    ], PROFILE)
+    ranked, counts = rows.rank_offers(offers, profiles, 3600, providers=["z"])
+    got = [(r.id, r.profile_id, r.inference_seconds, r.startup_seconds, r.startup_transferred) for r in ranked.collect()]
+    assert got == [("b", "fast", 1800.0, 30.0, False), ("a", "new", 900.0, 60.0, False), ("g", "new", 900.0, 60.0, False)]
+    assert {r.reason: r.n for r in counts.collect()} == {"explicitly_excluded": 1, "not_single": 1, "missing_profile": 1, "ineligible_stock": 1, "ranked_offers": 3}
+    ranked, counts = rows.rank_offers(offers, profiles, 3600, startup="none", spot_used=2, estimated=True, excluded=["g"], most_cost=0.002)
+    assert [(r.id, r.profile_id) for r in ranked.collect()] == [("d", "guess"), ("f", "guess")]
+    assert {r.reason: r.n for r in counts.collect()} == {"explicitly_excluded": 1, "not_single": 1, "spot_policy_excluded": 1, "ineligible_stock": 1, "cost_threshold_excluded": 1, "ranked_offers": 2}
+
+
+def test_cjk_report(spark):
+    doc = json.dumps({"question_id": "q", "response": {"choices": [{"message": {"content": "aa 中文 bb 漢字 cc"}}]}, "n": 1})
+    got = rows.cjk_report(spark.createDataFrame([(1, doc)], "line int, j string"), "j", "line").collect()
+    assert sorted((r.field_path, r.match_text) for r in got) == [("response.choices[0].message.content", "中文"), ("response.choices[0].message.content", "漢字")]
 
 
 def test_reports(spark):

@@ -21,6 +21,8 @@ MODERATION_TEXT = (
     r"content violates safety guidelines|safety policy|SAFETY_CHECK_TYPE|\bcensorship\b|policy violation|blocked by (?:safety|moderation)|"
     r"limited access to this content for safety reasons|\bmoderation\b)"
 )
+#: A key of a JSON document with its colon.
+JSON_KEY = r'"(?:[^"\\]|\\.)*"\s*:'
 #: An empty answer with at most this many completion tokens counts as suppressed.
 SUPPRESSED_TOKENS = 8
 
@@ -77,6 +79,11 @@ class Response:
         value = self.at(path)
         return F.when(~value.isin("", "{}", "[]", "0", "false", "null"), value)
 
+    @staticmethod
+    def _worded(error: Column) -> Column:
+        """Does a string value of an error tell of moderation?  Names of fields don't count."""
+        return F.when(error.rlike(r"^\s*[\[{]"), F.regexp_replace(error, JSON_KEY, "")).otherwise(error).rlike(MODERATION_TEXT)
+
     def has_error(self) -> Column:
         return self._error("$.error").isNotNull() | self._error("$.choices[0].error").isNotNull()
 
@@ -88,7 +95,7 @@ class Response:
             detail = [F.concat(F.lit(f"{name}_{'status' if f == 'status_code' else f}:"), self.at(f"{path}.{f}")) for f in fields]
             reason = F.coalesce(*detail, F.concat(F.lit(f"{name}:"), self._text(f"{path}.type")), F.lit(name))
             first = reduce(lambda a, b: a & b, [e.isNull() for e in above], error.isNotNull())
-            out = F.coalesce(out, F.when(first & ~error.rlike(MODERATION_TEXT), reason))
+            out = F.coalesce(out, F.when(first & ~self._worded(error), reason))
             above.append(error)
         return F.when(self.json.rlike(r"^\s*\{"), out).otherwise("response_not_dict")
 
@@ -104,7 +111,7 @@ class Response:
         finish, native = self.finish(), self.native()
         truncated = F.coalesce(finish.isin(*TRUNCATION), F.lit(False)) | F.coalesce(native.isin(*TRUNCATION), F.lit(False))
         typed = lambda path: self._text(f"{path}.type") == "content_filter"
-        worded = lambda path: self._error(path).rlike(MODERATION_TEXT)
+        worded = lambda path: self._worded(self._error(path))
         rules = (
             F.when(self.provider_error().isNotNull() | truncated, F.lit(None).cast("string"))
             .when(finish.isin(*MODERATION), finish)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[A-Za-z0-9_']+"
-# Unicode ranges of CJK characters.
-CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}]+"
+# Unicode ranges of CJK characters and punctuation.
+CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]+"
 
 
 def normalized(text: Column) -> Column:
@@ -34,27 +36,35 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Characters, lines, tokens, share of distinct tokens, markdown marks a character."""
-    words = tokens(text)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once for each row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def token_counts(text: Column) -> Column:
+    """struct (n, v): all and distinct tokens; the text is cut into tokens once."""
+    return let(tokens(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("v")))
+
+
+def features(text: Column, counts: Column) -> dict[str, Column]:
+    """Characters, lines, tokens, share of distinct tokens, markdown marks a character; counts is token_counts of the text."""
     marks = sum((occurrences(text, m) for m in ("#", "*", "`", "|")), F.lit(0))
     return {
         "response_chars": F.length(text).cast("long"),
         "response_lines": (occurrences(text, "\n") + 1).cast("long"),
-        "response_tokens": F.size(words).cast("long"),
-        "unique_ratio": F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / F.size(words)).otherwise(0.0),
+        "response_tokens": counts["n"],
+        "unique_ratio": F.when(counts["n"] > 0, counts["v"] / counts["n"]).otherwise(0.0),
         "markdown_density": F.when(F.length(text) > 0, marks / F.length(text)).otherwise(0.0),
     }
 
 
-def root_ttr(words: Column) -> Column:
-    """Distinct words over the root of all words."""
-    return F.when(F.size(words) > 0, F.size(F.array_distinct(words)) / F.sqrt(F.size(words))).otherwise(0.0)
+def root_ttr(n: Column, v: Column) -> Column:
+    """Distinct words (v) over the root of all words (n)."""
+    return F.when(n > 0, v / F.sqrt(n)).otherwise(0.0)
 
 
-def maas(words: Column) -> Column:
-    """(ln N - ln V) / (ln N)^2, 0 where N or V is 1 or less."""
-    n, v = F.size(words).cast("double"), F.size(F.array_distinct(words)).cast("double")
+def maas(n: Column, v: Column) -> Column:
+    """(ln n - ln v) / (ln n)^2, 0 where n or v is 1 or less."""
     return F.when((n > 1) & (v > 1), (F.log(n) - F.log(v)) / F.pow(F.log(n), F.lit(2.0))).otherwise(0.0)
 
 
@@ -69,9 +79,26 @@ def cjk_spans(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CJK), F.lit(0))
 
 
-def cjk_snippets(text: Column, around: int = 60) -> Column:
-    """each run with up to `around` characters on both sides."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{0,{around}}}{CJK}.{{0,{around}}}"), F.lit(0))
+def cjk_hits(text: Column, around: int = 60) -> Column:
+    """array of (start, end, match, snippet) of each run; a snippet has up to `around` characters on both sides."""
+    found = F.struct(F.split(text, CJK, -1).alias("parts"), F.regexp_extract_all(text, F.lit(CJK), F.lit(0)).alias("hits"), text.alias("text"))
+
+    def hits(both: Column) -> Column:
+        def add(a: Column, i: Column) -> Column:
+            start = a["at"] + F.length(both["parts"][i])
+            end = start + F.length(both["hits"][i])
+            left, right = F.greatest(start - around, F.lit(0)), F.least(end + around, F.length(both["text"]))
+            shown = F.concat(F.when(left > 0, "…").otherwise(""), F.substring(both["text"], left + 1, right - left), F.when(right < F.length(both["text"]), "…").otherwise(""))
+            row = F.struct(start.alias("start"), end.alias("end"), both["hits"][i].alias("match"), shown.alias("snippet"))
+            return F.struct(end.alias("at"), F.array_append(a["rows"], row).alias("rows"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(CJK_HITS).alias("rows"))
+        return F.when(F.size(both["hits"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(both["hits"]) - 1), zero, add)["rows"]).otherwise(F.array().cast(CJK_HITS))
+
+    return F.when(text.isNotNull(), F.transform(F.array(found), hits)[0])
+
+
+CJK_HITS = "array<struct<start:int,end:int,match:string,snippet:string>>"
 
 
 def single_character(text: Column) -> Column:

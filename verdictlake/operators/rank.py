@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 
 
+#: Ranked values are broadcast up to this many; beyond, AQE splits the rows of a hot value.
+BROADCAST_VALUES = 500_000
+
+
 def midrank_percentiles(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """(rows below + half of equal rows) / rows for every row, of each value column under the name given to it.
 
@@ -19,9 +23,10 @@ def midrank_percentiles(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("_m"), F.col(value).cast("double").alias("_v")) for value, name in columns.items()]))
     counts = written(rows.select(each.alias("_s")).select("_s.*").groupBy("_m", "_v").agg(F.count(F.lit(1)).alias("_n")), "value-counts")
     ranked = written(cumulative(counts, "_v", "_n", ("_m",)).select("_m", "_v", ((F.col("_before") + 0.5 * F.col("_n")) / F.col("_all")).alias("_p")), "value-ranks")
+    few = ranked.count() <= BROADCAST_VALUES
     for value, name in columns.items():
         own = ranked.filter(F.col("_m") == name).select(F.col("_v").alias(f"_{name}"), F.col("_p").alias(name))
-        rows = rows.join(own, F.col(value).cast("double").eqNullSafe(F.col(f"_{name}")), "left").drop(f"_{name}")
+        rows = rows.join(F.broadcast(own) if few else own, F.col(value).cast("double").eqNullSafe(F.col(f"_{name}")), "left").drop(f"_{name}")
     return rows
 
 
@@ -62,15 +67,21 @@ def question_stats(rows: DataFrame, question: str, label: str) -> DataFrame:
 
 
 def hard_rank(stats: DataFrame, question: str, least: int = 10) -> DataFrame:
-    """Questions by rising COMPLETE rate; those with few rows or no COMPLETE get -1.  There is a row for each question."""
+    """Questions by rising COMPLETE rate; those with few rows or no COMPLETE get -1.
+
+    A rate's questions come after those of all lower rates, which are counted; a window runs inside each rate only.
+    """
     ok = (F.col("total") >= least) & (F.col("complete_rate") > 0)
-    order = Window.partitionBy(ok).orderBy("complete_rate", F.desc("denial_rate"), F.desc("evasive_rate"), F.desc("total"), question)
-    return stats.withColumn("hard_rank", F.when(ok, F.row_number().over(order)).otherwise(-1))
+    counts = stats.filter(ok).groupBy("complete_rate").agg(F.count(F.lit(1)).alias("_n"))
+    before = cumulative(counts, "complete_rate", "_n").select("complete_rate", "_before")
+    order = Window.partitionBy("complete_rate").orderBy(F.desc("denial_rate"), F.desc("evasive_rate"), F.desc("total"), question)
+    ranked = stats.filter(ok).withColumn("_r", F.row_number().over(order)).join(before, "complete_rate").withColumn("hard_rank", (F.col("_before") + F.col("_r")).cast("int"))
+    return ranked.select(*stats.columns, "hard_rank").unionByName(stats.filter(~ok).withColumn("hard_rank", F.lit(-1)))
 
 
 def weird_score(rows: DataFrame, chars: str, lines: str, markdown: str, repetition: str) -> DataFrame:
     """Weighted percentiles of size and form, with the reasons of the top two hundredths."""
-    rows = midrank_percentiles(rows, {chars: "len_pct", lines: "line_pct", markdown: "md_pct", repetition: "rep_pct"})
+    rows = midrank_percentiles(written(rows, "features"), {chars: "len_pct", lines: "line_pct", markdown: "md_pct", repetition: "rep_pct"})
     score = 0.45 * F.col("len_pct") + 0.2 * F.col("line_pct") + 0.15 * F.col("md_pct") + 0.2 * F.col("rep_pct")
     top = 0.98
     reasons = F.array_compact(F.array(

@@ -124,10 +124,16 @@ def all_pairs(results: DataFrame, key: str, run: str, label: str, expected: str)
     )
 
 
-def theta_best(offers: DataFrame, profiles: DataFrame, match: Column, order: Sequence[Column], offer_id: str) -> DataFrame:
-    """The best profile of each offer among those that match by pattern and limits; both tables are catalogues."""
-    w = Window.partitionBy(offer_id).orderBy(*order)
-    return offers.join(profiles, match).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+def theta_best(offers: DataFrame, profiles: DataFrame, text: str, pattern: str, fits: Column, order: Sequence[Column], offer_id: str) -> DataFrame:
+    """The best profile of each offer among those whose pattern its text matches and that fit.
+
+    Distinct texts are matched with distinct patterns, which are few; offers and profiles then join by equality.
+    """
+    matched = offers.select(text).distinct().join(profiles.select(pattern).distinct(), F.rlike(text, F.col(pattern)))
+    both = offers.join(matched, text).join(profiles, pattern).filter(fits)
+    columns = both.columns
+    best = both.groupBy(offer_id).agg(F.min_by(F.struct(*columns), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("b"))
+    return best.select("b.*")
 
 
 def merge_recovered(primary: DataFrame, fallback: DataFrame, key: str, label: str, is_error: Column) -> DataFrame:

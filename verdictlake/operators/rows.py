@@ -9,22 +9,31 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import LABELS, complete_side, is_label, last_label
 from ..functions.status import Response, retry_candidate
+from ..functions.text import cjk_hits
 from ..sources.scratch import written
 
 
 def nested_strings(df: DataFrame, json: str, key: str) -> DataFrame:
-    """P5: key and every string inside a JSON document, level by level until none is left; each level is written."""
-    level = df.select(key, F.expr(f"try_parse_json(`{json}`)").alias("v"))
+    """P5: key, path and every string inside a JSON document, level by level until none is left; each level is written."""
+    level = df.select(key, F.lit("").alias("path"), F.expr(f"try_parse_json(`{json}`)").alias("v"))
     out = None
     while True:
         level = written(level.withColumn("s", F.expr("schema_of_variant(v)")), "nested")
-        found = level.filter("s = 'STRING'").select(key, F.expr("cast(v as string)").alias("string"))
+        found = level.filter("s = 'STRING'").select(key, F.expr("if(path = '', '$', path)").alias("path"), F.expr("cast(v as string)").alias("string"))
         out = found if out is None else out.unionByName(found)
         wide = level.filter("s like 'OBJECT%' or s like 'ARRAY%'")
         if wide.isEmpty():
             return out
-        each = F.expr("coalesce(map_values(try_cast(v as map<string, variant>)), try_cast(v as array<variant>))")
-        level = wide.select(key, F.explode(each).alias("v")).filter("v is not null")
+        fields = wide.filter("s like 'OBJECT%'").select(key, "path", F.explode(F.expr("cast(v as map<string, variant>)")).alias("name", "v"))
+        items = wide.filter("s like 'ARRAY%'").select(key, "path", F.posexplode(F.expr("cast(v as array<variant>)")).alias("i", "v"))
+        fields = fields.select(key, F.expr("concat(path, if(path = '', '', '.'), name)").alias("path"), "v")
+        level = fields.unionByName(items.select(key, F.expr("concat(path, '[', i, ']')").alias("path"), "v")).filter("v is not null")
+
+
+def cjk_report(df: DataFrame, json: str, key: str) -> DataFrame:
+    """a row for each run of CJK characters in any string of a JSON document, with its field path and surroundings."""
+    each = nested_strings(df, json, key).select(key, F.col("path").alias("field_path"), F.explode(cjk_hits(F.col("string"))).alias("h"))
+    return each.select(key, "field_path", F.col("h.start").alias("start"), F.col("h.match").alias("match_text"), F.col("h.snippet").alias("snippet"))
 
 
 def normalize_results(df: DataFrame) -> DataFrame:
@@ -136,27 +145,56 @@ def error_text(strings: Column, pattern: str) -> Column:
     return F.exists(strings, lambda s: s.rlike(pattern))
 
 
-def rank_offers(offers: DataFrame, profiles: DataFrame, rows: int, *, spot: bool = True, excluded: Sequence[str] = (), providers: Sequence[str] = (), most_cost: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Eligible offers by total cost and time, and how many offers each rule left out."""
+def normalized_gpu(name: Column) -> Column:
+    """An offer's GPU type without a spot note, in capitals, white space collapsed."""
+    return F.trim(F.regexp_replace(F.upper(F.regexp_replace(name, r"(?i)\s*\(spot\)\s*$", "")), r"\s+", " "))
+
+
+def rank_offers(
+    offers: DataFrame, profiles: DataFrame, rows: int, *, startup: str = "cold", spot: bool = True, spot_used: int = 0, spot_most: int = 2, estimated: bool = False,
+    excluded: Sequence[str] = (), providers: Sequence[str] = (), most_cost: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Eligible offers by total cost, then time; and how many offers each rule left out.
+
+    An offer's profile is the one that fits its type, memory and socket best: a named socket counts 10, its own provider 2,
+    then the latest measured counts, then the first.  profiles has an `ordinal`; startup times are maps by mode, a
+    provider's own ones first.  An offer whose profile has no time for the mode raises.
+    """
+    text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    wide = F.col("is_spot") & F.lit(not spot or spot_used >= spot_most)
+    gone = F.lit(False)
+    if excluded:
+        gone = gone | F.col("id").isin(*excluded)
+    if providers:
+        gone = gone | text("provider").isin(*[p.lower() for p in providers])
     reason = (
-        F.when(F.col("id").isin(*excluded) | F.lower("provider").isin(*providers) if excluded or providers else F.lit(False), "explicitly_excluded")
-        .when((F.col("gpu_count") != 1) | (F.coalesce("gpu_memory", F.lit(0.0)) <= 0), "not_single")
-        .when(~F.lower("stock_status").isin("available", "low", "medium", "high"), "ineligible_stock")
-        .when(F.col("is_spot") & F.lit(not spot), "spot_policy_excluded")
-    )
-    tagged = offers.withColumn("_reason", reason)
-    best = Window.partitionBy("id").orderBy(F.desc("rows_per_second"), "profile_id")
-    p = profiles.select("profile_id", "gpu_type_regex", "minimum_gpu_memory_gb", "rows_per_second", F.col("startup").alias("startup_seconds"))
-    fits = F.rlike("gpu_type", F.col("gpu_type_regex")) & (F.col("gpu_memory") >= F.col("minimum_gpu_memory_gb"))
-    joined = tagged.filter("_reason IS NULL").join(p, fits, "left").withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
-    seconds = rows / F.col("rows_per_second")
-    costed = joined.withColumn("inference_seconds", seconds).withColumn("total_cost", (seconds + F.col("startup_seconds")) * F.col("price_value") / 3600)
-    late = F.when(F.col("profile_id").isNull(), "missing_profile")
+        F.when(gone, "explicitly_excluded").when((F.coalesce("gpu_count", F.lit(0)) != 1) | (F.coalesce("gpu_memory", F.lit(0.0)) <= 0), "not_single")
+        .when(~text("stock_status").isin("available", "low"), "ineligible_stock").when(F.coalesce(wide, F.lit(False)), "spot_policy_excluded")
+    )
+    tagged = offers.withColumn("_reason", reason).withColumn("_type", normalized_gpu(F.col("gpu_type")))
+    p = profiles.filter(F.lit(estimated) | (F.coalesce("confidence", F.lit("measured")) == "measured")).withColumnsRenamed({"socket": "_socket"})
+    # types and patterns are few: they are matched by themselves, and offers then join by their type
+    types = tagged.filter("_reason IS NULL").select("_type").distinct().join(p.select("gpu_type_regex").distinct(), F.rlike("_type", F.concat(F.lit("(?i)"), F.col("gpu_type_regex"))))
+    fits = F.col("minimum_gpu_memory_gb").isNull() | (F.col("gpu_memory") >= F.col("minimum_gpu_memory_gb"))
+    socketed = text("_socket") != ""
+    score = F.when(socketed, 10).otherwise(0) + F.when(text("source_provider") == text("provider"), 2).otherwise(0)
+    matched = tagged.filter("_reason IS NULL").select("id", "_type", "gpu_memory", "provider", "socket").join(types, "_type").join(p, "gpu_type_regex").filter(fits & (~socketed | (text("_socket") == text("socket"))))
+    chosen = [c for c in p.columns if c != "_socket"]
+    best = matched.groupBy("id").agg(F.max_by(F.struct(*chosen), F.struct(score, F.coalesce("measured_at", F.lit("")), -F.col("ordinal"))).alias("p"))
+    joined = tagged.filter("_reason IS NULL").join(best, "id", "left")
+    own = F.try_element_at(F.try_element_at(F.col("p.provider_startup_seconds"), text("provider")), F.lit(startup))
+    seconds = F.coalesce(own, F.try_element_at(F.col("p.startup_seconds"), F.lit(startup)))
+    seconds = F.when(F.col("p").isNotNull() & seconds.isNull(), F.raise_error(F.lit(f"no startup estimate for {startup}")).cast("double")).otherwise(seconds)
+    warned = own.isNull() & F.lit(startup != "none") & (F.lower(F.coalesce("p.source_provider", F.lit(""))) != "") & (F.lower("p.source_provider") != text("provider"))
+    costed = joined.withColumns({"profile_id": F.col("p.profile_id"), "inference_seconds": rows / F.col("p.rows_per_second"), "startup_seconds": seconds, "startup_transferred": F.coalesce(warned, F.lit(False))})
+    costed = costed.withColumn("total_cost", (F.col("inference_seconds") + F.col("startup_seconds")) * F.col("price_value") / 3600)
+    late = F.when(F.col("p").isNull(), "missing_profile")
     if most_cost is not None:
         late = late.when(F.col("total_cost") > most_cost, "cost_threshold_excluded")
     costed = costed.withColumn("_reason", late)
-    counts = tagged.filter("_reason IS NOT NULL").select("_reason").unionByName(costed.filter("_reason IS NOT NULL").select("_reason")).groupBy(F.col("_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = costed.filter("_reason IS NULL").drop("_reason").orderBy("total_cost", F.col("inference_seconds") + F.col("startup_seconds"), "id")
+    counts = tagged.filter("_reason IS NOT NULL").select("_reason").unionByName(costed.select("_reason"))
+    counts = counts.groupBy(F.coalesce("_reason", F.lit("ranked_offers")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = costed.filter("_reason IS NULL").drop("_reason", "_type", "p").orderBy("total_cost", F.col("inference_seconds") + F.col("startup_seconds"), "id")
     return ranked, counts
 
 

@@ -94,12 +94,18 @@ def two_turn_flips(rows: DataFrame, expected: str, first: str, second: str) -> D
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(a != b).alias("changed"), F.count_if((a != e) & (b == e)).alias("toward_gold"), F.count_if((a == e) & (b != e)).alias("away_from_gold"))
 
 
-def judge_coverage(nested: DataFrame, judges: str, expected: str) -> DataFrame:
+def judge_coverage(nested: DataFrame, judges: str, expected: str, key: str) -> DataFrame:
     """Coverage and agreement of each judge and regime in a map of maps."""
-    rows = nested.select(expected, F.explode(judges).alias("judge", "regimes")).select(expected, "judge", F.explode("regimes").alias("regime", "label"))
+    rows = nested.select(key, expected, F.explode(judges).alias("judge", "regimes")).select(key, expected, "judge", F.explode("regimes").alias("regime", "label"))
     return rows.groupBy("judge", "regime").agg(F.count(F.lit(1)).alias("rows"), pct(F.count_if(F.col("label") == F.col(expected)), F.count(F.lit(1))).alias("agreement_pct"))
 
 
+def coverage_range(nested: DataFrame, judges: str) -> DataFrame:
+    """Least, mean and most labels that a row has over all judges and regimes."""
+    n = F.aggregate(F.map_values(judges), F.lit(0), lambda a, regimes: a + F.size(regimes))
+    return nested.agg(F.min(n).alias("least"), F.round(F.avg(n), 6).alias("mean"), F.max(n).alias("most"))
+
+
 def reward_batches(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
     """Reward batches (with an array of groups) overall and by each dimension, rewards weighted by rollouts."""
     flat = rows.withColumn("g", F.explode("groups")).select(*[c for c in rows.columns if c != "groups"], "g.*")

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..functions import text as X
 from ..functions.status import Response
-from ..operators import embed, metrics, rank, recon, sampling, scores, votes
+from ..operators import embed, metrics, rank, recon, report, sampling, scores, votes
 from ..sources import field_values_of, schema_profile
+from ..sources.scratch import written
+from ..streaming.follow import windowed_counts, work_list
 from .registry import QUERIES, SQL, query, table
 
 EVENT_LABELS = ("click", "error", "purchase", "signup", "view")
@@ -268,8 +270,8 @@ FEATURES = """feats AS (SELECT doc_id, length(text) AS response_chars, length(te
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    made = X.features(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in made.items()])
+    made = X.features(F.col("text"), F.col("counts"))
+    return table(spark, d, "documents").select("doc_id", "text", X.token_counts(F.col("text")).alias("counts")).select("doc_id", *[c.alias(n) for n, c in made.items()])
 
 
 @query(f"WITH {FEATURES} SELECT doc_id, response_chars, response_lines, response_tokens, round(unique_ratio, 6) AS unique_ratio, round(markdown_density, 6) AS markdown_density FROM feats")
@@ -293,10 +295,12 @@ def weird_score(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[A-Za-z0-9_'']+') AS w FROM documents), s AS (SELECT source, len(w) AS n, len(list_distinct(w)) AS v FROM w), pooled AS (SELECT source, count(DISTINCT x) AS v, count(*) AS n FROM (SELECT source, unnest(w) AS x FROM w) GROUP BY source),
 a AS (SELECT source, count(*) AS texts, round(avg(CASE WHEN n > 0 THEN v / sqrt(n) ELSE 0 END), 6) AS mean_root_ttr, round(avg(CASE WHEN n > 1 AND v > 1 THEN (ln(n) - ln(v)) / (ln(n) * ln(n)) ELSE 0 END), 6) AS mean_maas FROM s GROUP BY source) SELECT source, texts, mean_root_ttr, mean_maas, round(v / sqrt(n), 6) AS global_root_ttr FROM a JOIN pooled USING (source)""")
 def lexical_diversity(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("source", X.tokens(F.col("text")).alias("w"))
-    each = rows.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.round(F.avg(X.root_ttr(F.col("w"))), 6).alias("mean_root_ttr"), F.round(F.avg(X.maas(F.col("w"))), 6).alias("mean_maas"))
-    words = rows.select("source", F.explode("w").alias("x")).groupBy("source", "x").agg(recon.one())
-    pooled = words.groupBy("source").agg((F.count(F.lit(1)) / F.sqrt(F.sum("n"))).alias("g"))
+    once = X.let(X.tokens(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.array_distinct(w).alias("w")))
+    rows = written(table(spark, d, "documents").select("source", once.alias("t")).select("source", "t.n", F.size("t.w").cast("long").alias("v"), "t.w"), "tokens")
+    means = [F.round(F.avg(f(F.col("n"), F.col("v"))), 6).alias(name) for name, f in (("mean_root_ttr", X.root_ttr), ("mean_maas", X.maas))]
+    each = rows.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), *means)
+    words = rows.select("source", F.explode("w").alias("x")).distinct().groupBy("source").agg(recon.one("kinds"))
+    pooled = each.select("source", "n").join(words, "source").select("source", (F.col("kinds") / F.sqrt("n")).alias("g"))
     return each.join(pooled, "source").select("source", "texts", "mean_root_ttr", "mean_maas", F.round("g", 6).alias("global_root_ttr"))
 
 
@@ -363,9 +367,9 @@ def dedup_first_last(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH done AS (SELECT l_orderkey AS k, max(l_shipdate) AS seen_at FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN k IS NULL THEN 'new' ELSE 'stale' END AS reason FROM orders LEFT JOIN done ON k = o_orderkey WHERE k IS NULL OR seen_at < o_orderdate""")
 def incremental_worklist(spark: SparkSession, d: str) -> DataFrame:
-    done = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_shipdate").alias("at"))
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    return o.join(done, F.col("k") == F.col("o_orderkey"), "left").filter(F.col("k").isNull() | (F.col("at") < F.col("o_orderdate"))).select("o_orderkey", F.when(F.col("k").isNull(), "new").otherwise("stale").alias("reason"))
+    done = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").alias("analysed_at"))
+    todo = work_list(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), done, ["o_orderkey"], "o_orderdate")
+    return todo.select("o_orderkey", F.when(F.col("analysed_at").isNull(), "new").otherwise("stale").alias("reason"))
 
 
 @query("""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), r AS (SELECT lang, n, round(97 * CAST(n AS DOUBLE) / sum(n) OVER (), 9) AS raw FROM c), f AS (SELECT *, floor(raw) AS fl FROM r), k AS (SELECT *, row_number() OVER (ORDER BY raw - fl DESC, lang DESC) AS rk, 97 - sum(fl) OVER () AS rest FROM f)
@@ -465,7 +469,7 @@ def json_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT coalesce(source, 'TOTAL') AS source, CAST(sum(n_chars // 4) AS BIGINT) AS tokens FROM documents GROUP BY ROLLUP (source)")
 def rollup_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").rollup("source").agg(F.sum(F.expr("n_chars div 4")).alias("tokens")).select(F.coalesce("source", F.lit("TOTAL")).alias("source"), "tokens")
+    return report.token_totals(table(spark, d, "documents").select("source", F.expr("n_chars div 4").alias("t")), "source", "t")
 
 
 @query("""WITH p AS (SELECT s_suppkey, s_nationkey, 1 + s_nationkey % 25 AS brand, s_acctbal FROM supplier), m AS (SELECT p_partkey, s_suppkey, p_retailprice * (1 + s_nationkey) / 3600 AS cost, row_number() OVER (PARTITION BY p_partkey ORDER BY p_retailprice * (1 + s_nationkey) / 3600, s_suppkey) AS r FROM part JOIN p ON regexp_matches(p_brand, '^Brand#' || brand || '$') AND s_acctbal >= p_size * 10)
@@ -474,19 +478,12 @@ def cost_rank_theta(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.concat(F.lit("^Brand#"), (1 + F.col("s_nationkey") % 25).cast("string"), F.lit("$")).alias("pattern"))
     offers = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
     cost = scores.run_cost(F.col("p_retailprice"), 1 + F.col("s_nationkey"))
-    best = recon.theta_best(offers, p, F.rlike("p_brand", F.col("pattern")) & (F.col("s_acctbal") >= F.col("p_size") * 10), [cost, F.col("s_suppkey")], "p_partkey")
+    best = recon.theta_best(offers, p, "p_brand", "pattern", F.col("s_acctbal") >= F.col("p_size") * 10, [cost, F.col("s_suppkey")], "p_partkey")
     return best.select("p_partkey", "s_suppkey", F.round(cost, 6).alias("cost"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(CASE WHEN doc_id % 4 = 0 THEN left(text, 20) || '中文' || doc_id || '漢字' ELSE left(text, 20) END, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}]+')) AS spans FROM documents")
+@query(r"SELECT doc_id, len(regexp_extract_all(CASE WHEN doc_id % 4 = 0 THEN text || '中文' || doc_id || '漢字' ELSE text END, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]+')) AS spans FROM documents")
 def cjk_spans(spark: SparkSession, d: str) -> DataFrame:
-    head = F.left("text", F.lit(20))
-    text = F.when(F.col("doc_id") % 4 == 0, F.concat(head, F.lit("中文"), F.col("doc_id").cast("string"), F.lit("漢字"))).otherwise(head)
-    return table(spark, d, "documents").select("doc_id", F.size(X.cjk_spans(text)).cast("long").alias("spans"))
-
-
-@query(r"SELECT doc_id, len(regexp_extract_all(CASE WHEN doc_id % 4 = 0 THEN text || '中文' || doc_id || '漢字' ELSE text END, '[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2EBEF}]+')) AS spans FROM documents")
-def cjk_spans_whole(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("中文"), F.col("doc_id").cast("string"), F.lit("漢字"))).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(X.cjk_spans(text)).cast("long").alias("spans"))
 
@@ -513,7 +510,7 @@ def rolling_rate(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_windows(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(recon.one()).select(F.col("w.start").cast("long").alias("start"), "event_type", "n")
+    return windowed_counts(e, "ts", "1 hour", "1 hour", "event_type").select(F.col("window.start").cast("long").alias("start"), "event_type", "n")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)

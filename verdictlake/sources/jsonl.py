@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import written
+
 BAD = "_bad"
+#: Blocks of files whose first lines' numbers are broadcast.
+BROADCAST_BLOCKS = 100_000
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -20,7 +24,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str, required
     """Lines as rows; blank and malformed lines and rows without a required field are left out, unknown fields too.
 
     A missing path gives an empty table.  with_position adds _file and _line, the line's number in its file, for policies
-    that need an order; lines are numbered by byte offset through the file's row index, without a shuffle of the rows.
+    that need an order; blocks of files are counted first, and lines are then numbered without a shuffle of the rows.
     """
     paths = [path] if isinstance(path, str) else path
     there = [p for p in paths if _exists(spark, p)]
@@ -46,7 +50,8 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     first = text.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = first.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return text.join(offsets, ["_file", "_block"]).select("value", "_file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("_line"))
+    offsets = written(offsets, "line-offsets")  # a row for each block that a task reads
+    return text.join(F.broadcast(offsets) if offsets.count() <= BROADCAST_BLOCKS else offsets, ["_file", "_block"]).select("value", "_file", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("_line"))
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; only where none is named, one beside the warehouse."""
+    """The shared folder that the session names; only where none is named and all runs on one machine, one beside the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 

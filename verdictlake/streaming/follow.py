@@ -20,14 +20,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def work_list(batch: DataFrame, done: DataFrame, keys: list[str], ts: str, matches: Column | None = None) -> DataFrame:
     """Section 2.12, F2: responses without an analysis, with a stale one, or with one that doesn't fit their state.
 
-    done has the keys and `analysed_at`; matches, if given, is true where an analysis fits.
+    done has the keys and `analysed_at`, which the result has too; matches, if given, is true where an analysis fits.
     """
     newest = batch.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts)))).filter("_r = 1").drop("_r")
     both = newest.join(done.groupBy(*keys).agg(F.max("analysed_at").alias("analysed_at")), keys, "left")
     todo = F.col("analysed_at").isNull() | (F.col("analysed_at") < F.col(ts))
     if matches is not None:
         todo = todo | ~F.coalesce(matches, F.lit(False))
-    return both.filter(todo).drop("analysed_at")
+    return both.filter(todo)
 
 
 def follow(source: DataFrame, sink: str, judge: Callable[[DataFrame], DataFrame], keys: list[str], ts: str, state: str, once: bool = True) -> StreamingQuery:
@@ -43,7 +43,7 @@ def follow(source: DataFrame, sink: str, judge: Callable[[DataFrame], DataFrame]
         todo = batch
         if fs.exists(there) and number:
             done = spark.read.parquet(sink).filter(F.col("batch") < number)
-            todo = work_list(batch, done, keys, ts)
+            todo = work_list(batch, done, keys, ts).drop("analysed_at")
         judge(todo).withColumn("analysed_at", F.col(ts)).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{sink}/batch_id={number}")
 
     writer = source.writeStream.foreachBatch(step).option("checkpointLocation", state)
