@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from verdictlake.plans import catalog
+from verdictlake.plans import catalog, evaluation  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -52,5 +52,5 @@ def test_cjk_spans_of_whole_texts(spark, tmp_path):
 def test_divergence_of_all_languages(spark, tmp_path):
     spark.createDataFrame([(1, "en", "s", 2), (2, "de", "s", 4)], "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    (got,) = catalog.QUERIES["divergence_whole"](spark, str(tmp_path)).collect()
+    (got,) = catalog.QUERIES["divergence"](spark, str(tmp_path)).collect()
     assert (got.complete_delta_pp, got.denial_delta_pp, got.evasive_delta_pp, got.total_abs_delta_pp) == (-50.0, 50.0, 0.0, 100.0)

@@ -50,7 +50,7 @@ def _greedy(candidates: DataFrame, order: Sequence[Column], caps: dict[str, int]
     w = Window.partitionBy(*caps).orderBy(*o, key)
     thin = thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= min(target, *caps.values()))
     taken: list = []
-    for row in thin.orderBy(*o, key).toLocalIterator():
+    for row in thin.orderBy(*o, key).toLocalIterator(prefetchPartitions=True):
         if len(taken) >= target:
             break
         if all(used[c].get(row[c], 0) < cap for c, cap in caps.items()):

@@ -179,15 +179,9 @@ def shift_transition(spark: SparkSession, d: str) -> DataFrame:
     return metrics.transitions(joined(spark, d), "a", "c")
 
 
-@query(f"""{JOINED}, s AS (SELECT lang, count(*) AS n, count(*) FILTER (a = 'COMPLETE') - count(*) FILTER (expected = 'COMPLETE') AS c, count(*) FILTER (a = 'DENIAL') - count(*) FILTER (expected = 'DENIAL') AS d, count(*) FILTER (a = 'EVASIVE') - count(*) FILTER (expected = 'EVASIVE') AS e FROM joined WHERE lang = 'en' GROUP BY lang), r AS (SELECT round(100.0 * c / n, 6) AS x, round(100.0 * d / n, 6) AS y, round(100.0 * e / n, 6) AS z FROM s)
-SELECT x AS complete_delta_pp, y AS denial_delta_pp, z AS evasive_delta_pp, round(abs(x) + abs(y) + abs(z), 6) AS total_abs_delta_pp FROM r""")
-def divergence(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.divergence(joined(spark, d).filter("lang = 'en'"), "expected", "a")
-
-
 @query(f"""{JOINED}, s AS (SELECT count(*) AS n, count(*) FILTER (a = 'COMPLETE') - count(*) FILTER (expected = 'COMPLETE') AS c, count(*) FILTER (a = 'DENIAL') - count(*) FILTER (expected = 'DENIAL') AS d, count(*) FILTER (a = 'EVASIVE') - count(*) FILTER (expected = 'EVASIVE') AS e FROM joined), r AS (SELECT round(100.0 * c / n, 6) AS x, round(100.0 * d / n, 6) AS y, round(100.0 * e / n, 6) AS z FROM s)
 SELECT x AS complete_delta_pp, y AS denial_delta_pp, z AS evasive_delta_pp, round(abs(x) + abs(y) + abs(z), 6) AS total_abs_delta_pp FROM r""")
-def divergence_whole(spark: SparkSession, d: str) -> DataFrame:
+def divergence(spark: SparkSession, d: str) -> DataFrame:
     return metrics.divergence(joined(spark, d), "expected", "a")
 
 
@@ -420,7 +414,11 @@ def weighted_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.weighted_sample(table(spark, d, "documents").select("doc_id", "source", "n_chars"), F.col("n_chars").cast("double"), 60, "w", "doc_id").select("doc_id", "source")
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT doc_id, source, lang, row_number() OVER (ORDER BY {MD5.format('greedy')}, doc_id) AS r FROM documents),
+f AS (SELECT CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS doc_id, false AS ok, CAST(0 AS BIGINT) AS pick, CAST([] AS VARCHAR[]) AS s, CAST([] AS VARCHAR[]) AS l UNION ALL
+SELECT o.r, o.doc_id, k.ok, f.pick + CASE WHEN k.ok THEN 1 ELSE 0 END, CASE WHEN k.ok THEN list_append(f.s, o.source) ELSE f.s END, CASE WHEN k.ok THEN list_append(f.l, o.lang) ELSE f.l END
+FROM f JOIN o ON o.r = f.r + 1, LATERAL (SELECT len(list_filter(f.s, lambda x: x IS NOT DISTINCT FROM o.source)) < 5 AND len(list_filter(f.l, lambda x: x IS NOT DISTINCT FROM o.lang)) < 40 AS ok) k WHERE f.pick < 80)
+SELECT doc_id, source, lang, pick FROM f JOIN documents USING (doc_id) WHERE ok""")
 def greedy_capped_selection(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "lang")
     return sampling.select_capped(docs, [X.hash_order("greedy", F.col("doc_id"))], {"source": 5, "lang": 40}, 80, "doc_id")
@@ -568,15 +566,13 @@ def step_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rank.step_blocks(docs, ["lang"], [X.hash_order("blk", F.col("doc_id")), F.col("doc_id")], X.hash_order("pos", F.col("doc_id")), 20)
 
 
+@query("SELECT CASE WHEN event_type = 'error' THEN 'ERROR' WHEN value > 20 THEN 'COMPLETE' ELSE 'EVASIVE' END AS label, count(*) AS n FROM events GROUP BY 1")
 def follow_stream(spark: SparkSession, d: str) -> DataFrame:
     from ..streaming.follow import follow_once
 
     return follow_once(spark, d)
 
 
-QUERIES["follow_stream"] = follow_stream
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return accuracy_grouping_sets(spark, d)
 
