@@ -3,7 +3,7 @@ import random
 from brute import quality
 from pyspark.sql import functions as F
 
-from verdictlake.llm.quality import Rule, order_rules, quality_cascade, rules, statistics
+from verdictlake.llm.quality import STATISTICS, Rule, order_rules, quality_cascade, rules, statistics
 
 
 def texts():
@@ -26,9 +26,27 @@ def test_statistics_match_brute_force(spark):
 
 def test_cascade_gives_the_same_verdict_by_text_and_by_columns(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
-    lazy, full = ({r.doc_id: r.rejected_by is None for r in quality_cascade(docs, report=x).collect()} for x in (False, True))
+    lazy, full = ({r.doc_id: r.rejected_by is None for r in quality_cascade(docs, report=x).collect()} for x in ((), tuple(STATISTICS)))
     assert lazy == full
     assert not lazy[0] and not lazy[1]
+    part = {r.doc_id: r.rejected_by for r in quality_cascade(docs, report=("n_words",), already=F.col("n_words") < 5).collect()}
+    assert {i for i, x in part.items() if x is None} == {i for i, kept in lazy.items() if kept} and part[0] == "base"
+
+
+def test_what_no_rule_reaches_is_not_made(spark):
+    """A statistic that raises is made only for the row that passes the rules before it."""
+    from verdictlake.llm import quality
+
+    made = {"text": F.col("text"), "n_words": F.col("n")}
+    stop = Rule("stop", "n_words > 5", ("n_words",))
+    late = Rule("late", "n_symbols > 9", ("n_symbols",))
+    former = quality.STATISTICS["n_symbols"]
+    quality.STATISTICS["n_symbols"] = ("text", lambda t: F.when(t == "boom", F.raise_error(F.lit("made")).cast("int")).otherwise(0))
+    try:
+        docs = spark.createDataFrame([("boom", 9), ("fine", 1)], "text string, n long").repartition(1)
+        assert [r[0] for r in docs.select(quality.cascade([stop, late], made)).collect()].count("stop") == 1
+    finally:
+        quality.STATISTICS["n_symbols"] = former
 
 
 def test_rules_are_ordered_by_rejections_per_cost(spark):

@@ -24,9 +24,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_cascade
 
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = quality_cascade(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
-    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select(*base, failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    out = quality_cascade(_table(spark, sf_dir, "documents").select("doc_id", "text"), report=base, already=failed)
+    return out.select("doc_id", *base, failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
