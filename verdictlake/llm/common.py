@@ -30,22 +30,30 @@ def scratch_root(spark: SparkSession) -> str:
     return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends at files that outlive executors.
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what lies there is removed when the driver's JVM ends."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
 
-    The files are removed when the driver's JVM ends.
-    """
+def append(df: DataFrame, path: str, codec: str = "zstd") -> None:
+    """Add df's rows as Parquet files to a path of scratch_path."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     former = spark.conf.get(_ARROW_ROWS)
     spark.conf.set(_ARROW_ROWS, ARROW_ROWS)
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.mode("append").option("compression", codec).parquet(path)
     finally:
         spark.conf.set(_ARROW_ROWS, former)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage ends at files that outlive executors."""
+    path = scratch_path(df.sparkSession, label)
+    append(df, path, codec)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, free_name, materialize, split_flat, steps, texts_of
+from .common import SPACE, append, free_name, materialize, scratch_path, split_flat, steps, texts_of
 
-#: Filter size: bits for each line, and the bounds of the whole.  Beyond the bound more lines are suspected, never fewer.
+#: Filter size: bits for each line, and the bounds of one filter.  Beyond the bound keys are cut into ranges with filters of their own.
 BITS_PER_LINE, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 HASHES = 4
 SLICE_BYTES = 1 << 14
@@ -59,32 +59,49 @@ def _once_each(digests: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     return d[new], r[new]
 
 
-def repeated_filter(docs: DataFrame, text: str, least: int) -> tuple[bytes, int]:
+def written_keys(docs: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
+    """id, a, b: the halves of the digest of each long enough key of each document, once a row, sorted inside each file.
+
+    Nothing is shuffled; a range of keys is a few pages of each file, as the reader skips pages by their bounds.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for step in steps(batch, text):
+                _, rows, digests, long = line_keys(texts_of(step, text), least)
+                d, r = _once_each(digests[long], rows[long])
+                if len(d):
+                    a, b = (np.ascontiguousarray(d[:, j]).view(np.int64) for j in (0, 1))
+                    yield pa.RecordBatch.from_arrays([step.column(doc_id).take(pa.array(r)), pa.array(a), pa.array(b)], ["id", "a", "b"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    return materialize(docs.filter(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(keys, schema).sortWithinPartitions("a"), "line-keys", "lz4")
+
+
+def _digests(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("a", "b")])
+
+
+def repeated_filter(keys: DataFrame, bits: int) -> bytes:
     """The twice-seen filter: it holds every key that two rows have, and some others.
 
     Each task fills its own pair of filters over the rows it reads; pairs are merged slice by slice, and what one pair
     has seen once and another has seen once counts as seen twice.  Only filters of fixed size are moved, no lines.
     """
-    spark = docs.sparkSession
-    lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
-    bits = LEAST_BITS
-    while bits < MOST_BITS and bits < BITS_PER_LINE * lines:
-        bits *= 2
+    spark = keys.sparkSession
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            for step in steps(batch, text):
-                _, rows, digests, long = line_keys(texts_of(step, text), least)
-                keys, _ = _once_each(digests[long], rows[long])
-                if not len(keys):
-                    continue
-                # np.unique on pairs is slow; the first half of the digest stands for the whole, which can only add suspects
-                first, at, n = np.unique(keys[:, 0], return_index=True, return_counts=True)
-                places = _places(keys[at], bits)
-                again = _has(once, places) | (n > 1)
-                _add(twice, places[again])
-                _add(once, places)
+            if not batch.num_rows:
+                continue
+            digests = _digests(batch)
+            # np.unique on pairs is slow; the first half of the digest stands for the whole, which can only add suspects
+            _, at, n = np.unique(digests[:, 0], return_index=True, return_counts=True)
+            places = _places(digests[at], bits)
+            again = _has(once, places) | (n > 1)
+            _add(twice, places[again])
+            _add(once, places)
         part = TaskContext.get().partitionId()
         for lo in range(0, bits // 8, SLICE_BYTES):
             o, t = once[lo : lo + SLICE_BYTES], twice[lo : lo + SLICE_BYTES]
@@ -103,15 +120,50 @@ def repeated_filter(docs: DataFrame, text: str, least: int) -> tuple[bytes, int]
 
     schema = "slice int, part int, once binary, twice binary"
     few = min(MOST_FILTERS, max(1, spark.sparkContext.defaultParallelism))
-    filled = docs.select(text).coalesce(few).mapInArrow(fill, schema)
+    filled = keys.select("a", "b").coalesce(few).mapInArrow(fill, schema)
     merged = filled.groupBy("slice").applyInArrow(merge, schema).select("slice", "twice")
     whole = bytearray(bits // 8)  # bounded by MOST_BITS, whatever the corpus
     for row in merged.toLocalIterator():
         whole[row["slice"] * SLICE_BYTES : row["slice"] * SLICE_BYTES + len(row["twice"])] = row["twice"]
-    return bytes(whole), bits
+    return bytes(whole)
 
 
-def line_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least: int = 10) -> DataFrame:
+def suspected(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least: int = 10, most_bits: int = MOST_BITS) -> DataFrame:
+    """id, key: the documents' keys that the twice-seen filters hold; every key of two documents is among them.
+
+    Keys are written once.  Where a filter of `most_bits` is too small for all of them, they are cut into ranges of the
+    digest, each with a pair of filters of its own: filters, what a task holds and what is broadcast stay within the
+    bound, and bits follow the lines.
+    """
+    spark = docs.sparkSession
+    keys = written_keys(docs, text, doc_id, least)
+    n = keys.count()
+    ranges = max(1, -(-n * BITS_PER_LINE // most_bits))
+    bits = LEAST_BITS
+    while bits < most_bits and bits < BITS_PER_LINE * n / ranges:
+        bits *= 2
+    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), T.StructField("key", T.BinaryType())])
+    path = scratch_path(spark, "line-suspects")
+    for r in range(ranges):
+        low, high = (-(1 << 63) + (i << 64) // ranges for i in (r, r + 1))
+        part = keys if ranges == 1 else keys.filter(F.col("a").between(low, high - 1))
+        shared = spark.sparkContext.broadcast(repeated_filter(part, bits))
+
+        def suspect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            twice = np.frombuffer(shared.value, np.uint8)
+            for batch in batches:
+                digests = _digests(batch)
+                hit = _has(twice, _places(digests, bits))
+                if hit.any():
+                    raw = np.ascontiguousarray(digests[hit]).tobytes()
+                    yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(hit)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(raw) // 16, [None, pa.py_buffer(raw)]).cast(pa.binary())], ["id", "key"])
+
+        append(part.mapInArrow(suspect, schema), path)
+        shared.destroy()
+    return spark.read.schema(schema).parquet(path)
+
+
+def line_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", least: int = 10, most_bits: int = MOST_BITS) -> DataFrame:
     """Drop lines that an earlier document has, and give the documents with n_lines and n_dropped.
 
     A line's key is the line without ASCII white space at its ends and with A-Z in lower case.  A key of `least` code
@@ -120,24 +172,8 @@ def line_dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     are one document; rows with a null id take no part and keep all lines.  Columns named n_lines or n_dropped are
     replaced; the others stay.
     """
-    bits_bytes, bits = repeated_filter(docs, text, least)
-    shared = docs.sparkSession.sparkContext.broadcast(bits_bytes)
     key = free_name(docs, "__line_keys")
-    kind = docs.schema[doc_id].dataType
-
-    def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            for step in steps(batch, text):
-                _, rows, digests, long = line_keys(texts_of(step, text), least)
-                keys, rows = _once_each(digests[long], rows[long])
-                hit = _has(twice, _places(keys, bits)) if len(keys) else np.zeros(0, bool)
-                if hit.any():
-                    raw = np.ascontiguousarray(keys[hit]).tobytes()
-                    yield pa.RecordBatch.from_arrays([step.column(doc_id).take(pa.array(rows[hit])), pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(raw) // 16, [None, pa.py_buffer(raw)]).cast(pa.binary())], ["id", "key"])
-
-    schema = T.StructType([T.StructField("id", kind), T.StructField("key", T.BinaryType())])
-    suspects = materialize(docs.filter(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(suspect, schema), "line-suspects")
+    suspects = suspected(docs, text=text, doc_id=doc_id, least=least, most_bits=most_bits)
     # exact: the first holder of each key that two documents have
     winners = materialize(suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first"), "line-winners")
     drops = suspects.join(winners, "key").filter("id > first").groupBy(F.col("id").alias(free_name(docs, "__id"))).agg(F.collect_set("key").alias(key))
