@@ -2,7 +2,7 @@ import random
 
 from brute import pii
 
-from verdictlake.llm.pii import BASE, VOTES, find_pii, learn
+from verdictlake.llm.pii import BASE, FEATURES, PATTERNS, VOTES, find_pii, train, weigh
 
 TEXTS = [
     None, "", "no data here", "mail a.b+c@mail.example.com, or x@y", "a@b.c_d@e.f @ a@@b.c", "1.2.3.4.5.6.7.8 300.1.1.1 0010.0.0.255", "999.1.1.1 12.34.56.78",
@@ -39,13 +39,35 @@ def test_em_learns_which_labelers_are_right():
     for kind in ("ssn", "local_phone"):
         for form, context, against, n in ((1, 1, 0, 80), (1, 0, 0, 20), (-1, 0, -1, 60), (-1, 1, -1, 3)):
             patterns.append({"kind": kind, "form": form, "gazetteer": 0, "context": context, "against": against, "edges": 0, "n": n})
-    model = learn(patterns)
-    assert model.reliabilities["form"] > 0.8
-    assert model.votes["form", 1] > 0 > model.votes["form", -1]
-    assert set(model.reliabilities) == set(VOTES)
+    chance, reliabilities = weigh(patterns)
+    assert reliabilities["form"] > 0.8 and set(reliabilities) == set(VOTES)
+    assert all((q > 0.5) == (p["form"] == 1) for q, p in zip(chance, patterns, strict=True))
+
+
+def test_secrets_are_found_and_stand_ins_are_not(spark):
+    rows = [(i, f'word {i} token = "{f"{i:02x}a9" * 10}" and password={f"b{i}x" * 5}') for i in range(10, 40)]
+    rows += [(1, "key AKIA" + "Q7" * 8 + " é"), (2, "the token: nothing here, password = changeme"), (3, "-----BEGIN PRIVATE KEY-----\nMIIB\n-----END PRIVATE KEY-----")]
+    got = spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [(s["kind"], s["hit"]) for s in got[12]] == [("secret_value", "0ca9" * 10), ("secret_value", "b12x" * 5)]
+    assert [(s["kind"], s["start"], s["end"]) for s in got[1]] == [("secret_key", 4, 24)]
+    assert got[2] == [] and [s["kind"] for s in got[3]] == ["secret_key"]
+
+
+def test_the_classifier_carries_belief_over_to_looks():
+    look = dict.fromkeys(FEATURES, 1)
+    rows = [look | {"kind": "local_phone", "word": w, "q": q} for w, q in ((3, 0.95), (9, 0.02)) for _ in range(50)]
+    model = train(rows)
+    score = lambda s: model.kinds[s["kind"]] + sum(model.features[f][s[f]] for f in FEATURES)
+    assert score(rows[0]) > 0 > score(rows[-1])
+    assert train(rows[::-1]) == model
+
+
+def test_repeated_rows_have_the_same_spans(spark):
+    frame = spark.createDataFrame([(1, "call (555) 123-4567")] * 3, "doc_id long, text string")
+    assert [[s["kind"] for s in r.spans] for r in find_pii(frame).collect()] == [["local_phone"]] * 3
 
 
 def test_no_candidates_and_empty_table(spark):
     assert find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert learn([]).kinds.keys() >= set(BASE)
+    assert train([]).kinds.keys() == set(PATTERNS) >= set(BASE)
     assert spans(spark.createDataFrame([(1, "plain")], "doc_id long, text string")) == {1: []}

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, let, materialize, without
@@ -21,24 +24,43 @@ LOCAL = r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 NAME = r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Sr|Sra|Señor|Señora)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,2}"
+# Forms of keys that services publish, and values that are given to a word for a secret.
+KEY = (
+    r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|sk-[A-Za-z0-9_-]{20,}+"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----(?:[^-]*+-----END [A-Z ]*+-----)?"
+)
+VALUE = r"(?i)(?<![a-z0-9+/_.-])(?=[^\s\"'`,;<>]{8})(?<=(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)[^\s\"'`,;<>]++"
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("masked_email", "local_phone", "ssn", "iban", "name")
-PATTERNS = dict(zip(BASE + EXTRA, (EMAIL, IP, CARD, PHONE, MASKED, LOCAL, SSN, IBAN, NAME), strict=True))
+SECRETS = ("secret_key", "secret_value")
+EXTRA = ("masked_email", "local_phone", "ssn", "iban", "name", *SECRETS)
+PATTERNS = dict(zip(BASE + EXTRA, (EMAIL, IP, CARD, PHONE, MASKED, LOCAL, SSN, IBAN, NAME, KEY, VALUE), strict=True))
 #: What a text must hold for the pattern to be tried at all.
-NEEDS = {"email": "@", "phone": "+"}
+NEEDS = {"email": ("@",), "phone": ("+",), "secret_value": ("=", ":")}
 # Gazetteers and context words.
 DOMAINS = "com net org edu gov mil int info biz io co ai de fr es it nl uk us eu ch at be pt pl se no dk fi jp cn in br ru ca au mx test example invalid localhost"
 GIVEN = "james john robert michael william david mary patricia jennifer linda elizabeth susan hans peter karl anna maria juan carlos luis pedro marie jean pierre paul sophie camille thomas martin laura julia"
 NEAR = r"(?i)(?:e-?mail|mail to|contact|write to|call|phone|tel\b|tél|mobile|fax|whatsapp|card|visa|account|konto|iban|ssn|social security|ip address|\bip\b|host|reach|appel|ruf|llam|correo|name is|dear|signed|patient|attn)[^\n]{0,24}$"
 AGAINST = r"(?i)(?:version|\bv\.?|release|order|invoice|isbn|issn|doi|section|chapter|page|figure|serial|part no|sku|tracking|hash|token|[=\"'#$])[^\n\p{L}]{0,3}$"
 
+# Context words of secrets, and values that only stand for one.
+NEAR_SECRET = r"(?i)(?:key|secret|token|passw|pwd|credential|auth|bearer|login)[^\n]{0,24}$"
+AGAINST_SECRET = r"(?i)(?:example|sample|dummy|placeholder|sha1|sha256|md5|commit|checksum)[^\n]{0,12}$"
+STAND_IN = r"(?i)^(?:your|example|sample|changeme|placeholder|null|none|true|false|x{4}|\*{3}|\$\{)"
+
+#: Spans of each kind that the classifier is fitted on at most: those with the smallest hashes.
+FIT_SPANS = 1000
+#: What the classifier sees of a span, and how many values each feature has: length, shares of digits and of distinct
+#: characters, the characters beside it, and the word before it by its hash.
+FEATURES = {"size": 8, "digits": 5, "distinct": 5, "left": 5, "right": 5, "word": 64}
 VOTES = ("form", "gazetteer", "context", "against", "edges")
 
 
 def matches(text: Column, kind: str) -> Column:
     """array of (kind, start, end, match, before, after) for each match, leftmost first; positions count code points."""
     pattern = F.lit(PATTERNS[kind])
-    tried = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike(PATTERNS[kind])
+    tried = F.lit(kind in BASE and kind in NEEDS) | text.rlike(PATTERNS[kind])
+    if kind in NEEDS:
+        tried = reduce(or_, [text.contains(x) for x in NEEDS[kind]]) & tried
 
     def pieces(both: Column) -> Column:
         def add(acc: Column, i: Column) -> Column:
@@ -82,6 +104,7 @@ def _form(s: Column) -> Column:
         .when(kind == "phone", F.length(digits).between(10, 15))
         .when(kind == "ssn", ~digits.rlike("^(000|666|9)|^...00|0000$"))
         .when(kind == "local_phone", ~digits.rlike("^[01]"))
+        .when(kind == "secret_value", s["hit"].rlike("[0-9]"))
         .when(kind == "iban", F.length(F.regexp_replace(s["hit"], " ", "")).between(15, 34))
         .otherwise(True)
     )
@@ -95,6 +118,7 @@ def _votes(s: Column) -> Column:
     given = F.array(*[F.lit(x) for x in GIVEN.split()])
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     mail = s["kind"].isin("email", "masked_email")
+    secret = s["kind"].isin(*SECRETS)
     private = s["hit"].rlike("^(10|127|0|255)\\.|^192\\.168\\.")
     return F.struct(
         vote(_form(s), ~_form(s)).alias("form"),
@@ -102,82 +126,127 @@ def _votes(s: Column) -> Column:
         .when(s["kind"] == "name", vote(F.arrays_overlap(F.split(low, " "), given), F.lit(False)))
         .when(s["kind"] == "ip", vote(F.lit(False), private))
         .when(s["kind"] == "card", vote(s["hit"].rlike("^[3-6]"), s["hit"].rlike("^0")))
+        .when(secret, vote((s["kind"] == "secret_key") | s["hit"].rlike("^[0-9A-Fa-f]{16,}$|^[A-Za-z0-9+/_-]{24,}={0,2}$"), s["hit"].rlike(STAND_IN)))
         .otherwise(0).alias("gazetteer"),
-        vote(s["before"].rlike(NEAR), F.lit(False)).alias("context"),
-        vote(F.lit(False), s["before"].rlike(AGAINST)).alias("against"),
-        vote(F.lit(False), s["before"].rlike("[\\p{L}\\p{N}_/=]$") | s["after"].rlike("^[\\p{L}\\p{N}_/=@]")).alias("edges"),
+        vote(F.when(secret, s["before"].rlike(NEAR_SECRET)).otherwise(s["before"].rlike(NEAR)), F.lit(False)).alias("context"),
+        vote(F.lit(False), F.when(secret, s["before"].rlike(AGAINST_SECRET)).otherwise(s["before"].rlike(AGAINST))).alias("against"),
+        vote(F.lit(False), s["before"].rlike("[\\p{L}\\p{N}_/]$") | (~secret & s["before"].endswith("=")) | s["after"].rlike("^[\\p{L}\\p{N}_/=@]")).alias("edges"),
     )
 
 
+def _features(s: Column) -> Column:
+    """What the classifier sees; FEATURES holds the number of values of each."""
+    n = F.length(s["hit"])
+
+    def beside(c: Column, at: str) -> Column:
+        pattern = lambda x: f"^{x}" if at == "^" else f"{x}$"
+        return F.when(c == "", 0).when(c.rlike(pattern("\\s")), 1).when(c.rlike(pattern("[\\p{L}\\p{N}]")), 2).when(c.rlike(pattern("[\"'=:(<\\[]")), 3).otherwise(4)
+
+    share = lambda part: F.least(F.lit(4), F.floor(4 * part / n).cast("int"))
+    word = F.lower(F.regexp_extract(s["before"], "(\\p{L}+)\\P{L}*$", 1))
+    return F.struct(
+        F.least(F.lit(7), F.floor(F.log2(n)).cast("int")).alias("size"),
+        share(F.length(_digits(s["hit"]))).alias("digits"),
+        share(F.size(F.array_distinct(F.split(s["hit"], "")))).alias("distinct"),
+        beside(s["before"], "$").alias("left"),
+        beside(s["after"], "^").alias("right"),
+        F.pmod(F.xxhash64(word), F.lit(FEATURES["word"])).cast("int").alias("word"),
+    )
+
+
 @dataclass(frozen=True)
 class Model:
-    """Log-odds of the final classifier: one for each kind and one for each vote of each labeler."""
+    """Log-odds of the final classifier: one for each kind and one for each value of each feature."""
 
     kinds: dict[str, float]
-    votes: dict[tuple[str, int], float]
-    reliabilities: dict[str, float]
+    features: dict[str, list[float]]
 
     def score(self, s: Column) -> Column:
-        total = F.lit(0.0)
-        for kind, w in self.kinds.items():
-            total = total + F.when(s["kind"] == kind, w).otherwise(0.0)
-        for (name, value), w in self.votes.items():
-            total = total + F.when(s["votes"][name] == value, w).otherwise(0.0)
+        total = F.create_map(*[F.lit(x) for pair in self.kinds.items() for x in pair])[s["kind"]]
+        for name, weights in self.features.items():
+            total = total + F.array(*[F.lit(w) for w in weights])[s["features"][name]]
         return total
 
 
-def learn(patterns: list[dict]) -> Model:
-    """EM over vote patterns with counts, then a logistic classifier fitted to the posteriors.
+def weigh(patterns: list[dict]) -> tuple[list[float], dict[str, float]]:
+    """EM over vote patterns with counts: each pattern's chance to be personal data, and each labeler's reliability.
 
-    Each pattern is a kind, the labelers' votes and how many spans show them; there are at most 9 * 3 ** 5.  EM has a rate of
-    personal data for each kind and for each labeler a chance of each vote in either class (Dawid and Skene), smoothed by
-    a prior under which a vote is right three times in four; so the classes can't change places.
+    Each pattern is a kind, the labelers' votes and how many spans show them; there are at most 11 * 3 ** 5.  EM has a rate
+    of personal data for each kind and for each labeler a chance of each vote in either class (Dawid and Skene), smoothed
+    by a prior under which a vote is right three times in four; so the classes can't change places.  Who abstains says
+    nothing: labelers know some kinds only, and kinds they don't know aren't the less personal.
     """
-    prior = {(v, c): (0.5 if v == 0 else 0.375 if (v > 0) == c else 0.125) for v in (-1, 0, 1) for c in (True, False)}
-    chance = {(name, v, c): prior[v, c] for name in VOTES for v in (-1, 0, 1) for c in (True, False)}
+    prior = {(v, c): 0.75 if (v > 0) == c else 0.25 for v in (-1, 1) for c in (True, False)}
+    chance = {(name, v, c): prior[v, c] for name in VOTES for v in (-1, 1) for c in (True, False)}
     rate = dict.fromkeys(PATTERNS, 0.5)
     strength = 8.0
     posterior = [0.5] * len(patterns)
     for _ in range(30):
         for i, p in enumerate(patterns):
             odds = math.log(rate[p["kind"]] / (1 - rate[p["kind"]]))
-            odds += sum(math.log(chance[n, p[n], True] / chance[n, p[n], False]) for n in VOTES)
+            odds += sum(math.log(chance[n, p[n], True] / chance[n, p[n], False]) for n in VOTES if p[n])
             posterior[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         for kind in PATTERNS:
             of = [(q, p["n"]) for q, p in zip(posterior, patterns, strict=True) if p["kind"] == kind]
             rate[kind] = (sum(q * n for q, n in of) + 1) / (sum(n for _, n in of) + 2)
         for name in VOTES:
             for c in (True, False):
-                mass = {v: strength * prior[v, c] for v in (-1, 0, 1)}
+                mass = {v: strength * prior[v, c] for v in (-1, 1)}
                 for q, p in zip(posterior, patterns, strict=True):
-                    mass[p[name]] += p["n"] * (q if c else 1 - q)
+                    if p[name]:
+                        mass[p[name]] += p["n"] * (q if c else 1 - q)
                 whole = sum(mass.values())
                 for v in mass:
                     chance[name, v, c] = mass[v] / whole
-    kinds, votes = dict.fromkeys(PATTERNS, 0.0), {(n, v): 0.0 for n in VOTES for v in (-1, 1)}
-    total = sum(p["n"] for p in patterns) or 1
-    for _ in range(400):
-        slope_k, slope_v = dict.fromkeys(kinds, 0.0), dict.fromkeys(votes, 0.0)
-        for q, p in zip(posterior, patterns, strict=True):
-            z = kinds[p["kind"]] + sum(votes.get((n, p[n]), 0.0) for n in VOTES)
-            error = p["n"] / total * (q - 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            slope_k[p["kind"]] += error
-            for n in VOTES:
-                if p[n]:
-                    slope_v[n, p[n]] += error
-        for key, g in slope_k.items():
-            kinds[key] += 2.0 * (g - 1e-4 * kinds[key])
-        for key, g in slope_v.items():
-            votes[key] += 2.0 * (g - 1e-4 * votes[key])
-    right = {n: chance[n, 1, True] / (chance[n, 1, True] + chance[n, 1, False]) for n in VOTES}
-    return Model(kinds, votes, right)
+    return posterior, {n: chance[n, 1, True] / (chance[n, 1, True] + chance[n, 1, False]) for n in VOTES}
+
+
+def train(spans: list[dict]) -> Model:
+    """A logistic classifier of kind and features, fitted to the chances `q` of at most FIT_SPANS spans of each kind.
+
+    The labelers' votes are no features: the classifier carries what EM believes of them over to how spans look.
+    """
+    kinds = list(PATTERNS)
+    starts = np.cumsum([0, len(kinds), *FEATURES.values()])
+    w = np.zeros(starts[-1])
+    if spans:
+        spans = sorted(spans, key=lambda s: (s["kind"], *(s[f] for f in FEATURES), s["q"]))  # sums don't depend on Spark's order
+        at = np.array([[kinds.index(s["kind"]), *(s[f] + o for f, o in zip(FEATURES, starts[1:], strict=False))] for s in spans])
+        q = np.array([s["q"] for s in spans])
+        for _ in range(600):
+            error = (q - 1 / (1 + np.exp(-np.clip(w[at].sum(axis=1), -30, 30)))) / len(q)
+            w += 1.0 * (np.bincount(at.ravel(), np.repeat(error, at.shape[1]), len(w)) - 1e-4 * w)
+    w = np.round(w, 9)
+    return Model(dict(zip(kinds, w.tolist(), strict=False)), {f: w[o : o + n].tolist() for (f, n), o in zip(FEATURES.items(), starts[1:], strict=False)})
+
+
+def fitted(candidates: DataFrame) -> Model:
+    """The classifier for a table of spans (column s): EM over the votes of all of them, then the fit on a bounded sample."""
+    votes = [F.col(f"s.votes.{n}").alias(n) for n in VOTES]
+    patterns = [r.asDict() for r in candidates.groupBy("s.kind", *votes).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 11 * 3 ** 5 rows
+    patterns.sort(key=lambda p: (p["kind"], *(p[n] for n in VOTES)))
+    if not patterns:
+        return train([])
+    chance, _ = weigh(patterns)
+    of = {(p["kind"], *(p[n] for n in VOTES)): q for p, q in zip(patterns, chance, strict=True)}
+    # smallest hashes of each kind: a threshold from the counts leaves a few times FIT_SPANS, the window takes the first
+    number = F.xxhash64("s.kind", "s.start", "s.hit", "s.votes", "s.features")
+    counts = dict.fromkeys(PATTERNS, 0)
+    for p in patterns:
+        counts[p["kind"]] += p["n"]
+    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(2**31 * min(1.0, 4 * FIT_SPANS / max(1, n))))])
+    near = candidates.select("s.kind", *votes, *[F.col(f"s.features.{f}").alias(f) for f in FEATURES], number.alias("h")).filter(F.pmod(F.col("h"), F.lit(2**31)) < bound[F.col("kind")])
+    order = Window.partitionBy("kind").orderBy(F.pmod(F.col("h"), F.lit(2**31)), "h")
+    sample = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIT_SPANS).drop("h", "r").collect()  # 11 * FIT_SPANS rows
+    return train([r.asDict() | {"q": of[(r["kind"], *(r[n] for n in VOTES))]} for r in sample])
 
 
 def find_pii(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """docs without the text, and with spans: array of (kind, start, end, base, hit), by start and then by the order of kinds.
 
-    Base spans are the four kinds' matches that pass their checks; they always stay.  The other kinds' matches, where they
-    overlap no base span, stay if the classifier that was trained on the labelers' votes takes them for personal data.  The
+    Base spans are the four kinds' matches that pass their checks; they always stay.  The other kinds' matches stay if
+    they pass the checks of their kind, overlap no base span (secrets: lie in none), and the classifier that was trained on
+    what EM makes of the labelers' votes takes them for personal data.  The
     whole text is read once; candidates are written, so that training and the result see the same.  A null text is empty
     and has no spans; an empty table trains on nothing.  A column named spans is replaced.  All of it is Spark SQL but for
     the driver's arithmetic on vote counts.
@@ -187,16 +256,16 @@ def find_pii(docs: DataFrame, *, text: str = "text") -> DataFrame:
     t, candidates = free_name(docs, "__t"), free_name(docs, "__candidates")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = docs.select(*rest, body.alias(t)).select(*rest, F.concat(*[matches(F.col(t), kind) for kind in PATTERNS]).alias(candidates))
-    judged = F.transform(candidates, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), _votes(s).alias("votes")))
+    judged = F.transform(candidates, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), _votes(s).alias("votes"), _features(s).alias("features")))
     table = materialize(found.select(*rest, judged.alias(candidates)), "pii-candidates")
-    one = table.select(F.explode(candidates).alias("s")).groupBy("s.kind", *[F.col(f"s.votes.{n}").alias(n) for n in VOTES]).agg(F.count(F.lit(1)).alias("n"))
-    model = learn([r.asDict() for r in one.collect()])  # at most 9 * 3 ** 5 rows
+    model = fitted(table.select(F.explode(candidates).alias("s")))
     base = lambda s: s["kind"].isin(*BASE) & (s["votes"]["form"] == 1)
     order = F.create_map(*[F.lit(x) for i, k in enumerate(PATTERNS) for x in (k, i)])
 
     def select(c: Column) -> Column:
         firm = F.filter(c, base)
-        more = F.filter(c, lambda s: ~s["kind"].isin(*BASE) & (model.score(s) > 0) & ~F.exists(F.filter(c, base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        over = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & (~s["kind"].isin(*SECRETS) | ((b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+        more = F.filter(c, lambda s: ~s["kind"].isin(*BASE) & (s["votes"]["form"] >= 0) & (model.score(s) > 0) & ~F.exists(F.filter(c, base), lambda b: over(s, b)))
         keyed = F.transform(F.concat(firm, more), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("o"), s["end"].alias("end"), s["kind"].alias("kind"), base(s).alias("base"), s["hit"].alias("hit")))
         return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["hit"].alias("hit")))
 
