@@ -43,3 +43,37 @@ def test_run_equals_the_stages(spark, data):
             docs = pipeline.materialize(docs, "t")
     key = lambda rows: sorted((r.doc_id, r.start, r.length, bytes(r.ids)) for r in rows)
     assert key(pipeline.run(spark, data).collect()) == key(docs.collect())
+
+
+def odd_documents(spark, data):
+    """Clean texts among nulls, empty and long ones, repeated rows and ids, equal texts, and columns that stages add."""
+    good = {r.doc_id for r in spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1").collect()}
+    texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect() if r.doc_id in good]
+    text = texts[0]
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, text), (None, text), (None, None), (5, "\n".join(texts[1:])), (6, texts[1])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rejected_by string, n_lines int, N_DROPPED int"
+    return rows, spark.createDataFrame([(i, t, "en", "web" if i != 4 else None, len(t or ""), f"r{n}", n, n) for n, (i, t) in enumerate(rows)], schema)
+
+
+def test_stages_take_nulls_repeated_ids_long_texts_and_clashing_names(spark, data):
+    rows, docs = odd_documents(spark, data)
+    left = {}
+    for name, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, data)
+        assert sorted(out.columns) == sorted(docs.columns), name
+        got = out.collect()
+        left[name] = {r.n_lines: r.text for r in got}
+        for r in got:
+            assert (r.rejected_by, r.N_DROPPED, r.doc_id) == (f"r{r.n_lines}", r.n_lines, rows[r.n_lines][0]), name
+            assert name == "line dedup" or r.text == rows[r.n_lines][1], name
+    assert left["quality rules"].keys() >= {0, 1, 4, 5, 8} and not left["quality rules"].keys() & {2, 3, 6}
+    assert left["line dedup"] == {n: t for n, (_, _, d, t) in enumerate(line_dedup(rows)) if not d or t.strip(" \t\n\x0b\x0c\r")}
+    assert left["near dedup"].keys() == {0, 1, 2, 3, 5, 6, 7, 8}
+    packed = pipeline.packing(spark, docs, data).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in rows}
+
+
+def test_stages_take_an_empty_table(spark, data):
+    docs = odd_documents(spark, data)[1].limit(0)
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs, data).count() == 0, name
