@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small tables."""
 
+import hashlib
 import html
 import math
 import re
@@ -147,3 +148,41 @@ def main_text(page):
         out.append(x["text"]) if x["line"] != last else out.append(out.pop() + x["text"])
         last = x["line"]
     return "\n\n".join(re.sub(r"\s+", " ", t).strip() for t in out)
+
+
+def repair(rows: list[tuple]) -> tuple:
+    """The result of a conversation's repair by a search over all edits: rows are (turn, role, text) in order."""
+    seen, kinds = set(), []
+    for _, role, text in rows:
+        bare = text.strip(" \t\n\x0b\x0c\r")
+        kinds.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    # every pair of rows done and role initials written, with the least (cost, audit) that leads there
+    ways, steps = {"": {(0, "", ())}}, {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    def widen(ways: dict) -> dict:
+        best = {q: min(w) for q, w in ways.items()}
+        for _ in range(2):
+            for q, (c, a, t) in list(best.items()):
+                for r in steps[q].replace("s", ""):
+                    new = (c + 5, a + "I", (*t, {"u": "user:", "a": "assistant:"}[r]))
+                    best[r] = min(best.get(r, new), new)
+        return best
+
+    for (_, role, text), kind in zip(rows, kinds, strict=True):
+        new: dict = {}
+        for q, (c, a, t) in widen(ways).items():
+            new.setdefault(q, set()).add((c + 2, a + "D", t))
+            if kind in ("blank", "duplicate"):
+                continue
+            more = 5 * (kind == "truncated")
+            if role[:1] and role[:1] in steps[q]:
+                new.setdefault(role[:1], set()).add((c + more, a + "K", (*t, f"{role}:{text}")))
+            for r, name in (("u", "user"), ("a", "assistant")):
+                if r in steps[q]:
+                    new.setdefault(r, set()).add((c + 1 + more, a + "R", (*t, f"{name}:{text}")))
+        ways = new
+    cost, audit, text = min(w for q, w in widen(ways).items() if q in ("", "a"))
+    turns = {t for t, _, _ in rows if t is not None}
+    bad = sum(x[1][:1] + y[1][:1] not in ("su", "ua", "au") for x, y in zip(rows, rows[1:], strict=False))
+    return (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(kinds.count(k) for k in ("blank", "duplicate", "truncated")), bad, cost, audit, hashlib.sha256("\n".join(text).encode()).hexdigest())

@@ -94,6 +94,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), keys=("doc_id",), copy_column="copy")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs
+
+    return periodic_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), repeated=True)
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turns import damaged, repair_conversations
+
+    return repair_conversations(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     names = [n for n in globals() if n.startswith("op") and n[2].isdigit()]
     return {n: globals()[n] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))}
@@ -151,5 +163,51 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.b AS componen
 """
 
 
+def _op12_sql() -> str:
+    """The edits as a forward recursion that keeps the least (cost, audit, text) of each state, one turn a step."""
+    turn = "chr(10) || {0} || ':' || {1}"
+
+    def option(state: str, put: int, letter: str, cost: str, added: str) -> str:
+        return f"struct_pack(c := p.{state}.c + {5 * put} + {cost}, a := p.{state}.a || '{'I' * put}{letter}', t := p.{state}.t || {added})"
+
+    def least(options: list[str]) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda x: x.c IS NOT NULL))[1]"
+
+    own, user, assistant = (turn.format(*x) for x in (("r.role", "r.text"), ("'user'", "r.text"), ("'assistant'", "r.text")))
+    cut = "CASE WHEN r.fault = 'truncated' THEN 5 ELSE 0 END"
+    may = "CASE WHEN r.fault IN ('blank', 'duplicate') THEN NULL ELSE 0 END"
+    keep = lambda x: f"CASE WHEN r.initial = '{x}' THEN 0 END + {may} + {cut}"
+    role = f"1 + {may} + {cut}"
+    put_user, put_assistant = "chr(10) || 'user:' || ", "chr(10) || 'assistant:' || "
+    to_u = [option(q, n, letter, cost, (put_assistant if n else "") + text) for q, n in (("e", 0), ("s", 0), ("a", 0), ("u", 1)) for letter, cost, text in (("K", keep("u"), own), ("R", role, user))]
+    to_a = [option(q, n, letter, cost, (put_user if n else "") + text) for q, n in (("u", 0), ("e", 1), ("s", 1), ("a", 1)) for letter, cost, text in (("K", keep("a"), own), ("R", role, assistant))]
+    to_s = [option("e", 0, "K", keep("s"), own)]
+    drop = lambda q: option(q, 0, "D", "2", "''")
+    none = "struct_pack(c := CAST(NULL AS BIGINT), a := CAST(NULL AS VARCHAR), t := CAST(NULL AS VARCHAR))"
+    ends = [option("e", 0, "", "0", "''"), option("a", 0, "", "0", "''"), option("u", 1, "", "0", "chr(10) || 'assistant:'"), option("s", 2, "", "0", "chr(10) || 'user:' || chr(10) || 'assistant:'")]
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(key) + 1), lambda i: [CAST(ascii(key[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS n FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN right(trim(text, e' 	
+'), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS former FROM o),
+s AS (SELECT conv_id, count(turn) AS n, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (former IS NOT NULL AND former || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS last FROM f GROUP BY conv_id),
+p AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, struct_pack(c := CAST(0 AS BIGINT), a := '', t := '') AS e, {none} AS s, {none} AS u, {none} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT p.conv_id, p.i + 1, {least([drop("e")])}, {least([drop("s"), *to_s])}, {least([drop("u"), *to_u])}, {least([drop("a"), *to_a])} FROM p JOIN f r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+), z AS (SELECT p.conv_id, {least(ends)} AS z, s.* EXCLUDE (conv_id, n, last) FROM p LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = coalesce(s.last, 0))
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(z.c AS BIGINT) AS cost, z.a AS audit, sha256(substr(z.t, 2)) AS repaired_sha256 FROM z
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op7_neardup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op12_turn_repair": OP12_SQL, "op1_quality_rules": OP1_SQL, "op7_neardup": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
