@@ -218,3 +218,17 @@ def periodic(doc_id, text: str | None, repeated: bool) -> tuple:
     best = (None,) * 4 if first is None else (first[0], first[1] - first[0], first[2], 1000 * (first[1] - first[0]) // first[2])
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
     return (len(found), *best, digest("".join(f"{s},{e - s},{q}\n" for s, e, q in found)), digest(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def repeated_bytes(texts: list, least: int) -> list[tuple]:
+    """(n_bytes, n_removed, n_spans, kept) of each text: bytes of strings that stand twice go."""
+    raws = [(t or "").encode() for t in texts]
+    n = Counter(r[i : i + least] for r in raws for i in range(len(r) - least + 1))
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        for i in range(len(r) - least + 1):
+            if n[r[i : i + least]] > 1:
+                gone[i : i + least] = b"\1" * least
+        out.append((len(r), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), bytes(b for b, g in zip(r, gone, strict=True) if not g)))
+    return out
