@@ -238,7 +238,7 @@ def _contexts(docs: DataFrame, asked: DataFrame, often, least: int, gram: int) -
     """deal, kind, bytes, before, many, id, place: the strings around each anchor of `asked`, once for each kind and task.
 
     `bytes` spans all strings of the anchor, from its first to the end of its last; kind is its hash, `before` the bytes
-    before the anchor.  `many` says that several places have it; a place of such has a row without bytes.
+    before the anchor.  `many` says that several places have it; their spans have rows without bytes.
     """
     joined = docs.join(asked.withColumnsRenamed({"id": "__id", "told": "__told"}), docs["id"].eqNullSafe(F.col("__id")) & (docs["told"] == F.col("__told"))).select("id", "told", "text", "places")
 
@@ -268,15 +268,20 @@ def _contexts(docs: DataFrame, asked: DataFrame, often, least: int, gram: int) -
         n: dict[tuple, int] = {}
         for key, kind, *_ in held:
             n[key, kind] = n.get((key, kind), 0) + 1
-        out, sent = [], set()
+        out, sent, merged = [], set(), []
         for key, kind, string, before, id_, place in held:
             if n[key, kind] == 1:
                 out.append((key, kind, string, before, False, id_, place, len(string)))
+                continue
+            # places stand in the order of their documents: those that overlap are one span
+            if merged and merged[-1][0] == id_ and merged[-1][1] <= place <= merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], place + len(string))
             else:
-                out.append((place ^ key, kind, None, before, True, id_, place, len(string)))
-                if (key, kind) not in sent:
-                    sent.add((key, kind))
-                    out.append((key, kind, string, before, True, None, None, len(string)))
+                merged.append([id_, place, place + len(string)])
+            if (key, kind) not in sent:
+                sent.add((key, kind))
+                out.append((key, kind, string, before, True, None, None, len(string)))
+        out += [(place, None, None, None, True, id_, place, end - place) for id_, place, end in merged]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
     schema = T.StructType([T.StructField("deal", T.LongType()), T.StructField("kind", T.BinaryType()), T.StructField("bytes", T.BinaryType()), T.StructField("before", T.IntegerType()), T.StructField("many", T.BooleanType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("place", T.LongType()), T.StructField("length", T.IntegerType())])
