@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import append, free_name, mix64, scratch_path, steps, texts_of, without
+from .common import append, free_name, materialize, mix64, scratch_path, steps, texts_of, without
 
 #: Bytes of a string that counts as repeated, and of a gram that may be an anchor.
 LEAST, GRAM = 200, 40
@@ -195,23 +195,30 @@ def _often(docs: DataFrame, gram: int, sample: int, often: int) -> Often:
     return Often(np.array([r.g for r in found.toLocalIterator()], np.int64).view(np.uint64))
 
 
-def _alone(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a value is the only one of its kind, and the first of each kind of several."""
-    _, at, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return n[back] == 1, at[n > 1]
+#: Fields of an anchor's `info`: bytes of its strings together, bytes of them before the anchor, and the row's part.
+BEFORE, PART = 31, 51
+#: Parts of a row: a context met once, one that speaks for several, and a span of strings that are known to be repeated.
+ONE, SEVERAL, SPAN = 1, 2, 3
 
 
-def _asked_anchors(docs: DataFrame, often, least: int, gram: int) -> DataFrame:
-    """id, told, places: the anchors of each document whose gram is an anchor elsewhere too."""
+def _places(docs: DataFrame, often, least: int, gram: int) -> DataFrame:
+    """id, place, info, known, many, ship: spans that are known to be repeated, and places whose strings must be sorted.
+
+    The strings of an anchor make its context.  A context met twice is repeated as a whole (`known`); where a gram has
+    several contexts, one place of each is sorted against the others (`ship`), `many` if the context is met elsewhere.
+    Contexts are told apart by the gram's hash and their own.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for step in steps(batch, "text", STEP):
                 text, first = _bytes_of(step, "text")
-                row, a, _, _, key = anchors(text, first, often.value, least, gram)
+                row, a, p0, p1, key = anchors(text, first, often.value, least, gram)
+                size = p1 - p0 + least
+                kind = mix64(Prefixes(text).of(p0, size) + ((a - p0) << 20 | size).astype(np.uint64))
                 told = step.column("told").to_numpy(zero_copy_only=False)
-                held.append((key, step.column("id").take(pa.array(row)), told[row] << 32 | (a - first[row])))
+                held.append((key, kind, step.column("id").take(pa.array(row)), told[row] << 32 | (p0 - first[row]), size, a - p0))
             if sum(len(h[0]) for h in held) >= GATHERED:
                 yield flush(held)
                 held = []
@@ -219,94 +226,76 @@ def _asked_anchors(docs: DataFrame, often, least: int, gram: int) -> DataFrame:
             yield flush(held)
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        """One row a key: what is met twice here needs no answer from elsewhere, but gives one."""
-        key, place = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
-        ids = pa.concat_arrays([h[1] for h in held])
-        single, several = _alone(key)
-        deal = np.concatenate([np.where(single, key, mix64(place.view(np.uint64) ^ key)), key[several]])
-        weight = np.concatenate([np.where(single, 1, 3), np.full(len(several), 2)])
-        return pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(weight.astype(np.int32)), ids.take(pa.array(np.concatenate([np.arange(len(key)), several]))), pa.array(np.concatenate([place, place[several]]))], ["deal", "weight", "id", "place"])
-
-    schema = T.StructType([T.StructField("deal", T.LongType()), T.StructField("weight", T.IntegerType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("place", T.LongType())])
-    # weight 1 asks, 2 answers for several, 3 has its answer and is only dealt out
-    n = F.sum(F.least(F.col("weight"), F.lit(2)) * (F.col("weight") < 3).cast("int")).over(Window.partitionBy("deal"))
-    kept = docs.mapInArrow(scan, schema).withColumn("n", n).filter((F.col("weight") == 3) | ((F.col("weight") == 1) & (F.col("n") > 1)))
-    return kept.groupBy("id", F.shiftright("place", 32).alias("told")).agg(F.collect_list(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("places"))
-
-
-def _contexts(docs: DataFrame, asked: DataFrame, often, least: int, gram: int) -> DataFrame:
-    """deal, kind, bytes, before, many, id, place: the strings around each anchor of `asked`, once for each kind and task.
-
-    `bytes` spans all strings of the anchor, from its first to the end of its last; kind is its hash, `before` the bytes
-    before the anchor.  `many` says that several places have it; their spans have rows without bytes.
-    """
-    joined = docs.join(asked.withColumnsRenamed({"id": "__id", "told": "__told"}), docs["id"].eqNullSafe(F.col("__id")) & (docs["told"] == F.col("__told"))).select("id", "told", "text", "places")
+        """A row for each context; places of one met several times here are spans, joined where they overlap."""
+        key, kind, _, place, size, before = (np.concatenate([h[i] for h in held]) if i != 2 else None for i in range(6))
+        ids = pa.concat_arrays([h[2] for h in held])
+        order = np.lexsort((kind, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (key[order][1:] != key[order][:-1]) | (kind[order][1:] != kind[order][:-1])
+        begin = np.flatnonzero(new)
+        n = np.diff(np.append(begin, len(order)))
+        one, speaks = order[begin], np.where(n > 1, SEVERAL, ONE)
+        met = np.ones(len(order), bool)
+        met[one[n == 1]] = False
+        at = np.flatnonzero(met)  # in the order of documents and places
+        joins = np.zeros(len(at), bool)
+        joins[1:] = (at[1:] == at[:-1] + 1) & (place[at][1:] > place[at][:-1]) & (place[at][1:] <= place[at][:-1] + size[at][:-1])
+        heads = np.flatnonzero(~joins)
+        tails = np.append(heads[1:], len(at)) - 1 if len(heads) else heads
+        whole = (place + size)[at][tails] - place[at][heads]
+        info = np.concatenate([size[one] | before[one] << BEFORE | speaks << PART, whole | SPAN << PART])
+        take = np.concatenate([one, at[heads]])
+        deal = np.concatenate([key[one], mix64(place[at[heads]].view(np.uint64))]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(deal), pa.array(np.concatenate([kind[one].view(np.int64), np.zeros(len(heads), np.int64)])), pa.array(info), ids.take(pa.array(take)), pa.array(place[take])], ["deal", "kind", "info", "id", "place"])
+
+    schema = T.StructType([T.StructField("deal", T.LongType()), T.StructField("kind", T.LongType()), T.StructField("info", T.LongType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("place", T.LongType())])
+    part, gram_, context = F.shiftright("info", PART), Window.partitionBy("deal"), Window.partitionBy("deal", "kind")
+    found = docs.mapInArrow(scan, schema).withColumn("part", part).withColumn("nth", F.row_number().over(context.orderBy("place", "id")))
+    found = found.withColumn("met", F.sum(F.when(F.col("part") < SPAN, F.col("part")).otherwise(0)).over(context)).withColumn("kinds", F.min("kind").over(gram_) != F.max("kind").over(gram_))
+    many, real = F.col("met") > 1, F.col("part") < SPAN
+    out = found.select("id", "place", F.col("info").bitwiseAND((1 << BEFORE) - 1).cast("int").alias("length"), many.alias("many"), (~real | ((F.col("part") == ONE) & many)).alias("known"), (real & F.col("kinds") & (F.col("nth") == 1)).alias("ship"))
+    return out.filter("known OR ship")
+
+
+def _contexts(docs: DataFrame, places: DataFrame, often, least: int, gram: int) -> DataFrame:
+    """deal, bytes, before, many, id, place of the contexts to be sorted: all strings of an anchor, and the bytes before it."""
+    packed = F.col("place").bitwiseAND((1 << 32) - 1) * 2 + F.col("many").cast("int")
+    asked = places.filter("ship").groupBy(F.col("id").alias("__id"), F.shiftright("place", 32).alias("__told")).agg(F.collect_list(packed).alias("places"))
+    joined = docs.join(asked, docs["id"].eqNullSafe(F.col("__id")) & (docs["told"] == F.col("__told"))).select("id", "told", "text", "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for batch in batches:
             for step in steps(batch, "text", STEP):
                 text, first = _bytes_of(step, "text")
                 row, a, p0, p1, key = anchors(text, first, often.value, least, gram)
                 places = step.column("places")
-                wanted = np.zeros(len(text) + 1, bool)
-                counts = pc.list_value_length(places).to_numpy(zero_copy_only=False)
-                wanted[places.flatten().to_numpy(zero_copy_only=False) + np.repeat(first[:-1], counts)] = True
-                keep = np.flatnonzero(wanted[a])
-                raw, ids, told = text.tobytes(), step.column("id").to_pylist(), step.column("told").to_pylist()
-                for i in keep:
-                    r = row[i]
-                    string = raw[p0[i] : p1[i] + least]
-                    held.append((int(key[i].view(np.int64)), hashlib.md5(string).digest(), string, int(a[i] - p0[i]), ids[r], told[r] << 32 | int(p0[i] - first[r])))
-            if len(held) >= GATHERED // 8:
-                yield flush(held)
-                held = []
-        if held:
-            yield flush(held)
-
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        n: dict[tuple, int] = {}
-        for key, kind, *_ in held:
-            n[key, kind] = n.get((key, kind), 0) + 1
-        out, sent, merged = [], set(), []
-        for key, kind, string, before, id_, place in held:
-            if n[key, kind] == 1:
-                out.append((key, kind, string, before, False, id_, place, len(string)))
-                continue
-            # places stand in the order of their documents: those that overlap are one span
-            if merged and merged[-1][0] == id_ and merged[-1][1] <= place <= merged[-1][2]:
-                merged[-1][2] = max(merged[-1][2], place + len(string))
-            else:
-                merged.append([id_, place, place + len(string)])
-            if (key, kind) not in sent:
-                sent.add((key, kind))
-                out.append((key, kind, string, before, True, None, None, len(string)))
-        out += [(place, None, None, None, True, id_, place, end - place) for id_, place, end in merged]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-
-    schema = T.StructType([T.StructField("deal", T.LongType()), T.StructField("kind", T.BinaryType()), T.StructField("bytes", T.BinaryType()), T.StructField("before", T.IntegerType()), T.StructField("many", T.BooleanType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("place", T.LongType()), T.StructField("length", T.IntegerType())])
-    arrow = to_arrow_schema(schema)
+                values = places.flatten().to_numpy(zero_copy_only=False)
+                wanted = np.zeros(len(text) + 1, np.int8)
+                wanted[(values >> 1) + np.repeat(first[:-1], pc.list_value_length(places).to_numpy(zero_copy_only=False))] = 1 + (values & 1)
+                keep = np.flatnonzero(wanted[p0])
+                raw, r, told = text.tobytes(), row[keep], step.column("told").to_numpy(zero_copy_only=False)
+                strings = pa.array([raw[i:j] for i, j in zip(p0[keep].tolist(), (p1[keep] + least).tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), strings, pa.array((a - p0)[keep].astype(np.int32)), pa.array(wanted[p0[keep]] == 2), step.column("id").take(pa.array(r)), pa.array(told[r] << 32 | (p0[keep] - first[r]))], ["deal", "bytes", "before", "many", "id", "place"])
+
+    schema = T.StructType([T.StructField("deal", T.LongType()), T.StructField("bytes", T.BinaryType()), T.StructField("before", T.IntegerType()), T.StructField("many", T.BooleanType()), T.StructField("id", docs.schema["id"].dataType), T.StructField("place", T.LongType())])
     return joined.mapInArrow(cut, schema)
 
 
 class _Group:
-    """Distinct contexts of one anchor: bytes, bytes before it, whether several places have it, and the rows that do."""
+    """Distinct contexts of one gram: (bytes, bytes before the anchor, whether it is met elsewhere, id, place)."""
 
     def __init__(self, key: int, parts: bool) -> None:
         self.key, self.parts, self.size = key, parts, 0
-        self.kinds: list[list] = []
+        self.kinds: list[tuple] = []
 
 
 def _sorted_spans(groups: list[_Group], least: int, schema: pa.Schema) -> pa.RecordBatch:
     """Spans of the strings that two contexts of a group have in common; parts of a group also give their strings' hashes."""
     spans, kinds, whole = [], [], []
     for n, group in enumerate(groups):
-        for string, before, many, rows in group.kinds:
-            if many:
-                spans += [(id_, place, len(string), None, None, None) for id_, place in rows]
-            if len(group.kinds) > 1 or group.parts:
-                kinds.append((string, before, many, rows[0] if rows else None))
-                whole.append((n, group.parts))
+        if len(group.kinds) > 1 or group.parts:
+            kinds += group.kinds
+            whole += [(n, group.parts)] * len(group.kinds)
     if kinds:
         text = np.frombuffer(b"".join(k[0] for k in kinds), np.uint8)
         sizes = np.array([len(k[0]) for k in kinds])
@@ -344,7 +333,7 @@ def _sorted_spans(groups: list[_Group], least: int, schema: pa.Schema) -> pa.Rec
             begins = np.flatnonzero(~joins)
             for lo, hi in zip(begins, np.append(begins[1:], len(found)), strict=True):
                 i, j = found[lo], found[hi - 1]
-                id_, place = kinds[of[i]][3]
+                id_, place = kinds[of[i]][3:]
                 spans.append((id_, place + int(nth[i]), int(nth[j] - nth[i]) + least, None, None, None))
         told = np.flatnonzero(first & np.array([w[1] for w in whole])[of])
         if len(told):
@@ -352,8 +341,8 @@ def _sorted_spans(groups: list[_Group], least: int, schema: pa.Schema) -> pa.Rec
             # equal strings of which one stands in many places are in many places
             heavy = again | many
             for i, h1, h2 in zip(told, one, two, strict=True):
-                id_, place = kinds[of[i]][3] or (None, None)
-                spans.append((id_, None if place is None else place + int(nth[i]), least, int(h1), int(h2), 2 if heavy[i] else 1))
+                id_, place = kinds[of[i]][3:]
+                spans.append((id_, place + int(nth[i]), least, int(h1), int(h2), 2 if heavy[i] else 1))
     return pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
@@ -361,43 +350,24 @@ def repeated_spans(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, mos
     """id, told, spans: where strings of `least` bytes lie in a document of docs (id, told, text) that also stand elsewhere."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(_often(docs, gram, sample, often))  # bounded by the sample
-    asked = _asked_anchors(docs, common, least, gram)
-    contexts = _contexts(docs, asked, common, least, gram)
+    places = materialize(_places(docs, common, least, gram), "suffix-places")
+    contexts = _contexts(docs, places, common, least, gram)
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("place", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("weight", T.IntegerType())])
     arrow = to_arrow_schema(schema)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[_Group] = []
-        group, last = None, None
+        group = None
         for batch in batches:
-            deals, kinds, strings, before, many, ids, places, lengths = (batch.column(c) for c in range(8))
-            answered = []
-            for i, (key, kind, string) in enumerate(zip(deals.to_pylist(), kinds.to_pylist(), strings.to_pylist(), strict=True)):
-                place = places[i].as_py()
-                if string is None:
-                    answered.append((ids[i].as_py(), place, lengths[i].as_py(), None, None, None))
-                    continue
-                if group is None or key != group.key:
+            for key, *kind in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if group is None or key != group.key or len(group.kinds) >= most_group:
+                    parts = group is not None and key == group.key
                     if group:
+                        group.parts |= parts
                         ready.append(group)
-                    group, last = _Group(key, False), None
-                if kind != last:
-                    if len(group.kinds) >= most_group:
-                        group.parts = True
-                        ready.append(group)
-                        group = _Group(key, True)
-                    group.kinds.append([string, before[i].as_py(), False, []])
-                    group.size += len(string)
-                    last = kind
-                it = group.kinds[-1]
-                it[2] = it[2] or many[i].as_py() or bool(it[3])
-                if place is not None:
-                    it[3].append((ids[i].as_py(), place))
-                    if it[2] and len(it[3]) > 1000:  # a kind in many places keeps one of them
-                        answered += [(*x, len(string), None, None, None) for x in it[3][1:]]
-                        del it[3][1:]
-            if answered:
-                yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in answered], f.type) for i, f in enumerate(arrow)], schema=arrow)
+                    group = _Group(key, parts)
+                group.kinds.append(tuple(kind))
+                group.size += len(kind[0])
             if sum(g.size for g in ready) >= CHUNK:
                 yield _sorted_spans(ready, least, arrow)
                 ready = []
@@ -405,10 +375,10 @@ def repeated_spans(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, mos
             yield _sorted_spans([*ready, group], least, arrow)
 
     path = scratch_path(spark, "suffix-spans")
-    append(contexts.repartition("deal").sortWithinPartitions("deal", "kind").mapInArrow(sort, schema), path)
+    append(contexts.repartition("deal").sortWithinPartitions("deal").mapInArrow(sort, schema), path)
     found = spark.read.schema(schema).parquet(path)
     asks = found.filter(F.col("h1").isNotNull()).withColumn("n", F.sum("weight").over(Window.partitionBy("h1", "h2")))
-    spans = found.filter(F.col("h1").isNull()).select("id", "place", "length").unionByName(asks.filter((F.col("n") > 1) & F.col("place").isNotNull()).select("id", "place", "length"))
+    spans = places.filter("known").select("id", "place", "length").unionByName(found.filter(F.col("h1").isNull()).select("id", "place", "length")).unionByName(asks.filter((F.col("n") > 1) & F.col("place").isNotNull()).select("id", "place", "length"))
     return spans.groupBy("id", F.shiftright("place", 32).alias("told")).agg(F.collect_set(F.struct(F.col("place").bitwiseAND((1 << 32) - 1).alias("start"), F.col("length").cast("long").alias("length"))).alias("spans"))
 
 
@@ -421,9 +391,9 @@ def repeated_bytes(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     null text is empty.  Every row is a document of its own: repeated rows lose each other's strings, whatever their
     ids, and a null id is kept.  Other columns stay; those that the operator adds replace columns of the same name.
 
-    Every string has an anchor, a gram chosen by its content alone.  Anchors whose gram is no anchor elsewhere are
-    dropped by their hashes.  The others' surroundings are brought together by gram, equal ones once, and the strings in
-    them sorted as suffixes; neighbours that agree on `least` bytes are repeated.
+    Every string has an anchor, a gram chosen by its content alone.  The strings of an anchor lie in one context; equal
+    contexts, which their hashes tell, are repeated as a whole and stand once for all.  Different contexts of a gram are
+    brought together and their strings sorted as suffixes; neighbours that agree on `least` bytes are repeated.
     """
     told, spans = free_name(docs, "__told"), free_name(docs, "__spans")
     plain = docs.select(F.col(f"`{doc_id}`").alias("id"), _told(text).alias("told"), F.col(f"`{text}`").alias("text"))
