@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +41,39 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Endings of plurals and what stands for them, the longest first; a stem keeps `least` letters.
+PLURALS = (("sses", "ss", 1), ("ches", "ch", 1), ("shes", "sh", 1), ("xes", "x", 1), ("zes", "z", 1), ("oes", "o", 1), ("ies", "y", 2), ("ves", "f", 2), ("men", "man", 0), ("s", "", 2))
+#: Endings of words that are no plurals.
+SINGULARS = ("ss", "us", "is", "ics")
+#: Words that no ending tells.
+IRREGULAR = {
+    "children": "child", "feet": "foot", "teeth": "tooth", "geese": "goose", "mice": "mouse", "lice": "louse", "oxen": "ox", "people": "person", "criteria": "criterion", "phenomena": "phenomenon", "analyses": "analysis", "hypotheses": "hypothesis", "theses": "thesis", "crises": "crisis",
+    "indices": "index", "matrices": "matrix", "vertices": "vertex", "data": "datum", "media": "medium", "knives": "knife", "lives": "life", "wives": "wife", "moves": "move", "gives": "give", "gloves": "glove", "movies": "movie", "ties": "tie", "lies": "lie", "shoes": "shoe",
+    "does": "doe", "buses": "bus", "gases": "gas", "has": "has", "was": "was", "as": "as", "gas": "gas", "always": "always", "perhaps": "perhaps", "news": "news", "series": "series", "species": "species", "specimen": "specimen", "abdomen": "abdomen", "omen": "omen", "lens": "lens",
+}
+
+
+def lemma(word: Column) -> Column:
+    """Section 2.11: the singular of a lower-case noun by its ending; other words stay.
+
+    An exception comes first, then endings of words that are no plurals, then the longest plural ending whose stem is long enough.
+    """
+    known = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
+    out = F.when(F.try_element_at(known, word).isNotNull(), F.try_element_at(known, word))
+    for end in SINGULARS:
+        out = out.when(F.endswith(word, F.lit(end)), word)
+    for end, stands, least in PLURALS:
+        out = out.when(F.endswith(word, F.lit(end)) & (F.length(word) >= len(end) + least), F.concat(F.left(word, F.length(word) - len(end)), F.lit(stands)))
+    return out.otherwise(word)
+
+
+def lemmas(text: Column, stop: Sequence[str] = ()) -> Column:
+    """Section 2.11: lemmas of a text's words of letters alone, stop words left out."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0))
+    real = F.filter(words, lambda w: w.rlike(r"^\p{L}+$") & ~(w.isin(*stop) if stop else F.lit(False)))
+    return F.transform(real, lemma)
+
+
 def token_counts(text: Column) -> Column:
     """struct (n, v): all and distinct tokens; the text is cut into tokens once."""
     return let(tokens(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.size(F.array_distinct(w)).cast("long").alias("v")))

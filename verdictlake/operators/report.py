@@ -156,8 +156,44 @@ def priority_order(rows: DataFrame, priority: str, salt: str, key: str) -> DataF
     return rows.orderBy(F.desc(priority), F.md5(F.concat_ws("|", F.lit(salt), F.col(key).cast("string"))), key)
 
 
-def markdown(rows: DataFrame, columns: Sequence[str]) -> str:
-    """Section 2.14: a small table as Markdown; for reports, whose size their grouping bounds."""
+def measured(rows: DataFrame, column: str, most: int = 100) -> list:
+    """The values of a column in order, nulls left out; raises where there are over `most`."""
+    found = [r[0] for r in rows.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{column} has over {most} values")
+    return sorted(found)
+
+
+def cross_table(rows: DataFrame, row: str, column: str, value: Column, *, values: Sequence | None = None, most: int = 100, total: str = "total", none: str = "none") -> DataFrame:
+    """Section 2.14: a value by two dimensions, a column for each value of the second, with totals of both.
+
+    Totals are groups of a cube, told from null values (shown as `none`) by their grouping bits; so any aggregate has
+    its own total, means as well.  Without `values` they are measured, `most` at most.
+    """
+    names = [str(v) for v in (values if values is not None else measured(rows, column, most))]
+    cells = rows.cube(row, column).agg(value.alias("_v"), F.grouping_id().alias("_g"))
+    shown = lambda c, bit: F.when(F.col("_g").bitwiseAND(bit) > 0, F.lit(total)).otherwise(F.coalesce(F.col(c).cast("string"), F.lit(none)))
+    return cells.select(shown(row, 2).alias(row), shown(column, 1).alias("_c"), "_v").groupBy(row).pivot("_c", [*names, none, total]).agg(F.first("_v"))
+
+
+def agreement_matrix(labels: DataFrame, item: str, judge: str, label: str, *, most: int = 100) -> DataFrame:
+    """Section 2.14: a row and a column for each judge: the percentage of shared items on which two agree.
+
+    Each item's labels are paired within the item, whose judges are at most as many as the columns.
+    """
+    names = measured(labels, judge, most)
+    known = labels.filter(F.col(label).isNotNull() & F.col(judge).isNotNull()).groupBy(item, judge).agg(F.min(label).alias("_l"))
+    each = known.groupBy(item).agg(F.collect_list(F.struct(F.col(judge).alias("j"), "_l")).alias("_a"))
+    pairs = each.select(F.explode("_a").alias("x"), "_a").select("x", F.explode("_a").alias("y"))
+    counts = pairs.groupBy(F.col("x.j").alias(judge), F.col("y.j").alias("_o")).agg(F.round(100.0 * F.count_if(F.col("x._l") == F.col("y._l")) / F.count(F.lit(1)), 6).alias("_p"))
+    return counts.groupBy(judge).pivot("_o", names).agg(F.first("_p"))
+
+
+def markdown(rows: DataFrame, columns: Sequence[str], most: int = 10_000) -> str:
+    """Section 2.14: a small table as Markdown; raises where it has over `most` rows."""
+    found = rows.select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report of over {most} rows")
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in rows.select(*columns).collect()]
+    lines += ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in found]
     return "\n".join(lines)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,24 +11,33 @@ from pyspark.sql import functions as F
 from ..functions.labels import LABELS, complete_side, is_label, last_label
 from ..functions.status import Response, retry_candidate
 from ..functions.text import cjk_hits
-from ..sources.scratch import written
+from ..sources.scratch import scratch_path
 
 
 def nested_strings(df: DataFrame, json: str, key: str) -> DataFrame:
-    """P5: key, path and every string inside a JSON document, level by level until none is left; each level is written."""
-    level = df.select(key, F.lit("").alias("path"), F.expr(f"try_parse_json(`{json}`)").alias("v"))
-    out = None
-    while True:
-        level = written(level.withColumn("s", F.expr("schema_of_variant(v)")), "nested")
-        found = level.filter("s = 'STRING'").select(key, F.expr("if(path = '', '$', path)").alias("path"), F.expr("cast(v as string)").alias("string"))
-        out = found if out is None else out.unionByName(found)
-        wide = level.filter("s like 'OBJECT%' or s like 'ARRAY%'")
-        if wide.isEmpty():
-            return out
-        fields = wide.filter("s like 'OBJECT%'").select(key, "path", F.explode(F.expr("cast(v as map<string, variant>)")).alias("name", "v"))
-        items = wide.filter("s like 'ARRAY%'").select(key, "path", F.posexplode(F.expr("cast(v as array<variant>)")).alias("i", "v"))
-        fields = fields.select(key, F.expr("concat(path, if(path = '', '', '.'), name)").alias("path"), "v")
-        level = fields.unionByName(items.select(key, F.expr("concat(path, '[', i, ']')").alias("path"), "v")).filter("v is not null")
+    """P5: key, path and every string inside a JSON document of any depth, by one recursive query.
+
+    A step explodes the objects and arrays of the step before; paths grow by `.name` or `[index]`.  The rows are
+    written, as the limits on recursion hold for the session in which the query runs: it has one of its own.
+    """
+    spark, view = df.sparkSession, f"nested_{uuid.uuid4().hex}"
+    df.select(F.col(key).alias("k"), F.expr(f"try_parse_json(`{json}`)").alias("v")).createOrReplaceGlobalTempView(view)
+    own = spark.newSession()
+    for limit in ("Level", "Row"):
+        own.conf.set(f"spark.sql.cteRecursion{limit}Limit", -1)
+    try:
+        found = own.sql(f"""
+            WITH RECURSIVE t(k, path, v) AS (
+              SELECT k, '', v FROM global_temp.{view} WHERE v IS NOT NULL
+              UNION ALL
+              SELECT t.k, t.path || if(e.key IS NULL, '[' || e.pos || ']', if(t.path = '', '', '.') || e.key), e.value FROM t, LATERAL variant_explode(t.v) e
+            )
+            SELECT k AS `{key}`, if(path = '', '$', path) AS path, cast(v AS string) AS string FROM t WHERE schema_of_variant(v) = 'STRING'""")
+        path = scratch_path(spark, "nested")
+        found.write.parquet(path)
+        return spark.read.schema(found.schema).parquet(path)
+    finally:
+        spark.catalog.dropGlobalTempView(view)
 
 
 def cjk_report(df: DataFrame, json: str, key: str) -> DataFrame:

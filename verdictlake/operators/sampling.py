@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order, hash_uniform
+from ..sources.scratch import written
+
+#: Rows in order that a greedy selection looks at for each that it wants; so many times more while they don't suffice.
+AHEAD = 8
 
 
 def allocate(counts: DataFrame, key: str, weight: Column, total: int) -> DataFrame:
@@ -38,33 +42,62 @@ def weighted_sample(rows: DataFrame, weight: Column, n: int, salt: str, *keys: s
     return rows.withColumn("_k", weighted_key(weight, salt, *[F.col(k) for k in keys])).orderBy("_k", *keys).limit(n).drop("_k")
 
 
-def _greedy(candidates: DataFrame, order: Sequence[Column], caps: dict[str, int], target: int, key: str, used: dict[str, dict]) -> list:
-    """Keys taken in order under caps; used counts what was taken before, and is brought up to date.
+def _decided(rows: DataFrame, order: Sequence[str], caps: dict[str, int], key: str) -> tuple[DataFrame, int]:
+    """The rows that a greedy pass in order takes under caps, and their number.
+
+    Rounds: a row is taken once the rows before it that are taken or undecided leave room under each of its caps, and
+    refused once those taken fill one.  Every round decides the first undecided row and, as a row depends only on rows
+    that share a capped value with it, mostly all but a few.  `_used_<column>` counts what was taken before.
+    """
+    state = rows.withColumn("_taken", F.lit(False))
+    while True:
+        free, full = F.lit(True), F.lit(False)
+        for c, cap in caps.items():
+            w = Window.partitionBy(c).orderBy(*order, key).rowsBetween(Window.unboundedPreceding, -1)
+            taken = F.coalesce(F.count_if(F.col("_taken")).over(w), F.lit(0)) + F.col(f"_used_{c}")
+            free &= F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)) + F.col(f"_used_{c}") < cap
+            full |= taken >= cap
+        counted = Observation()
+        judged = state.withColumn("_free", free).withColumn("_full", full).filter(F.col("_taken") | ~F.col("_full"))
+        judged = judged.withColumn("_taken", F.col("_taken") | F.col("_free")).drop("_free", "_full")
+        state = written(judged.observe(counted, F.count_if(F.col("_taken")).alias("taken"), F.count_if(~F.col("_taken")).alias("open")), "greedy")
+        if not counted.get["open"]:
+            return state, counted.get["taken"]
+
+
+def _greedy(candidates: DataFrame, order: Sequence[Column], caps: dict[str, int], target: int, key: str, used: dict[str, DataFrame] | None = None) -> tuple[DataFrame, int]:
+    """(key, capped columns, pick) taken in order under caps, and their number; `used` has (column, _used) of what was taken before.
 
     Rows that agree in all capped columns are alike to the caps, and counts only grow: once one of them is refused, all
-    later ones are.  So of each combination no more rows than the least cap are looked at.  They are streamed to the
-    driver in order, without their other columns, until the target is reached.
+    later ones are.  So of each combination no more rows than the least cap are looked at.  What is taken of the first
+    rows doesn't depend on later ones: they are decided first, and more of them while the target isn't reached.
     """
     o = [f"_o{i}" for i in range(len(order))]
     thin = candidates.select(key, *caps, *[c.alias(n) for c, n in zip(order, o, strict=True)])
+    for c in caps:
+        if used and c in used:
+            before = used[c].withColumnRenamed(c, "_v")
+            thin = thin.join(F.broadcast(before), F.col(c).eqNullSafe(F.col("_v")), "left").drop("_v").withColumn(f"_used_{c}", F.coalesce("_used", F.lit(0))).drop("_used")  # as many rows as were taken
+        else:
+            thin = thin.withColumn(f"_used_{c}", F.lit(0))
     w = Window.partitionBy(*caps).orderBy(*o, key)
-    thin = thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= min(target, *caps.values()))
-    taken: list = []
-    for row in thin.orderBy(*o, key).toLocalIterator(prefetchPartitions=True):
-        if len(taken) >= target:
+    thin = thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= min(target, *caps.values())).drop("_r")
+    size = AHEAD * max(1, target)
+    while True:
+        counted = Observation()
+        ahead = written(thin.orderBy(*o, key).limit(size).observe(counted, F.count(F.lit(1)).alias("n")), "greedy-ahead")
+        taken, n = _decided(ahead, o, caps, key)
+        if n >= target or counted.get["n"] < size:
             break
-        if all(used[c].get(row[c], 0) < cap for c, cap in caps.items()):
-            for c in caps:
-                used[c][row[c]] = used[c].get(row[c], 0) + 1
-            taken.append(row[key])
-    return taken
+        size *= AHEAD
+    first = taken.orderBy(*o, key).limit(target)
+    return first.select(key, *caps, F.row_number().over(Window.orderBy(*o, key)).cast("long").alias("pick")), min(n, target)
 
 
 def select_capped(candidates: DataFrame, order: Sequence[Column], caps: dict[str, int], target: int, key: str) -> DataFrame:
     """Greedy selection in order under caps by column, with the number of each pick."""
-    taken = _greedy(candidates, order, caps, target, key, {c: {} for c in caps})
-    picked = candidates.sparkSession.createDataFrame([(k, i + 1) for i, k in enumerate(taken)], f"{key} {candidates.schema[key].dataType.simpleString()}, pick long")
-    return candidates.join(F.broadcast(picked), key)  # target rows at most
+    picked, _ = _greedy(candidates, order, caps, target, key)
+    return candidates.join(F.broadcast(picked.select(key, "pick")), key)  # target rows at most
 
 
 @dataclass(frozen=True)
@@ -89,36 +122,34 @@ def staged_sample(rows: DataFrame, stages: Sequence[Stage], *, key: str, questio
     the least cap with which all models together reach it (M6).  A stage that falls short is filled once more without the
     model cap.  Weights are frame over rows selected, by component (M8).
     """
-    spark = rows.sparkSession
-    kind = rows.schema[key].dataType.simpleString()
     targets: dict[str, int] = {}
     for s in stages:
         targets[s.stratum] = targets.get(s.stratum, 0) + s.target
-    questions: dict = {}
-    models: dict[str, dict] = {}
     caps: dict[str, int] = {}
-    chosen: list[tuple] = []
+    chosen: DataFrame | None = None  # as many rows as the sample has
 
     def left() -> DataFrame:
-        gone = spark.createDataFrame([(c[0],) for c in chosen], f"{key} {kind}")
-        return rows.join(F.broadcast(gone), key, "left_anti")  # as many rows as the sample has
+        return rows if chosen is None else rows.join(F.broadcast(chosen.select(key)), key, "left_anti")
+
+    def draw(s: Stage, salt: str, model_cap: int, target: int, size: int) -> tuple[DataFrame, int]:
+        count = lambda frame, c: frame.groupBy(c).agg(F.count(F.lit(1)).alias("_used"))
+        used = None if chosen is None else {question: count(chosen, question), model: count(chosen.filter(F.col("stratum") == s.stratum), model)}
+        taken, n = _greedy(left().filter(s.where), [weighted_key(s.weight, salt, F.col(key))], {question: question_cap, model: model_cap}, target, key, used)
+        named = taken.drop("pick").select("*", F.lit(s.stratum).alias("stratum"), F.lit(s.component).alias("component"), F.lit(size).cast("long").alias("frame"))
+        return written(named if chosen is None else chosen.unionByName(named), "sample"), n
 
     for s in stages:
-        frame = left().filter(s.where)
         if s.stratum not in caps:
             nominal = max(1, int(targets[s.stratum] * model_fraction)) if model_fraction > 0 else targets[s.stratum]
-            counts = left().groupBy(model).agg(F.count_distinct(key).alias("n"))
-            caps[s.stratum] = relaxed_cap(counts, "n", targets[s.stratum], nominal).first()["cap"] if relax else nominal
-        size = s.frame_size if s.frame_size is not None else frame.count()
-        used = {question: questions, model: models.setdefault(s.stratum, {})}
-        order = [weighted_key(s.weight, f"{s.stratum}|{s.component}", F.col(key))]
-        keys = _greedy(frame, order, {question: question_cap, model: caps[s.stratum]}, s.target, key, used)
-        chosen += [(k, s.stratum, s.component, size) for k in keys]
-        if relax and len(keys) < s.target:
-            again = [weighted_key(s.weight, f"{s.stratum}|{s.component}|relaxed", F.col(key))]
-            more = _greedy(left().filter(s.where), again, {question: question_cap, model: targets[s.stratum]}, s.target - len(keys), key, used)
-            chosen += [(k, s.stratum, s.component, size) for k in more]
-    picked = spark.createDataFrame(chosen, f"{key} {kind}, stratum string, component string, frame long")
+            if relax and nominal < targets[s.stratum]:
+                counts = left().groupBy(model).agg(F.count_distinct(key).alias("n"))
+                nominal = relaxed_cap(counts, "n", targets[s.stratum], nominal).first()["cap"]
+            caps[s.stratum] = nominal
+        size = s.frame_size if s.frame_size is not None else left().filter(s.where).count()
+        chosen, n = draw(s, f"{s.stratum}|{s.component}", caps[s.stratum], s.target, size)
+        if relax and n < s.target:
+            chosen, _ = draw(s, f"{s.stratum}|{s.component}|relaxed", targets[s.stratum], s.target - n, size)
+    picked = chosen.drop(question, model)
     return design_weights(rows.join(F.broadcast(picked), key), ["stratum", "component"], "frame")
 
 

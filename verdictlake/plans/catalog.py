@@ -435,15 +435,15 @@ def score_normalise_argmax(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", scores.argmax(three).alias("label"), F.round(F.greatest(*three) - rest, 6).alias("margin"))
 
 
-@query(f"""{JOINED}, p AS (SELECT doc_id, lang, expected, (n_chars % 97) / 97.0 AS x, (n_chars % 89) / 89.0 AS y, (n_chars % 83) / 83.0 AS z FROM joined), g AS (SELECT a.i * 9 + b.i AS n, -1.0 + a.i * 0.25 AS cb, -1.0 + b.i * 0.25 AS eb FROM range(9) a(i) CROSS JOIN range(9) b(i)),
+@query(f"""{JOINED}, p AS (SELECT doc_id, lang, expected, (n_chars % 97) / 97.0 AS x, (n_chars % 89) / 89.0 AS y, (n_chars % 83) / 83.0 AS z FROM joined), g AS (SELECT a.i * 9 + b.i AS n, CAST(-1.0 + a.i * 0.25 AS DOUBLE) AS cb, CAST(-1.0 + b.i * 0.25 AS DOUBLE) AS eb FROM range(9) a(i) CROSS JOIN range(9) b(i)),
 o AS (SELECT n, cb, eb, expected, CASE WHEN x + cb >= y AND x + cb >= z + eb THEN 'COMPLETE' WHEN y >= z + eb THEN 'DENIAL' ELSE 'EVASIVE' END AS o FROM p CROSS JOIN g),
 m AS (SELECT n, cb, eb, count(*) FILTER (expected = o) AS correct, count(*) FILTER ((expected = 'COMPLETE') = (o = 'COMPLETE')) AS "binary", count(*) FILTER (expected <> 'COMPLETE' AND o = 'COMPLETE') AS fp, count(*) FILTER (expected = 'COMPLETE' AND o <> 'COMPLETE') AS fn, count(*) FILTER (expected = 'EVASIVE' AND o = 'EVASIVE') AS evasive FROM o GROUP BY 1, 2, 3)
 SELECT * FROM m ORDER BY correct DESC, "binary" DESC, evasive DESC, fp, fn, n LIMIT 1""")
 def grid_calibration(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_chars")
     rows = joined(spark, d).select("expected", ((n % 97) / 97.0).alias("x"), ((n % 89) / 89.0).alias("y"), ((n % 83) / 83.0).alias("z"))
-    params = spark.range(81).select(F.col("id").alias("n"), (-1.0 + F.expr("id div 9") * 0.25).alias("cb"), (-1.0 + F.col("id") % 9 * 0.25).alias("eb"))
-    return scores.search(rows, params, ["cb", "eb"], scores.argmax([F.col("x") + F.col("cb"), F.col("y"), F.col("z") + F.col("eb")]), "expected")
+    steps = [i * 0.25 - 1.0 for i in range(9)]
+    return scores.bias_search(rows, [F.col(c) for c in "xyz"], "expected", steps, steps).drop("weight").withColumnsRenamed({"complete_bias": "cb", "evasive_bias": "eb"})
 
 
 CENTROIDS = """x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM x GROUP BY 1, 2), l AS (SELECT label, sqrt(sum(m * m)) AS len FROM m GROUP BY label)"""

@@ -13,18 +13,12 @@ from ..functions import text as X
 from ..functions.status import Response, finish_status, reasoning_summary, retry_candidate
 from ..operators import metrics, rank, recon, report, rows, sampling, scores, votes
 from ..sources import jsonl
-from ..sources.scratch import scratch_root, written
+from ..sources.scratch import scratch_path, written
 from ..streaming.follow import work_list
 from .catalog import JOINED, JUDGES, MD5, gold, joined, judged
 from .registry import query, table
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return table(spark, d, "documents").select(*columns)
 
@@ -93,7 +87,7 @@ def artifact_policies(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {JUDGES} SELECT doc_id AS question_id, lang AS model, a AS compliance, (doc_id % 10 = 0) AS fetched FROM judged WHERE lang IS NOT NULL")
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Analyses written as JSON lines, with lines that must be left out, read again with their places."""
-    path, broken = _scratch(spark, "lines"), _scratch(spark, "broken")
+    path, broken = scratch_path(spark, "lines"), scratch_path(spark, "broken")
     out = judged(spark, d).select(F.col("doc_id").alias("question_id"), F.col("lang").alias("model"), F.col("a").alias("compliance"), F.lit(1).alias("unknown"))
     jsonl.write_jsonl(out, path)
     spark.createDataFrame([("{bad",), ("",), ('{"question_id": 1, "compliance": "X"}',)], "value string").coalesce(1).write.text(broken)
@@ -109,7 +103,7 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT CAST(3 AS BIGINT) AS bad_line UNION ALL SELECT 5")
 def malformed_report(spark: SparkSession, d: str) -> DataFrame:
     """S5."""
-    path = _scratch(spark, "malformed")
+    path = scratch_path(spark, "malformed")
     spark.createDataFrame([('{"a": 1}\n\n{"b": \n{"c": 2}\n[1,',)], "value string").coalesce(1).write.text(path)
     return jsonl.malformed_lines(spark, path).select(F.col("_line").alias("bad_line"))
 
@@ -779,18 +773,17 @@ def score_priority(spark: SparkSession, d: str) -> DataFrame:
     return p.select("l_orderkey", "l_linenumber", F.round(F.col("p")[0], 6).alias("first"), F.round("h", 6).alias("entropy"), F.round(scores.priority(F.col("h"), F.array_max("s"), 0.3), 6).alias("priority"), F.round(rank.margin(mixed), 6).alias("margin"))
 
 
-@query(f"""{JOINED}, p AS (SELECT doc_id, lang, expected, doc_id % 3 AS fold, (n_chars % 97) / 97.0 AS x, (n_chars % 89) / 89.0 AS y, (n_chars % 83) / 83.0 AS z FROM joined), g AS (SELECT i AS n, round(-0.5 + i * 0.25, 10) AS cb FROM range(5) t(i)), held AS (SELECT i AS held FROM range(3) t(i)),
+@query(f"""{JOINED}, p AS (SELECT doc_id, lang, expected, doc_id % 3 AS fold, (n_chars % 97) / 97.0 AS x, (n_chars % 89) / 89.0 AS y, (n_chars % 83) / 83.0 AS z FROM joined), g AS (SELECT i AS n, CAST(round(-0.5 + i * 0.25, 10) AS DOUBLE) AS cb FROM range(5) t(i)), held AS (SELECT i AS held FROM range(3) t(i)),
 o AS (SELECT held, n, cb, expected, CASE WHEN x + cb >= y AND x + cb >= z THEN 'COMPLETE' WHEN y >= z THEN 'DENIAL' ELSE 'EVASIVE' END AS o FROM p CROSS JOIN g JOIN held ON fold <> held),
 m AS (SELECT held, n, cb, count(*) FILTER (expected = o) AS correct, count(*) FILTER ((expected = 'COMPLETE') = (o = 'COMPLETE')) AS bin, count(*) FILTER (expected <> 'COMPLETE' AND o = 'COMPLETE') AS fp, count(*) FILTER (expected = 'COMPLETE' AND o <> 'COMPLETE') AS fn, count(*) FILTER (expected = 'EVASIVE' AND o = 'EVASIVE') AS ev FROM o GROUP BY 1, 2, 3),
 best AS (SELECT held, cb FROM m QUALIFY row_number() OVER (PARTITION BY held ORDER BY bin DESC, fp, correct DESC, ev DESC, fn, n) = 1)
-SELECT doc_id, coalesce(b.cb, 0.125) AS cb FROM p LEFT JOIN (SELECT * FROM best WHERE held < 2) b ON held = fold""")
+SELECT doc_id, coalesce(b.cb, CAST(0.125 AS DOUBLE)) AS cb FROM p LEFT JOIN (SELECT * FROM best WHERE held < 2) b ON held = fold""")
 def out_of_fold(spark: SparkSession, d: str) -> DataFrame:
     """Parameters from the other folds, a fallback where a fold has none."""
     n = F.col("n_chars")
     p = joined(spark, d).select("doc_id", "expected", (F.col("doc_id") % 3).cast("int").alias("fold"), ((n % 97) / 97.0).alias("x"), ((n % 89) / 89.0).alias("y"), ((n % 83) / 83.0).alias("z"))
-    params = scores.grid(spark, "cb", -0.5, 0.5, 0.25).withColumn("n", F.round((F.col("cb") + 0.5) / 0.25).cast("int"))
-    predicted = scores.argmax([F.col("x") + F.col("cb"), F.col("y"), F.col("z")])
-    best = scores.out_of_fold(p, params, ["cb"], predicted, "expected", "fold", 3, "complete_low_fp").filter("held < 2").select(F.col("held").alias("fold"), "cb")
+    steps = [r["cb"] for r in scores.grid(spark, "cb", -0.5, 0.5, 0.25).orderBy("cb").collect()]  # five
+    best = scores.biases_out_of_fold(p, [F.col(c) for c in "xyz"], "expected", steps, [0.0], "fold", objective="complete_low_fp").filter("fold < 2").select("fold", F.col("complete_bias").alias("cb"))
     fallback = spark.createDataFrame([(0.125,)], "cb double")
     return scores.calibrated(p, best, fallback, "fold", ["cb"]).select("doc_id", "cb")
 
@@ -799,6 +792,6 @@ def out_of_fold(spark: SparkSession, d: str) -> DataFrame:
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A report written as CSV and a Parquet read with a schema that drops what it doesn't know."""
     few = spark.read.schema("lang string, doc_id long").parquet(f"{d}/documents.parquet")
-    path = _scratch(spark, "report")
+    path = scratch_path(spark, "report")
     jsonl.write_csv(few.filter("lang IS NOT NULL").groupBy("lang").agg(recon.one()), path)
     return spark.read.schema("lang string, n long").option("header", True).csv(path)

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..sources.scratch import scratch_root
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for streams' state, in the shared place that the session names."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+from ..sources.scratch import scratch_path
 
 
 def work_list(batch: DataFrame, done: DataFrame, keys: list[str], ts: str, matches: Column | None = None) -> DataFrame:
@@ -63,7 +57,7 @@ def follow_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = spark.read.parquet(path)
     whole = len(plain.inputFiles()) == 1 and plain.inputFiles()[0].endswith("/events.parquet")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name if whole else "*.parquet").parquet(folder if whole else path)
-    sink, state = scratch(spark, "follow-sink"), scratch(spark, "follow-state")
+    sink, state = scratch_path(spark, "follow-sink"), scratch_path(spark, "follow-state")
     judge = lambda rows: rows.withColumn("label", F.when(F.col("event_type") == "error", "ERROR").when(F.col("value") > 20, "COMPLETE").otherwise("EVASIVE"))
     follow(stream, sink, judge, ["event_id"], "ts", state).awaitTermination()
     return spark.read.parquet(sink).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
