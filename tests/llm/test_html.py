@@ -1,4 +1,5 @@
 import re
+import time
 
 import brute
 import pytest
@@ -38,7 +39,8 @@ def test_inline_markup_and_white_space():
 
 
 def test_paths_follow_the_rules_of_html():
-    assert [n.path for n in nodes_of("<div><p>a<p>b</div>c") if n.text.strip()] == ["div/p", "div/p", ""]
+    found = [n.place for n in nodes_of("<div><p>a<p>b</div>c") if n.text.strip()]
+    assert [str(p) for p in found] == ["div/p", "div/p", ""] and found[0].path == found[1].path != found[2].path
 
 
 def test_smoothing_keeps_a_constant():
@@ -76,7 +78,7 @@ def test_pages_equal_a_plain_version_and_ratios_decide(spark, data, monkeypatch)
     found = [main_text(p) for p in pages]
     assert found == [brute.main_text(p) for p in pages] and all(found)
     with monkeypatch.context() as m:  # without ratios, menus and footers stay
-        m.setattr(module, "path_ratios", lambda nodes: {x.path: 1.0 for x in nodes})
+        m.setattr(module, "path_ratios", lambda nodes: {x.place.path: 1.0 for x in nodes})
         assert sum(main_text(p) != f for p, f in zip(pages, found, strict=True)) > 0.9 * len(pages)
     with monkeypatch.context() as m:  # class names are a hint only
         for words in ("AROUND_WORDS", "NEVER_WORDS", "HEAD_WORDS"):
@@ -99,3 +101,14 @@ def test_tables_lists_and_formulas_of_an_article_stay():
 def test_long_comments_do_not_replace_a_short_article():
     page = f"<body><article><h1>Title</h1><p>{LONG}</p></article><div class='comments'>" + f"<p>{LONG * 4}</p>" * 5 + "</div></body>"
     assert main_text(page) == f"Title\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000 + '"', "<a<a" * 250_000 + ' "', '<a "x" ' * 150_000 + '"', "<b>x" * 250_000, "<b>" * 200_000 + "<li>x</li>" * 50_000, "<div>x<p>" * 110_000, "</b" * 300_000, "<!--" * 250_000, "<![CDATA[" * 100_000, "<script>" * 120_000, "<p class='" * 100_000, "<ul><li>x" * 100_000])
+def test_pages_of_a_megabyte_end(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 12  # a second or two; squares would take minutes
+
+
+def test_an_open_quote_is_text_and_what_follows_is_found():
+    assert main_text(f"<article><p>{LONG}</p><p>a <b class=\"x>b, c.</p></article>") == f"{LONG.strip()}\n\na <b class=\"x>b, c."

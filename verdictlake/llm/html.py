@@ -36,7 +36,8 @@ NEVER_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|comments?|comme
 HEAD_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?:$|[\s=/"'])|display\s*:\s*none""", re.I)
-MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|$)""", re.S)
+LETTER, NAME_END = re.compile(r"[a-zA-Z]"), re.compile(r"[\s/>]")
+STOP = re.compile(r"[\"'>]")
 #: Factors on the ratios of paths below elements that are named: by their tag, as no part of any article, or as layout.
 AROUND_TAG, NEVER, LAYOUT = 0.0005, 0.005, 0.01
 #: Shares of the mean score that a path of content, and a branch beside content, must reach.
@@ -45,104 +46,197 @@ SPACES = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？；：]")
 
 
+class Element:
+    """An open or closed element: its name, the element above it, and what its path says.
+
+    Paths are numbered; elements of equal names and priors below elements of one path share theirs.
+    """
+
+    __slots__ = ("name", "above", "prior", "path", "in_link", "in_article")
+
+    def __init__(self, name: str, above: Element | None, prior: float, path: int):
+        self.name, self.above, self.prior, self.path = name, above, prior, path
+        self.in_link = name == "a" or above is not None and above.in_link
+        self.in_article = name in ARTICLE or above is not None and above.in_article
+
+    def __str__(self) -> str:
+        names, x = [], self
+        while x is not None and x.above is not None:
+            names.append(x.name)
+            x = x.above
+        return "/".join(reversed(names))
+
+
 class Node:
-    """A run of text: its block, path, the elements above it, and the prior that names on its path give it."""
+    """A run of text: its block and the element that holds it."""
+
+    __slots__ = ("block", "place", "text")
 
-    __slots__ = ("block", "path", "names", "ids", "prior", "text")
+    def __init__(self, block: int, place: Element, text: str):
+        self.block, self.place, self.text = block, place, text
 
-    def __init__(self, block: int, names: tuple[str, ...], ids: tuple[int, ...], prior: float, text: str):
-        self.block, self.names, self.ids, self.prior, self.text = block, names, ids, prior, text
-        self.path = "/".join(names) + ("" if prior == 1 else f"#{prior}")
+
+class Scanner:
+    """Cuts a page into markup and text in time that grows with the page: what didn't end once isn't tried again."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.known: dict[re.Pattern, tuple[int, int]] = {}  # where each pattern isn't met
+        self.dead: set[int] = set()  # quotes, met outside of quotes, behind which no tag ends
+
+    def _next(self, pattern: re.Pattern, at: int) -> int:
+        """Where the pattern is met next; a search that begins in what another has gone over ends where that did."""
+        lo, hi = self.known.get(pattern, (0, -1))
+        if not lo <= at <= hi:
+            m = pattern.search(self.page, at)
+            self.known[pattern] = (at, m.start() if m else len(self.page))
+        return self.known[pattern][1]
+
+    def tag_end(self, at: int) -> int | None:
+        """Where the > of a tag stands whose attributes begin at `at`; the page's end if it is cut; null if a quote stays open."""
+        met = []
+        while True:
+            at = self._next(STOP, at)
+            if at == len(self.page) or self.page[at] == ">":
+                return at
+            met.append(at)
+            close = -1 if at in self.dead else self.page.find(self.page[at], at + 1)
+            if close < 0:
+                self.dead.update(met)
+                return None
+            at = close + 1
+
+    def __iter__(self) -> Iterator[tuple[str, int, int, str, str]]:
+        """(kind, begin, end, name, attributes) of all markup: kinds "<", "</", "<!" and "[" for marked text; send() moves on."""
+        page, n, at = self.page, len(self.page), 0
+        while (at := page.find("<", at)) >= 0:
+            found = None
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                found = ("<!", at, n if end < 0 else end + 3, "", "")
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at + 9)
+                found = ("[", at, n if end < 0 else end + 3, "", "")
+            elif page.startswith(("<!", "<?"), at):
+                end = page.find(">", at)
+                found = ("<!", at, n if end < 0 else end + 1, "", "")
+            else:
+                close = page.startswith("</", at)
+                first = at + 1 + close
+                name = self._next(NAME_END, first) if LETTER.match(page, first) else None
+                end = None if name is None else self.tag_end(name)
+                if end is not None:
+                    found = ("</" if close else "<", at, min(end + 1, n), page[first:name].lower(), page[name:end])
+            if found is None:
+                at += 1
+                continue
+            moved = yield found
+            at = found[2] if moved is None else moved
+            if moved is not None:
+                yield found  # for send
 
 
 def nodes_of(page: str) -> list[Node]:
     """Text nodes in page order; elements that HTML ends by itself are ended, and an open end is taken as the end."""
     out: list[Node] = []
-    names: list[str] = []
-    ids: list[int] = []
-    priors: list[float] = []
-    block = made = at = 0
+    root = Element("", None, 1.0, 0)
+    opened: list[Element] = [root]
+    count: dict[str, int] = defaultdict(int)
+    paths: dict[tuple[int, str, float], int] = {}
+    block = at = 0
 
     def text(lo: int, hi: int) -> None:
         if lo < hi and (t := page[lo:hi]) and (not t.isspace() or not out or out[-1].block == block):
-            out.append(Node(block, tuple(names), tuple(ids), priors[-1] if priors else 1.0, entities.unescape(t)))
+            out.append(Node(block, opened[-1], entities.unescape(t)))
 
     def close(depth: int) -> None:
         nonlocal block
-        if any(n in BLOCK for n in names[depth:]):
+        if any(e.name in BLOCK for e in opened[depth:]):
             block += 1
-        del names[depth:], ids[depth:], priors[depth:]
-
-    while (m := MARKUP.search(page, at)) is not None:
-        text(at, m.start())
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text(m.start() + 9, at - 3 if m[0].endswith("]]>") else at)
-            continue
-        name, attributes = m[2].lower(), m[3]
-        if m[1]:
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+        for e in opened[depth:]:
+            count[e.name] -= 1
+        del opened[depth:]
+
+    def last(names: tuple[str, ...], stops: tuple[str, ...] = ()) -> int | None:
+        """Depth of the innermost open element of these names, if none of the stops is inside it."""
+        if not any(count[n] for n in names):
+            return None
+        for i in range(len(opened) - 1, 0, -1):
+            if opened[i].name in stops:
+                return None
+            if opened[i].name in names:
+                return i
+        return None
+
+    markup = iter(Scanner(page))
+    found = next(markup, None)
+    while found is not None:
+        kind, begin, end, name, attributes = found
+        text(at, begin)
+        at = end
+        if kind == "[":
+            text(begin + 9, at - 3 if page.startswith("]]>", at - 3) else at)
+        elif kind == "</":
+            if (depth := last((name,))) is not None:
+                close(depth)
             elif name in BLOCK:
                 block += 1
-            continue
-        if name == "br" or name == "wbr":
-            if out and out[-1].block == block:
-                out.append(Node(block, out[-1].names, out[-1].ids, out[-1].prior, "\n" if name == "br" else ""))
-            continue
-        if name in BLOCK and "p" in names:
-            close(len(names) - 1 - names[::-1].index("p"))
-        if name in ENDS:
-            for i in range(len(names) - 1, -1, -1):
-                if names[i] in STOPS[name]:
-                    break
-                if names[i] in ENDS[name]:
-                    close(i)
-                    break
-        if name in BLOCK:
-            block += 1
-        if name in VOID:
-            continue
-        if name in RAW:
-            if not attributes.endswith("/") or name in ("script", "style", "title"):
-                end = re.compile(rf"</{re.escape(name)}\s*(?:>|$)", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            continue
-        if attributes.endswith("/") and name not in BLOCK:
-            continue
-        prior = priors[-1] if priors else 1.0
-        if prior == LAYOUT and name in ARTICLE:
-            prior = 1.0
-        if prior > AROUND_TAG:
-            named = " ".join(v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)) if attributes else ""
-            in_article = any(n in ARTICLE for n in names)
-            if name in AROUND or name in HEAD_OF and not in_article or attributes and HIDDEN.search(attributes):
-                prior = AROUND_TAG
-            elif named and NEVER_WORDS.search(named) and name not in ("html", "body", "main"):
-                prior = min(prior, NEVER)
-            elif named and name not in ARTICLE and name not in ("html", "body") and (AROUND_WORDS.search(named) or not in_article and HEAD_WORDS.search(named)):
-                prior = min(prior, LAYOUT)
-        made += 1
-        names.append(name)
-        ids.append(made)
-        priors.append(prior)
+        elif kind == "<":
+            if name == "br" or name == "wbr":
+                if out and out[-1].block == block:
+                    out.append(Node(block, out[-1].place, "\n" if name == "br" else ""))
+                found = next(markup, None)
+                continue
+            if name in BLOCK and (depth := last(("p",))) is not None:
+                close(depth)
+            if name in ENDS and (depth := last(ENDS[name], STOPS[name])) is not None:
+                close(depth)
+            if name in BLOCK:
+                block += 1
+            if name in RAW:
+                if not attributes.endswith("/") or name in ("script", "style", "title"):
+                    done = re.compile(rf"</{re.escape(name)}\s*(?:>|$)", re.I).search(page, at)
+                    at = done.end() if done else len(page)
+                    markup.send(at)
+            elif name not in VOID and (name in BLOCK or not attributes.endswith("/")):
+                above = opened[-1]
+                prior = prior_of(name, attributes, above)
+                opened.append(Element(name, above, prior, paths.setdefault((above.path, name, prior), len(paths) + 1)))
+                count[name] += 1
+        found = next(markup, None)
     text(at, len(page))
     return out
 
 
-def path_ratios(nodes: list[Node]) -> dict[str, float]:
+def prior_of(name: str, attributes: str, above: Element) -> float:
+    """Factor that the names on the path of a new element give it."""
+    prior = above.prior
+    if prior == LAYOUT and name in ARTICLE:
+        prior = 1.0
+    if prior > AROUND_TAG:
+        named = " ".join(v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)) if attributes else ""
+        if name in AROUND or name in HEAD_OF and not above.in_article or attributes and HIDDEN.search(attributes):
+            return AROUND_TAG
+        if named and NEVER_WORDS.search(named) and name not in ("html", "body", "main"):
+            return min(prior, NEVER)
+        if named and name not in ARTICLE and name not in ("html", "body") and (AROUND_WORDS.search(named) or not above.in_article and HEAD_WORDS.search(named)):
+            return min(prior, LAYOUT)
+    return prior
+
+
+def path_ratios(nodes: list[Node]) -> dict[int, float]:
     """Fused ratio of each path: characters a node, times the root of punctuation a node, times the prior of its names."""
-    n: dict[str, int] = defaultdict(int)
-    chars: dict[str, int] = defaultdict(int)
-    marks: dict[str, int] = defaultdict(int)
-    prior: dict[str, float] = {}
+    n: dict[int, int] = defaultdict(int)
+    chars: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    prior: dict[int, float] = {}
     for x in nodes:
         if t := x.text.strip():
-            n[x.path] += 1
-            chars[x.path] += len(t)
-            marks[x.path] += len(PUNCTUATION.findall(t))
-            prior[x.path] = x.prior
+            path = x.place.path
+            n[path] += 1
+            chars[path] += len(t)
+            marks[path] += len(PUNCTUATION.findall(t))
+            prior[path] = x.place.prior
     return {p: prior[p] * chars[p] / n[p] * math.sqrt((marks[p] + 0.5) / n[p]) for p in n}
 
 
@@ -156,22 +250,23 @@ def smooth(values: list[float], radius: int = 2) -> list[float]:
     return out
 
 
-def path_scores(real: list[Node]) -> tuple[dict[str, float], float]:
+def path_scores(real: list[Node]) -> tuple[dict[int, float], float]:
     """Score of each path, and the mean score of a character, where characters weigh as the priors of their paths.
 
     A node's score fuses its path's ratio with the ratios smoothed in page order (their geometric mean); a path's is the
     mean of its nodes'.
     """
     ratios = path_ratios(real)
-    smoothed = smooth([ratios[x.path] for x in real])
-    n: dict[str, int] = defaultdict(int)
-    total: dict[str, float] = defaultdict(float)
-    for x, s in zip(real, smoothed, strict=True):
-        n[x.path] += 1
-        total[x.path] += math.sqrt(ratios[x.path] * s)
+    paths = [x.place.path for x in real]
+    smoothed = smooth([ratios[p] for p in paths])
+    n: dict[int, int] = defaultdict(int)
+    total: dict[int, float] = defaultdict(float)
+    for p, s in zip(paths, smoothed, strict=True):
+        n[p] += 1
+        total[p] += math.sqrt(ratios[p] * s)
     scores = {p: total[p] / n[p] for p in n}
-    sizes = [x.prior * len(x.text.strip()) for x in real]
-    return scores, sum(c * scores[x.path] for x, c in zip(real, sizes, strict=True)) / sum(sizes)
+    sizes = [x.place.prior * len(x.text.strip()) for x in real]
+    return scores, sum(c * scores[p] for p, c in zip(paths, sizes, strict=True)) / sum(sizes)
 
 
 def content_of(nodes: list[Node]) -> list[Node]:
@@ -187,37 +282,46 @@ def content_of(nodes: list[Node]) -> list[Node]:
         return []
     scores, mean = path_scores(real)
     strong = {p for p, s in scores.items() if s >= STRONG * mean}
-    holds = {e for x in real if x.path in strong for e in x.ids}
-    branch_chars: dict[int, int] = defaultdict(int)
-    branch_links: dict[int, int] = defaultdict(int)
-    branch_score: dict[int, float] = defaultdict(float)
-    branches: dict[int, int] = {}  # node to the depth of its branch
+    holds: set[int] = set()  # elements that hold content, the page's root among them
     for x in real:
-        if x.path in strong:
-            continue
-        depth = sum(e in holds for e in x.ids)  # elements that hold content are the first ones of a path
-        branches[id(x)] = depth
-        if depth < len(x.ids):
+        e = x.place if x.place.path in strong else None
+        while e is not None and id(e) not in holds:
+            holds.add(id(e))
+            e = e.above
+    tops: dict[int, Element | None] = {}  # the branch of each element met: the highest one above it that holds nothing
+
+    def branch_of(e: Element) -> Element | None:
+        way = []
+        while id(e) not in tops:
+            if id(e) in holds or e.above is None:
+                tops[id(e)] = None
+                break
+            way.append(e)
+            e = e.above
+        for below in reversed(way):
+            tops[id(below)] = tops[id(below.above)] or below
+        return tops[id(way[0])] if way else tops[id(e)]
+
+    chars: dict[int, int] = defaultdict(int)
+    links: dict[int, int] = defaultdict(int)
+    score: dict[int, float] = defaultdict(float)
+    weak = [(x, branch_of(x.place)) for x in real if x.place.path not in strong]
+    for x, branch in weak:
+        if branch is not None:
             size = len(x.text.strip())
-            branch_chars[x.ids[depth]] += size
-            branch_links[x.ids[depth]] += size if "a" in x.names else 0
-            branch_score[x.ids[depth]] += size * scores[x.path]
-    kept = set()
-    for x in real:
-        if x.path in strong:
-            kept.add(id(x))
+            chars[id(branch)] += size
+            links[id(branch)] += size if x.place.in_link else 0
+            score[id(branch)] += size * scores[x.place.path]
+    kept = {id(x) for x in real if x.place.path in strong}
+    for x, branch in weak:
+        if x.place.prior < 1:
             continue
-        depth = branches[id(x)]
-        if x.prior < 1:
-            continue
-        if depth == len(x.ids):  # beside content in one element
+        if branch is None:  # beside content in one element
             kept.add(id(x))
-            continue
-        branch, name = x.ids[depth], x.names[depth]
-        if depth == 0 or x.names[depth - 1] in PAGE:
-            if name in HEADINGS and holds:
+        elif branch.above.above is None or branch.above.name in PAGE:
+            if branch.name in HEADINGS and len(holds) > 1:
                 kept.add(id(x))
-        elif name in PART and 2 * branch_links[branch] < branch_chars[branch] or name not in BLOCK and "-" not in name or branch_score[branch] >= WEAK * mean * branch_chars[branch]:
+        elif branch.name in PART and 2 * links[id(branch)] < chars[id(branch)] or branch.name not in BLOCK and "-" not in branch.name or score[id(branch)] >= WEAK * mean * chars[id(branch)]:
             kept.add(id(x))
     blocks = {x.block for x in real if id(x) in kept}
     gone = {x.block for x in real if id(x) not in kept}
@@ -240,7 +344,8 @@ def main_text(page: str | None) -> str:
 def extract_text(pages: DataFrame, *, html: str = "html") -> DataFrame:
     """pages with text and n_chars (code points) in the place of columns of those names; the html column isn't returned.
 
-    A page without main text, a null page among them, has the empty text.  Rows are never merged or dropped.
+    A page without main text, a null page among them, has the empty text.  Rows are never merged or dropped.  Very long,
+    deeply nested and broken pages take time and memory in proportion to their length: a quote that stays open is no tag.
     """
     pages = without(pages, *(c for c in ("text", "n_chars") if c != html))
     rest = [c for c in pages.columns if c != html]
