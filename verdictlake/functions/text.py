@@ -17,6 +17,11 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Text without ASCII white space at its ends."""
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def text_hash(text: Column) -> Column:
     """sha256 of the normalized text."""
     return F.sha2(normalized(text), 256)
@@ -198,7 +203,7 @@ def truncate_model(name: Column, most: int = 45) -> Column:
 def tag_body(text: Column, tag: str) -> Column:
     """What stands inside a tag, trimmed; null without the tag."""
     found = F.regexp_extract(text, rf"(?is)<{tag}>(.*?)</{tag}>", 1)
-    return F.when(text.rlike(rf"(?is)<{tag}>.*?</{tag}>"), F.trim(found))
+    return F.when(text.rlike(rf"(?is)<{tag}>.*?</{tag}>"), stripped(found))
 
 
 def rendered(template: str, **columns: Column) -> Column:
@@ -218,7 +223,7 @@ def rendered(template: str, **columns: Column) -> Column:
 
 def think_text(reasoning: Column, answer: Column) -> Column:
     """Answer with its reasoning in think tags, where there is any."""
-    return F.when(F.trim(reasoning) != "", F.concat(F.lit("<think>\n"), F.trim(reasoning), F.lit("\n</think>\n"), answer)).otherwise(answer)
+    return F.when(stripped(reasoning) != "", F.concat(F.lit("<think>\n"), stripped(reasoning), F.lit("\n</think>\n"), answer)).otherwise(answer)
 
 
 def chat_messages(messages: Column, prompt: Column) -> Column:

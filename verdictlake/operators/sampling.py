@@ -42,27 +42,30 @@ def weighted_sample(rows: DataFrame, weight: Column, n: int, salt: str, *keys: s
     return rows.withColumn("_k", weighted_key(weight, salt, *[F.col(k) for k in keys])).orderBy("_k", *keys).limit(n).drop("_k")
 
 
-def _decided(rows: DataFrame, order: Sequence[str], caps: dict[str, int], key: str) -> tuple[DataFrame, int]:
-    """The rows that a greedy pass in order takes under caps, and their number.
+def _decided(rows: DataFrame, order: Sequence[str], caps: dict[str, int], key: str) -> tuple[DataFrame, int, int]:
+    """The rows that a greedy pass in order takes under caps, their number, and the number of all rows.
 
     Rounds: a row is taken once the rows before it that are taken or undecided leave room under each of its caps, and
     refused once those taken fill one.  Every round decides the first undecided row and, as a row depends only on rows
     that share a capped value with it, mostly all but a few.  `_used_<column>` counts what was taken before.
     """
-    state = rows.withColumn("_taken", F.lit(False))
-    while True:
+
+    def judged(state: DataFrame) -> DataFrame:
         free, full = F.lit(True), F.lit(False)
         for c, cap in caps.items():
             w = Window.partitionBy(c).orderBy(*order, key).rowsBetween(Window.unboundedPreceding, -1)
-            taken = F.coalesce(F.count_if(F.col("_taken")).over(w), F.lit(0)) + F.col(f"_used_{c}")
-            free &= F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)) + F.col(f"_used_{c}") < cap
-            full |= taken >= cap
+            free &= F.count(F.lit(1)).over(w) + F.col(f"_used_{c}") < cap
+            full |= F.count_if(F.col("_taken")).over(w) + F.col(f"_used_{c}") >= cap
+        told = state.withColumn("_free", free).withColumn("_full", full).filter(F.col("_taken") | ~F.col("_full"))
+        return told.withColumn("_taken", F.col("_taken") | F.col("_free")).drop("_free", "_full")
+
+    seen = Observation()
+    state = rows.withColumn("_taken", F.lit(False)).observe(seen, F.count(F.lit(1)).alias("rows"))
+    while True:
         counted = Observation()
-        judged = state.withColumn("_free", free).withColumn("_full", full).filter(F.col("_taken") | ~F.col("_full"))
-        judged = judged.withColumn("_taken", F.col("_taken") | F.col("_free")).drop("_free", "_full")
-        state = written(judged.observe(counted, F.count_if(F.col("_taken")).alias("taken"), F.count_if(~F.col("_taken")).alias("open")), "greedy")
+        state = written(judged(state).observe(counted, F.count_if(F.col("_taken")).alias("taken"), F.count_if(~F.col("_taken")).alias("open")), "greedy")
         if not counted.get["open"]:
-            return state, counted.get["taken"]
+            return state, counted.get["taken"], seen.get["rows"]
 
 
 def _greedy(candidates: DataFrame, order: Sequence[Column], caps: dict[str, int], target: int, key: str, used: dict[str, DataFrame] | None = None) -> tuple[DataFrame, int]:
@@ -84,10 +87,8 @@ def _greedy(candidates: DataFrame, order: Sequence[Column], caps: dict[str, int]
     thin = thin.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= min(target, *caps.values())).drop("_r")
     size = AHEAD * max(1, target)
     while True:
-        counted = Observation()
-        ahead = written(thin.orderBy(*o, key).limit(size).observe(counted, F.count(F.lit(1)).alias("n")), "greedy-ahead")
-        taken, n = _decided(ahead, o, caps, key)
-        if n >= target or counted.get["n"] < size:
+        taken, n, all_ = _decided(thin.orderBy(*o, key).limit(size), o, caps, key)
+        if n >= target or all_ < size:
             break
         size *= AHEAD
     first = taken.orderBy(*o, key).limit(target)
@@ -136,7 +137,7 @@ def staged_sample(rows: DataFrame, stages: Sequence[Stage], *, key: str, questio
         used = None if chosen is None else {question: count(chosen, question), model: count(chosen.filter(F.col("stratum") == s.stratum), model)}
         taken, n = _greedy(left().filter(s.where), [weighted_key(s.weight, salt, F.col(key))], {question: question_cap, model: model_cap}, target, key, used)
         named = taken.drop("pick").select("*", F.lit(s.stratum).alias("stratum"), F.lit(s.component).alias("component"), F.lit(size).cast("long").alias("frame"))
-        return written(named if chosen is None else chosen.unionByName(named), "sample"), n
+        return named if chosen is None else chosen.unionByName(named), n
 
     for s in stages:
         if s.stratum not in caps:

@@ -100,12 +100,16 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return both.select("question_id", "model", "compliance", F.coalesce("fetched", F.lit(False)).alias("fetched"))
 
 
-@query("SELECT CAST(3 AS BIGINT) AS bad_line UNION ALL SELECT 5")
+@query("SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'cut' ELSE 'open string' END AS fault FROM documents WHERE doc_id % 17 = 0 OR doc_id % 17 = 1")
 def malformed_report(spark: SparkSession, d: str) -> DataFrame:
-    """S5."""
+    """Whole documents as JSON lines among blank ones; two in seventeen are broken, and found by file and line."""
     path = scratch_path(spark, "malformed")
-    spark.createDataFrame([('{"a": 1}\n\n{"b": \n{"c": 2}\n[1,',)], "value string").coalesce(1).write.text(path)
-    return jsonl.malformed_lines(spark, path).select(F.col("_line").alias("bad_line"))
+    line = F.to_json(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    broken = F.when(F.col("doc_id") % 17 == 0, F.left(line, F.length(line) - 1)).when(F.col("doc_id") % 17 == 1, F.concat(F.left(line, F.length(line) - 2), F.lit("}"))).otherwise(line)
+    _docs(spark, d, "doc_id", "text").select(F.explode(F.array(F.lit(""), broken, F.lit("  "))).alias("value")).write.text(path)
+    lines = jsonl.read_lines(spark, [path])
+    found = lines.join(jsonl.malformed_lines(spark, path), ["_file", "_line"])
+    return found.select(F.regexp_extract("value", r"^\{\"doc_id\":(\d+)", 1).cast("long").alias("doc_id"), F.when(F.col("value").endswith('"'), "cut").otherwise("open string").alias("fault"))
 
 
 @query("""SELECT source, lang, CASE WHEN starts_with(source || '_' || lang, source || '_e') THEN source || '_e' ELSE source END AS stem FROM (SELECT DISTINCT source, lang FROM documents) WHERE lang <> 'de' AND source IS NOT NULL""")
@@ -143,12 +147,12 @@ def survey_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT p_brand AS canonical_name, p_type AS provider_name, max(p_size) AS priority FROM part GROUP BY 1, 2)
-SELECT * FROM c WHERE canonical_name = 'Brand#3' QUALIFY row_number() OVER (PARTITION BY canonical_name ORDER BY priority DESC, provider_name DESC) = 1""")
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY canonical_name ORDER BY priority DESC, provider_name DESC) = 1""")
 def model_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Brands as models, types as providers."""
     p = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.max("p_size").alias("priority"))
     catalog = p.groupBy(F.col("p_brand").alias("canonical_name")).agg(F.collect_list(F.struct(F.col("p_type").alias("provider_name"), "priority")).alias("providers"))
-    return jsonl.resolve_model(catalog, F.lit("Brand#3")).select("canonical_name", "provider_name", "priority")
+    return jsonl.resolve_model(catalog, F.col("canonical_name")).select("canonical_name", "provider_name", "priority")
 
 
 @query("SELECT conv_id, turn, md5(conv_id || ':' || turn || ':' || role) AS cache_key FROM conversations WHERE turn % 2 = 1")
@@ -209,7 +213,10 @@ def finish_statuses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", status.alias("status"), retry_candidate(status).alias("retry"), pair.alias("pair"))
 
 
-# whole texts inside every shape of response
+# whole texts, one in 31 empty, inside every shape of response
+PLANTED = "(SELECT * REPLACE (CASE WHEN doc_id % 31 = 0 THEN '' ELSE text END AS text) FROM documents)"
+
+
 def _responses(spark: SparkSession, d: str) -> DataFrame:
     kind, text = F.col("doc_id") % 12, F.col("text")
     chat = lambda finish, content, **more: F.to_json(F.struct(F.array(F.struct(F.lit(finish).alias("finish_reason"), F.struct(content.alias("content")).alias("message"))).alias("choices"), *[v.alias(k) for k, v in more.items()]))
@@ -224,60 +231,61 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
     out = F.lit(None).cast("string")
     for i, s in enumerate(shapes):
         out = F.when(kind == i, s).otherwise(out)
-    return table(spark, d, "documents").select("doc_id", "lang", "source", "text", out.alias("response"))
+    docs = table(spark, d, "documents").withColumn("text", F.when(F.col("doc_id") % 31 == 0, "").otherwise(F.col("text")))
+    return docs.select("doc_id", "lang", "source", "text", out.alias("response"))
 
 
 STATUS = """CASE WHEN doc_id % 12 IN (0, 7, 8) THEN CASE WHEN text = '' THEN 'missing_content' ELSE 'success' END WHEN doc_id % 12 = 1 THEN 'truncation' WHEN doc_id % 12 IN (2, 4) THEN 'moderation' WHEN doc_id % 12 IN (3, 5, 6, 10) THEN 'provider_error' WHEN doc_id % 12 = 9 THEN 'unknown_metadata' ELSE 'empty_response' END"""
 
 
-@query(f"""SELECT doc_id, {STATUS} AS status, CASE doc_id % 12 WHEN 0 THEN 'finish_reason:stop' WHEN 1 THEN 'finish_reason:length' WHEN 2 THEN 'content_filter' WHEN 3 THEN 'top_error_code:500' WHEN 4 THEN 'moderation_error_text' WHEN 5 THEN 'top_error_code:500' WHEN 6 THEN 'top_error:server'
- WHEN 7 THEN 'stop_reason:end_turn' WHEN 8 THEN '_llm_client.standardized_response.finish_reason:stop' WHEN 9 THEN 'unknown_finish_reason:strange' WHEN 10 THEN 'llm_client_error_status:429' ELSE 'empty_response' END AS reason,
- CASE WHEN doc_id % 12 IN (0, 1, 2, 7, 8, 9) THEN length(text) ELSE 0 END AS chars, CASE WHEN doc_id % 12 IN (3, 4, 5, 6) THEN 'error' ELSE 'text' END AS kind, CASE WHEN doc_id % 12 IN (0, 1, 2, 7, 8, 9) THEN sha256(text) END AS digest FROM documents WHERE text <> ''""")
+@query(f"""SELECT doc_id, {STATUS} AS status, CASE WHEN text = '' AND doc_id % 12 IN (0, 7, 8) THEN 'missing_final_content' ELSE CASE doc_id % 12 WHEN 0 THEN 'finish_reason:stop' WHEN 1 THEN 'finish_reason:length' WHEN 2 THEN 'content_filter' WHEN 3 THEN 'top_error_code:500' WHEN 4 THEN 'moderation_error_text' WHEN 5 THEN 'top_error_code:500' WHEN 6 THEN 'top_error:server'
+ WHEN 7 THEN 'stop_reason:end_turn' WHEN 8 THEN '_llm_client.standardized_response.finish_reason:stop' WHEN 9 THEN 'unknown_finish_reason:strange' WHEN 10 THEN 'llm_client_error_status:429' ELSE 'empty_response' END END AS reason,
+ CASE WHEN doc_id % 12 IN (0, 1, 2, 7, 8, 9) THEN length(text) ELSE 0 END AS chars, CASE WHEN doc_id % 12 IN (3, 4, 5, 6) THEN 'error' ELSE 'text' END AS kind, CASE WHEN doc_id % 12 IN (0, 1, 2, 7, 8, 9) AND text <> '' THEN sha256(text) END AS digest FROM {PLANTED}""")
 def response_texts(spark: SparkSession, d: str) -> DataFrame:
     """Status, reason and content of whole texts in every shape of response."""
     r = Response(F.col("response"), F.lit("vendor/m"))
     sig = X.content_signature(r.has_error(), r.text())
-    each = _responses(spark, d).filter("text <> ''").select("doc_id", r.status().alias("s"), r.text().alias("t"), sig.alias("g"))
+    each = _responses(spark, d).select("doc_id", r.status().alias("s"), r.text().alias("t"), sig.alias("g"))
     return each.select("doc_id", F.col("s.status").alias("status"), F.col("s.reason").alias("reason"), F.length("t").cast("long").alias("chars"), F.col("g.kind").alias("kind"), F.col("g.digest").alias("digest"))
 
 
-@query(f"""WITH r AS (SELECT doc_id, doc_id // 2 AS q, {STATUS} AS status FROM documents WHERE text <> ''), o AS (SELECT *, CASE WHEN status = 'empty_response' THEN 'empty_response' WHEN status IN ('provider_error', 'missing_content') THEN 'retryable_error' WHEN status = 'truncation' THEN 'truncation' END AS own FROM r),
+@query(f"""WITH r AS (SELECT doc_id, doc_id // 2 AS q, {STATUS} AS status FROM {PLANTED}), o AS (SELECT *, CASE WHEN status = 'empty_response' THEN 'empty_response' WHEN status IN ('provider_error', 'missing_content') THEN 'retryable_error' WHEN status = 'truncation' THEN 'truncation' END AS own FROM r),
 b AS (SELECT *, coalesce(bool_or(own IS NULL) OVER (PARTITION BY q ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS again FROM o)
 SELECT coalesce(CASE WHEN own = 'empty_response' THEN own WHEN again THEN 'duplicate_question_id' ELSE own END, 'kept') AS removed, count(*) AS n FROM b GROUP BY 1""")
 def cleanup_report(spark: SparkSession, d: str) -> DataFrame:
     """F1."""
-    r = _responses(spark, d).filter("text <> ''").select("doc_id", F.expr("doc_id div 2").alias("question_id"), F.lit("vendor/m").alias("model"), "response")
+    r = _responses(spark, d).select("doc_id", F.expr("doc_id div 2").alias("question_id"), F.lit("vendor/m").alias("model"), "response")
     return rows.clean_for_retry(r, "doc_id", truncations=True).groupBy(F.coalesce("removed", F.lit("kept")).alias("removed")).agg(recon.one())
 
 
-@query("""SELECT doc_id, doc_id % 12 IN (0, 1, 2, 9, 7) AS has_content, CASE doc_id % 12 WHEN 7 THEN 'end_turn' WHEN 0 THEN 'stop' WHEN 1 THEN 'length' WHEN 2 THEN 'content_filter' WHEN 9 THEN 'strange' END AS finish_reason, CASE WHEN doc_id % 12 = 7 THEN 1 ELSE 0 END AS details FROM documents WHERE text <> ''""")
+@query(f"""SELECT doc_id, doc_id % 12 IN (0, 1, 2, 9, 7) AND text <> '' AS has_content, CASE doc_id % 12 WHEN 7 THEN 'end_turn' WHEN 0 THEN 'stop' WHEN 1 THEN 'length' WHEN 2 THEN 'content_filter' WHEN 9 THEN 'strange' END AS finish_reason, CASE WHEN doc_id % 12 = 7 THEN 1 ELSE 0 END AS details FROM {PLANTED}""")
 def reasoning_payloads(spark: SparkSession, d: str) -> DataFrame:
     """P12."""
-    each = _responses(spark, d).filter("text <> ''").select("doc_id", reasoning_summary(Response(F.col("response"), F.lit("m"))).alias("s"))
+    each = _responses(spark, d).select("doc_id", reasoning_summary(Response(F.col("response"), F.lit("m"))).alias("s"))
     return each.select("doc_id", "s.has_content", "s.finish_reason", F.col("s.reasoning_detail_count").alias("details"))
 
 
-@query("""SELECT doc_id, 'choices[0].message.content' AS field_path, CAST(length(text) + 1 AS BIGINT) AS start, '中文、' AS match_text, CASE WHEN length(text) + 1 > 60 THEN '…' ELSE '' END || right(text || ' ', 60) || '中文、 end' AS snippet FROM documents WHERE doc_id % 12 = 0 AND text <> '' AND NOT regexp_matches(text, '[\\x{3000}-\\x{303F}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FFEF}]')""")
-def cjk_report(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of CJK characters anywhere in a response, with path and surroundings."""
-    docs = table(spark, d, "documents").filter((F.col("doc_id") % 12 == 0) & (F.col("text") != "") & ~F.col("text").rlike(X.CJK))
-    content = F.struct(F.concat("text", F.lit(" 中文、 end")).alias("content"))
-    body = docs.select("doc_id", F.to_json(F.struct(F.array(F.struct(F.lit("stop").alias("finish_reason"), content.alias("message"))).alias("choices"), F.struct(F.lit(1).alias("n")).alias("usage"))).alias("j"))
-    return rows.cjk_report(body, "j", "doc_id").withColumn("start", F.col("start").cast("long"))
+_NAMED = r"(?i)\b(?:COMPLIANCE|FINAL\s+LABEL|LABEL|VERDICT)\s*:\s*[\[\(\"''`*]*\s*(COMPLETE|DENIAL|EVASIVE)\b"
+_ALONE = r"(?im)^\s*[\[\(\"''`*#>-]*\s*(COMPLETE|DENIAL|EVASIVE)\s*[\]\)\"''`*.,!;:]*\s*$"
+_ENDS = ["\nLABEL: denial\nso it is. Final label: EVASIVE", "\nI say >>COMPLETE<<", " nothing", "\n<think>LABEL: COMPLETE", "\n<|channel>thought COMPLIANCE: COMPLETE<channel|> COMPLIANCE: [evasive]", " none"]
 
 
-@query("""WITH d AS (SELECT doc_id, text, doc_id % 6 AS k FROM documents) SELECT doc_id, CASE k WHEN 0 THEN 'EVASIVE' WHEN 1 THEN 'COMPLETE' WHEN 2 THEN 'DENIAL' WHEN 3 THEN 'UNPARSED' WHEN 4 THEN 'EVASIVE' ELSE 'UNPARSED' END AS observed,
- CASE k WHEN 0 THEN 'content' WHEN 1 THEN 'plain_label' WHEN 2 THEN 'reasoning_decision' WHEN 4 THEN 'content' ELSE 'unparsed' END AS origin, CASE k WHEN 0 THEN 'DENIAL' WHEN 4 THEN 'COMPLETE' ELSE 'UNPARSED' END AS first,
- CASE k WHEN 4 THEN length(text) + 1 + length('<|channel>thought COMPLIANCE: COMPLETE<channel|> COMPLIANCE: [') END AS prefix_chars FROM d WHERE NOT regexp_matches(text, '(?i)complian|verdict|label|channel|think|complete|denial|evasive')""")
+@query(rf"""WITH d AS (SELECT doc_id, doc_id % 6 AS k, CASE doc_id % 4 WHEN 1 THEN replace(text, '. ', '. Verdict: *denial* ') WHEN 2 THEN replace(text, '. ', '.' || chr(10) || '> Complete.' || chr(10)) WHEN 3 THEN replace(text, '. ', '</think> label: (evasive) ') ELSE text END AS text FROM documents),
+t AS (SELECT doc_id, k, CASE k WHEN 3 THEN '<think>LABEL: COMPLETE ' || text ELSE text || {str([e.replace(chr(10), "~") for e in _ENDS])}[k + 1] END AS t FROM d), u AS (SELECT doc_id, k, replace(t, '~', chr(10)) AS t, contains(lower(t), '</think>') AS closed FROM t),
+r AS (SELECT *, CASE WHEN closed THEN list_last(string_split(t, '</think>')) ELSE t END AS rest FROM u),
+l AS (SELECT *, CASE WHEN NOT closed AND regexp_matches(t, '^\s*<think\b') THEN 'UNPARSED' ELSE coalesce(upper(list_last(regexp_extract_all(rest, '{_NAMED}', 1))), upper(list_last(regexp_extract_all(rest, '{_ALONE}', 1))), 'UNPARSED') END AS content, upper(list_last(regexp_extract_all(t, '>>(COMPLETE|DENIAL|EVASIVE)<<', 1))) AS plain FROM r)
+SELECT doc_id, CASE WHEN content <> 'UNPARSED' THEN content WHEN plain IS NOT NULL THEN plain WHEN k = 2 THEN 'DENIAL' ELSE 'UNPARSED' END AS observed, CASE WHEN content <> 'UNPARSED' THEN 'content' WHEN plain IS NOT NULL THEN 'plain_label' WHEN k = 2 THEN 'reasoning_decision' ELSE 'unparsed' END AS origin,
+coalesce(nullif(upper(regexp_extract(t, '{_NAMED}', 1)), ''), 'UNPARSED') AS first, CASE k WHEN 4 THEN length(t) - length('evasive]') END AS prefix_chars FROM l""")
 def observed_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels in judge texts that hold whole documents."""
-    docs = table(spark, d, "documents").filter(~F.col("text").rlike("(?i)complian|verdict|label|channel|think|complete|denial|evasive"))
-    ends = ["\nLABEL: denial\nso it is. Final label: EVASIVE", "\nI say >>COMPLETE<<", " nothing", "\n<think>LABEL: COMPLETE", "\n<|channel>thought COMPLIANCE: COMPLETE<channel|> COMPLIANCE: [evasive]", " none"]
-    k = (F.col("doc_id") % 6).cast("int")
-    answer = F.when(k == 3, "<think>LABEL: COMPLETE").otherwise(F.concat("text", F.element_at(F.array(*[F.lit(e) for e in ends]), k + 1)))
-    reasoning = F.when(k == 2, "I decide DENIAL").otherwise(F.lit(""))
+    """Labels in judge texts that hold whole documents, with labels and ends of thought strewn in."""
+    i, text = F.col("doc_id"), F.col("text")
+    sown = F.when(i % 4 == 1, F.replace(text, F.lit(". "), F.lit(". Verdict: *denial* "))).when(i % 4 == 2, F.replace(text, F.lit(". "), F.lit(".\n> Complete.\n"))).when(i % 4 == 3, F.replace(text, F.lit(". "), F.lit("</think> label: (evasive) "))).otherwise(text)
+    k = (i % 6).cast("int")
+    docs = table(spark, d, "documents").select("doc_id", k.alias("k"), sown.alias("text"))
+    answer = F.when(F.col("k") == 3, F.concat(F.lit("<think>LABEL: COMPLETE "), "text")).otherwise(F.concat("text", F.element_at(F.array(*[F.lit(e) for e in _ENDS]), F.col("k") + 1)))
+    reasoning = F.when(F.col("k") == 2, "I decide DENIAL").otherwise(F.lit(""))
     seen = L.observed_label(F.col("t"), F.col("r"), r"(?i)>>(COMPLETE|DENIAL|EVASIVE)<<", r"(?i)decide (COMPLETE|DENIAL|EVASIVE)")
-    each = docs.select("doc_id", answer.alias("t"), reasoning.alias("r"), k.alias("k")).select("doc_id", seen.alias("s"), F.when(F.col("k") == 3, "UNPARSED").otherwise(L.first_label(F.col("t"))).alias("first"), F.length(L.prefix_to_label(F.col("t"))).alias("prefix_chars"))
+    each = docs.select("doc_id", answer.alias("t"), reasoning.alias("r")).select("doc_id", seen.alias("s"), L.first_label(F.col("t")).alias("first"), F.length(L.prefix_to_label(F.col("t"))).cast("long").alias("prefix_chars"))
     return each.select("doc_id", F.col("s.label").alias("observed"), F.col("s.source").alias("origin"), "first", "prefix_chars")
 
 
@@ -298,27 +306,33 @@ def label_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""{JOINED}, t AS (SELECT joined.doc_id, 'v' || source || '/' || lang || '-model-with-a-rather-long-name-of-its-own' AS model, text FROM joined JOIN (SELECT doc_id, text FROM documents) USING (doc_id))
+@query(rf"""{JOINED}, t AS (SELECT joined.doc_id, lang, source, 'v' || source || '/' || lang || '-model-with-a-rather-long-name-of-its-own' AS model, CASE WHEN joined.doc_id % 9 = 0 THEN repeat(left(text, 1), 4) WHEN joined.doc_id % 9 = 1 THEN chr(10) || text || ' ' || chr(9) ELSE text END AS text FROM joined JOIN (SELECT doc_id, text FROM documents) USING (doc_id)),
+c AS (SELECT *, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) AS compact, list_filter(list_transform(string_split(' ' || upper(source) || ',' || lang || ' ,, ' || CASE WHEN doc_id % 3 = 0 THEN source ELSE 'X' || doc_id % 5 END, ','), lambda x: lower(trim(x))), lambda x: x <> '') AS parts FROM t)
 SELECT doc_id, model || '::q' || doc_id AS key, 'q' || doc_id || ',' || model || '::q' || doc_id || ',us_hard::' || model || '::q' || doc_id || ',gold::' || model || '::q' || doc_id AS aliases,
- CASE WHEN length(regexp_replace(text, '\\s+', ' ', 'g')) <= 30 THEN regexp_replace(text, '\\s+', ' ', 'g') ELSE left(regexp_replace(text, '\\s+', ' ', 'g'), 27) || '...' END AS excerpt, length(text) AS chars,
+ CASE WHEN length(compact) <= 30 THEN compact ELSE left(compact, 27) || '...' END AS excerpt, length(text) AS chars,
  'top_error;code=' || doc_id || ';type=server' AS family, CAST(CASE WHEN length(text) % 8 = 2 THEN length(text) // 4 WHEN length(text) % 4 >= 2 THEN length(text) // 4 + 1 ELSE length(text) // 4 END AS BIGINT) AS tokens,
- CASE WHEN length(model) <= 45 THEN model ELSE left(model, 42) || '...' END AS shown, 'a,b' AS subs, false AS one_character FROM t WHERE length(text) > 1 AND text = trim(text, e' \\t\\n\\r\\x0b\\x0c') AND regexp_matches(text, '^[ -~\\s]*$')""")
+ CASE WHEN length(model) <= 45 THEN model ELSE left(model, 42) || '...' END AS shown, array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: list_position(parts, parts[i]) = i), lambda i: parts[i]), ',') AS subs, length(text) > 0 AND replace(text, left(text, 1), '') = '' AS one_character FROM c""")
 def text_keys(spark: SparkSession, d: str) -> DataFrame:
-    """P19, P20, P23, P24, P26, P31, P34, P51."""
-    t = joined(spark, d).join(_docs(spark, d, "doc_id", "text"), "doc_id").filter((F.length("text") > 1) & (F.col("text") == F.btrim("text", F.lit(" \t\n\r\x0b\x0c"))) & F.col("text").rlike(r"^[ -~\s]*$"))
+    """Keys and marks of whole texts, some of them one character over and over, some not trimmed."""
+    text = F.when(F.col("doc_id") % 9 == 0, F.repeat(F.left("text", F.lit(1)), F.lit(4))).when(F.col("doc_id") % 9 == 1, F.concat(F.lit("\n"), "text", F.lit(" \t"))).otherwise(F.col("text"))
+    t = joined(spark, d).join(_docs(spark, d, "doc_id", text.alias("text")), "doc_id")
     t = t.withColumn("model", F.concat(F.lit("v"), "source", F.lit("/"), "lang", F.lit("-model-with-a-rather-long-name-of-its-own"))).withColumn("q", F.concat(F.lit("q"), F.col("doc_id").cast("string")))
     model, q, text = F.col("model"), F.col("q"), F.col("text")
+    listed = F.concat(F.lit(" "), F.upper("source"), F.lit(","), "lang", F.lit(" ,, "), F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.concat(F.lit("X"), (F.col("doc_id") % 5).cast("string"))))
     return t.select(
         "doc_id", X.composite_key(model, q).alias("key"), F.array_join(X.alias_keys(model, q, F.lit(None).cast("string"), q), ",").alias("aliases"), X.excerpt(text, 30).alias("excerpt"), F.length("text").cast("long").alias("chars"),
         X.error_family("top_error", F.lit(None), F.col("doc_id"), F.lit("server"), F.lit(None).cast("string")).alias("family"), X.prompt_tokens(F.length("text")).alias("tokens"),
-        X.truncate_model(model).alias("shown"), F.array_join(X.subproviders(F.lit("A, b ,a,")), ",").alias("subs"), X.single_character(text).alias("one_character"),
+        X.truncate_model(model).alias("shown"), F.array_join(X.subproviders(listed), ",").alias("subs"), X.single_character(text).alias("one_character"),
     )
 
 
-@query("""SELECT conv_id, turn, role || ': ' || text AS rendered, text AS body, '<think>' || chr(10) || 'r' || turn || chr(10) || '</think>' || chr(10) || text AS thought, CASE WHEN turn % 2 = 0 THEN 'user' ELSE role END AS first_role, role AS meta_role, 'user,' || role AS ids FROM conversations WHERE text <> '' AND text = trim(text) AND NOT contains(text, '<')""")
+@query(r"""WITH c AS (SELECT conv_id, turn, role, CASE conv_id % 5 WHEN 0 THEN chr(10) || text || ' ' || chr(9) WHEN 1 THEN '<b>' || text || '</b> <a' WHEN 2 THEN CASE WHEN turn = 1 THEN '' ELSE text END ELSE text END AS text FROM conversations)
+SELECT conv_id, turn, role || ': ' || text AS rendered, trim(text, e' \t\n\x0b\x0c\r') AS body, CASE WHEN turn % 3 = 0 THEN text ELSE '<think>' || chr(10) || 'r' || turn || chr(10) || '</think>' || chr(10) || text END AS thought, CASE WHEN turn % 2 = 0 THEN 'user' ELSE role END AS first_role, role AS meta_role, 'user,' || role AS ids FROM c""")
 def message_rows(spark: SparkSession, d: str) -> DataFrame:
     """Turns as training rows."""
-    c = table(spark, d, "conversations").filter("text <> '' AND text = trim(text) AND NOT contains(text, '<')")
+    n, whole = F.col("conv_id") % 5, F.col("text")
+    text = F.when(n == 0, F.concat(F.lit("\n"), whole, F.lit(" \t"))).when(n == 1, F.concat(F.lit("<b>"), whole, F.lit("</b> <a"))).when((n == 2) & (F.col("turn") == 1), "").otherwise(whole)
+    c = table(spark, d, "conversations").withColumn("text", text)
     c = rows.set_field(c, "source", "chat").withColumn("messages", F.when(F.col("turn") % 2 == 1, F.array(F.struct("role", F.col("text").alias("content")))).otherwise(F.array().cast("array<struct<role:string,content:string>>")))
     made = rows.training_rows(c.withColumn("id", F.col("conv_id")), "system text", "text", "role", "role", ["turn", "source"]).select(F.col("id").alias("conv_id"), F.col("metadata.turn").alias("turn"), F.col("messages")[2]["content"].alias("meta_role")).distinct()
     text, role = F.col("text"), F.col("role")
@@ -326,7 +340,7 @@ def message_rows(spark: SparkSession, d: str) -> DataFrame:
     named = F.array_join(F.concat(F.array(F.lit("user")), F.array(F.element_at(pairs, -1)["model"])), ",")
     each = c.select(
         "conv_id", "turn", X.rendered("{role}: {text}", role=role, text=text).alias("rendered"), X.tag_body(F.concat(F.lit("x <a>"), text, F.lit("</A>")), "a").alias("body"),
-        X.think_text(F.concat(F.lit(" r"), F.col("turn").cast("string")), text).alias("thought"), X.chat_messages(F.col("messages"), text)[0]["role"].alias("first_role"), named.alias("ids"),
+        X.think_text(F.when(F.col("turn") % 3 == 0, " \n").otherwise(F.concat(F.lit(" r"), F.col("turn").cast("string"), F.lit("\n"))), text).alias("thought"), X.chat_messages(F.col("messages"), text)[0]["role"].alias("first_role"), named.alias("ids"),
     )
     return each.join(made, ["conv_id", "turn"])
 
@@ -546,10 +560,10 @@ def adjudicated_targets(spark: SparkSession, d: str) -> DataFrame:
 # reports
 
 
-@query(f"""WITH s AS (SELECT source AS model, {STATUS} AS status FROM documents WHERE text <> '') SELECT status, NULL AS model, count(*) AS n FROM s GROUP BY status UNION ALL SELECT status, model, count(*) FROM s GROUP BY status, model""")
+@query(f"""WITH s AS (SELECT source AS model, {STATUS} AS status FROM {PLANTED}) SELECT status, NULL AS model, count(*) AS n FROM s GROUP BY status UNION ALL SELECT status, model, count(*) FROM s GROUP BY status, model""")
 def status_audit(spark: SparkSession, d: str) -> DataFrame:
     """Counts by status, and by model and status; three examples of unknown metadata are asked for as well."""
-    r = _responses(spark, d).filter("text <> ''").select("doc_id", F.col("source").alias("model"), Response(F.col("response"), F.lit("v/m")).status().alias("s"))
+    r = _responses(spark, d).select("doc_id", F.col("source").alias("model"), Response(F.col("response"), F.lit("v/m")).status().alias("s"))
     tagged = written(r.select("model", "s.status", "s.reason", F.lit("f").alias("_file"), F.col("doc_id").alias("_line")), "statuses")
     counts, shown = report.status_audit(tagged, 3)
     return counts.filter("reason IS NULL").join(F.broadcast(shown.agg(F.count_if(F.col("_line") > 0).alias("m"))), F.col("m") <= 3).select("status", "model", "n")
@@ -627,6 +641,31 @@ def bucket_report(spark: SparkSession, d: str) -> DataFrame:
     return s.crossJoin(variants).crossJoin(names).crossJoin(doubles)
 
 
+@query(f"""{JOINED} SELECT source AS question_type, count(*) FILTER (a = 'COMPLETE') AS "COMPLETE", count(*) FILTER (a = 'DENIAL') AS "DENIAL", count(*) FILTER (a = 'EVASIVE') AS "EVASIVE" FROM joined GROUP BY source""")
+def type_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix of types and labels, cell by cell."""
+    return report.type_label_matrix(joined(spark, d).select(F.col("source").alias("question_type"), F.col("a").alias("label")))
+
+
+@query(r"""SELECT 'variants' AS what, regexp_replace(CAST(p_partkey AS VARCHAR), '\d$', '') AS value, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'domain', trim(p_type), NULL FROM part WHERE trim(p_type) <> '' GROUP BY 2
+UNION ALL SELECT 'double', p_brand || '|' || p_size, count(*) FROM part GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'whole run', CAST(l_orderkey AS VARCHAR), count(*) FILTER (l_returnflag = 'A') FROM lineitem GROUP BY 2 HAVING count(*) = 4""")
+def bucket_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Variants, domains, repeated keys and runs of exactly four rows, row by row."""
+    p = table(spark, d, "part")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("run"), F.lit("COMPLETE").alias("expected"), F.when(F.col("l_returnflag") == "A", "COMPLETE").otherwise("DENIAL").alias("observed"))
+    parts = {
+        "variants": report.variant_counts(p.select(F.col("p_partkey").cast("string").alias("id")), "id").select(F.col("base_id").alias("value"), "n"),
+        "domain": report.domains(p, "p_type").select(F.col("p_type").alias("value"), F.lit(None).cast("long").alias("n")),
+        "double": jsonl.duplicates(p, ["p_brand", "p_size"]).select(F.concat_ws("|", "p_brand", "p_size").alias("value"), "n"),
+        "whole run": report.whole_runs(li, "run", "expected", "observed", 4).select(F.col("run").alias("value"), F.col("correct").alias("n")),
+    }
+    out = None
+    for what, rows_ in parts.items():
+        named = rows_.select(F.lit(what).alias("what"), "value", "n")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 @query("""WITH u AS (SELECT CAST(sum(CASE WHEN event_id % 3 <> 0 THEN value ELSE 0 END) AS DOUBLE) + sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS tokens FROM events) SELECT round(tokens, 4) AS completion_tokens FROM u""")
 def usage_report(spark: SparkSession, d: str) -> DataFrame:
     """A10: usage summed over two payloads of a row."""
