@@ -20,7 +20,7 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Further forms of personal data that are put to the vote.
 MASKED = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}) ?[a-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[a-z0-9-]++)++"
-LOCAL = r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])"
+LOCAL = r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|[.-][0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 NAME = r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Sr|Sra|Señor|Señora)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){0,2}"
@@ -30,10 +30,15 @@ KEY = (
     r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----(?:[^-]*+-----END [A-Z ]*+-----)?"
 )
 VALUE = r"(?i)(?<![a-z0-9+/_.-])(?=[^\s\"'`,;<>]{8})(?<=(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)[^\s\"'`,;<>]++"
+# Loose forms, of which most matches are harmless: capitalised words in a row, bare numbers, strings that look like keys.
+PERSON = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++){1,2}+(?![\p{L}\p{N}])"
+NUMBER = r"(?<![\p{L}\p{N}.,+/-])(?<![0-9] )[0-9](?:[ -]?[0-9]){8,18}+(?![\p{L}\p{N}])(?![ .,/-][0-9])"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
 BASE = ("email", "ip", "card", "phone")
+LOOSE = ("person", "number", "opaque")
 SECRETS = ("secret_key", "secret_value")
-EXTRA = ("masked_email", "local_phone", "ssn", "iban", "name", *SECRETS)
-PATTERNS = dict(zip(BASE + EXTRA, (EMAIL, IP, CARD, PHONE, MASKED, LOCAL, SSN, IBAN, NAME, KEY, VALUE), strict=True))
+EXTRA = ("masked_email", "local_phone", "ssn", "iban", "name", *SECRETS, *LOOSE)
+PATTERNS = dict(zip(BASE + EXTRA, (EMAIL, IP, CARD, PHONE, MASKED, LOCAL, SSN, IBAN, NAME, KEY, VALUE, PERSON, NUMBER, OPAQUE), strict=True))
 #: What a text must hold for the pattern to be tried at all.
 NEEDS = {"email": ("@",), "phone": ("+",), "secret_value": ("=", ":")}
 # Gazetteers and context words.
@@ -50,8 +55,8 @@ STAND_IN = r"(?i)^(?:your|example|sample|changeme|placeholder|null|none|true|fal
 #: Spans of each kind that the classifier is fitted on at most: those with the smallest hashes.
 FIT_SPANS = 1000
 #: What the classifier sees of a span, and how many values each feature has: length, shares of digits and of distinct
-#: characters, the characters beside it, and the word before it by its hash.
-FEATURES = {"size": 8, "digits": 5, "distinct": 5, "left": 5, "right": 5, "word": 64}
+#: characters, whether 13 to 19 digits bear a check digit, the characters beside it, and the word before it by its hash.
+FEATURES = {"size": 8, "digits": 5, "distinct": 5, "check": 3, "left": 5, "right": 5, "word": 64}
 VOTES = ("form", "gazetteer", "context", "against", "edges")
 
 
@@ -106,6 +111,9 @@ def _form(s: Column) -> Column:
         .when(kind == "local_phone", ~digits.rlike("^[01]"))
         .when(kind == "secret_value", s["hit"].rlike("[0-9]"))
         .when(kind == "iban", F.length(F.regexp_replace(s["hit"], " ", "")).between(15, 34))
+        .when(kind == "number", F.length(digits).between(13, 19) & _luhn(digits))
+        .when(kind == "opaque", s["hit"].rlike("[a-z]") & s["hit"].rlike("[A-Z]") & s["hit"].rlike("[0-9].*[0-9]"))
+        .when(kind == "person", F.lit(None))
         .otherwise(True)
     )
 
@@ -118,12 +126,14 @@ def _votes(s: Column) -> Column:
     given = F.array(*[F.lit(x) for x in GIVEN.split()])
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     mail = s["kind"].isin("email", "masked_email")
-    secret = s["kind"].isin(*SECRETS)
+    secret = s["kind"].isin(*SECRETS, "opaque")
     private = s["hit"].rlike("^(10|127|0|255)\\.|^192\\.168\\.")
     return F.struct(
         vote(_form(s), ~_form(s)).alias("form"),
         F.when(mail, vote(F.array_contains(listed, last), last.rlike("^[0-9]*$")))
         .when(s["kind"] == "name", vote(F.arrays_overlap(F.split(low, " "), given), F.lit(False)))
+        .when(s["kind"] == "person", vote(F.array_contains(given, F.substring_index(low, " ", 1)), ~F.arrays_overlap(F.split(low, " "), given)))
+        .when(s["kind"] == "opaque", vote(s["hit"].rlike(KEY), s["hit"].rlike("^[0-9A-Fa-f]+$|^[0-9A-Fa-f]{8}-") | (F.length(_digits(s["hit"])) < 3)))
         .when(s["kind"] == "ip", vote(F.lit(False), private))
         .when(s["kind"] == "card", vote(s["hit"].rlike("^[3-6]"), s["hit"].rlike("^0")))
         .when(secret, vote((s["kind"] == "secret_key") | s["hit"].rlike("^[0-9A-Fa-f]{16,}$|^[A-Za-z0-9+/_-]{24,}={0,2}$"), s["hit"].rlike(STAND_IN)))
@@ -148,6 +158,7 @@ def _features(s: Column) -> Column:
         F.least(F.lit(7), F.floor(F.log2(n)).cast("int")).alias("size"),
         share(F.length(_digits(s["hit"]))).alias("digits"),
         share(F.size(F.array_distinct(F.split(s["hit"], "")))).alias("distinct"),
+        F.when(F.length(_digits(s["hit"])).between(13, 19), F.when(_luhn(_digits(s["hit"])), 1).otherwise(2)).otherwise(0).alias("check"),
         beside(s["before"], "$").alias("left"),
         beside(s["after"], "^").alias("right"),
         F.pmod(F.xxhash64(word), F.lit(FEATURES["word"])).cast("int").alias("word"),
@@ -171,7 +182,7 @@ class Model:
 def weigh(patterns: list[dict]) -> tuple[list[float], dict[str, float]]:
     """EM over vote patterns with counts: each pattern's chance to be personal data, and each labeler's reliability.
 
-    Each pattern is a kind, the labelers' votes and how many spans show them; there are at most 11 * 3 ** 5.  EM has a rate
+    Each pattern is a kind, the labelers' votes and how many spans show them; there are at most 14 * 3 ** 5.  EM has a rate
     of personal data for each kind and for each labeler a chance of each vote in either class (Dawid and Skene), smoothed
     by a prior under which a vote is right three times in four; so the classes can't change places.  Who abstains says
     nothing: labelers know some kinds only, and kinds they don't know aren't the less personal.
@@ -223,7 +234,7 @@ def train(spans: list[dict]) -> Model:
 def fitted(candidates: DataFrame) -> Model:
     """The classifier for a table of spans (column s): EM over the votes of all of them, then the fit on a bounded sample."""
     votes = [F.col(f"s.votes.{n}").alias(n) for n in VOTES]
-    patterns = [r.asDict() for r in candidates.groupBy("s.kind", *votes).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 11 * 3 ** 5 rows
+    patterns = [r.asDict() for r in candidates.groupBy("s.kind", *votes).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 14 * 3 ** 5 rows
     patterns.sort(key=lambda p: (p["kind"], *(p[n] for n in VOTES)))
     if not patterns:
         return train([])
@@ -237,7 +248,7 @@ def fitted(candidates: DataFrame) -> Model:
     bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(2**31 * min(1.0, 4 * FIT_SPANS / max(1, n))))])
     near = candidates.select("s.kind", *votes, *[F.col(f"s.features.{f}").alias(f) for f in FEATURES], number.alias("h")).filter(F.pmod(F.col("h"), F.lit(2**31)) < bound[F.col("kind")])
     order = Window.partitionBy("kind").orderBy(F.pmod(F.col("h"), F.lit(2**31)), "h")
-    sample = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIT_SPANS).drop("h", "r").collect()  # 11 * FIT_SPANS rows
+    sample = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIT_SPANS).drop("h", "r").collect()  # 14 * FIT_SPANS rows
     return train([r.asDict() | {"q": of[(r["kind"], *(r[n] for n in VOTES))]} for r in sample])
 
 
@@ -246,7 +257,9 @@ def find_pii(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
     Base spans are the four kinds' matches that pass their checks; they always stay.  The other kinds' matches stay if
     they pass the checks of their kind, overlap no base span (secrets: lie in none), and the classifier that was trained on
-    what EM makes of the labelers' votes takes them for personal data.  The
+    what EM makes of the labelers' votes takes them for personal data.  Matches of the loose kinds (capitalised words in a
+    row, bare numbers, strings that look like keys) have no checks to pass: the classifier alone tells which are personal,
+    and those that overlap a match of another kind that passes its checks go.  The
     whole text is read once; candidates are written, so that training and the result see the same.  A null text is empty
     and has no spans; an empty table trains on nothing.  A column named spans is replaced.  All of it is Spark SQL but for
     the driver's arithmetic on vote counts.
@@ -265,7 +278,10 @@ def find_pii(docs: DataFrame, *, text: str = "text") -> DataFrame:
     def select(c: Column) -> Column:
         firm = F.filter(c, base)
         over = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & (~s["kind"].isin(*SECRETS) | ((b["start"] <= s["start"]) & (s["end"] <= b["end"])))
-        more = F.filter(c, lambda s: ~s["kind"].isin(*BASE) & (s["votes"]["form"] >= 0) & (model.score(s) > 0) & ~F.exists(F.filter(c, base), lambda b: over(s, b)))
+        strict = F.filter(c, lambda s: ~s["kind"].isin(*LOOSE) & (s["votes"]["form"] >= 0))
+        beside = lambda s: F.exists(strict, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        tight = lambda s: F.when(s["kind"].isin(*LOOSE), ~beside(s)).otherwise((s["votes"]["form"] >= 0) & ~F.exists(F.filter(c, base), lambda b: over(s, b)))
+        more = F.filter(c, lambda s: ~s["kind"].isin(*BASE) & (model.score(s) > 0) & tight(s))
         keyed = F.transform(F.concat(firm, more), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("o"), s["end"].alias("end"), s["kind"].alias("kind"), base(s).alias("base"), s["hit"].alias("hit")))
         return F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["hit"].alias("hit")))
 
