@@ -149,14 +149,14 @@ def agreement_heatmap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, doc_id % 17 = 0 AS bad, CASE WHEN doc_id % 17 <> 0 THEN md5(coalesce(text, '')) END AS text_md5, true AS numbered FROM documents""")
 def numbered_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Whole documents as JSON lines, replaced twice, read by ranges of 64 kB; one line in 17 is broken."""
+    """Whole documents as JSON lines, replaced twice, read by ranges of 256 kB; one line in 17 is broken."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     path = scratch_path(spark, "numbered")
     line = F.to_json(F.struct("doc_id", "text"))
     numbered.replace_lines(docs.select(line.alias("line")), path)
     broken = F.when(F.col("doc_id") % 17 == 0, F.left(line, F.length(line) - 1)).otherwise(line)
     numbered.replace_lines(docs.select(broken.alias("line")), path)
-    read = written(numbered.read_numbered(spark, path, 1 << 16), "numbered-read")
+    read = written(numbered.read_numbered(spark, path, 1 << 18), "numbered-read")
     files = read.groupBy("file").agg(F.count_distinct("line_number").alias("kinds"), F.max("line_number").alias("last"), recon.one())
     numbers = files.agg(F.bool_and((F.col("kinds") == F.col("n")) & (F.col("last") == F.col("n"))).alias("numbered"))
     bad = numbered.malformed(read).select("file", "line_number", F.lit(True).alias("bad"))
