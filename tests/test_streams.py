@@ -96,3 +96,32 @@ def test_breaker_stops_the_query_in_the_batch_that_trips_it(spark, tmp_path, lim
         own.streams.removeListener(breaker)
     assert [n for n, _ in seen] == list(range(batches))
     assert [x["x"] for _, x in seen] == [2, 4, 0, 3][:batches] and all(x["y"] == 0 for _, x in seen)
+
+
+@pytest.mark.parametrize("name", ["error_breaker", "late_and_replaced", "stateful_worklist"])
+def test_stateful_queries_hold_to_the_callers_settings(spark, data, name):
+    """Tables may lie where only the caller's session finds them, and the state store is the caller's choice."""
+    from verdictlake.plans.registry import QUERIES
+
+    store, key = f"store{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    link = f"fs.viewfs.mounttable.{store}.link./in"
+    kept = spark.conf.get(key)
+    spark.conf.set(link, f"file://{data}")
+    try:
+        there = QUERIES[name](spark, f"viewfs://{store}/in")
+        assert sorted(map(tuple, there.collect())) == sorted(map(tuple, QUERIES[name](spark, data).collect()))
+        assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.unset(link)
+
+
+def test_runs_with_null_times_and_keys(spark, tmp_path):
+    folder, sink, kept = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "model string, ts timestamp, id long, ok string"
+    drop(spark, folder, [(None, None, 1, "-"), (None, at(5), 0, "-"), ("x", None, 2, "+"), ("x", at(1), 1, "-")], schema, 0)
+    drop(spark, folder, [(None, at(1), 3, "-"), ("x", at(1), 3, "-")], schema, 1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    runs = state.error_runs(stream, "model", "ts", "id", F.col("ok") == "-")
+    runs.writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.withColumn("b", F.lit(n)).write.parquet(f"{sink}/{n}")).option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.option("recursiveFileLookup", "true").parquet(sink).collect()
+    assert {(r.b, r.model, r.n, r.longest) for r in got} == {(0, None, 2, 2), (0, "x", 2, 1), (1, None, 1, 3), (1, "x", 1, 1)}

@@ -5,22 +5,23 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stateful_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application whose streams keep state in RocksDB; the caller's settings stay as they are."""
+    """A session of the same application, with the caller's settings, whose streams keep state in RocksDB; the caller's stay as they are."""
     own = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        value = spark.conf.get(key, "")
-        if value:
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
             own.conf.set(key, value)
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return own
@@ -29,67 +30,66 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 # -- work list ---------------------------------------------------------------------------------------------------------
 
 
-class WorkList(StatefulProcessor):
-    """The newest response and analysis of a key; a row goes out when work becomes due, or no longer is.
+def _newer(row: tuple, known: tuple | None) -> bool:
+    """By time, then value; nulls come last, as in a window's order that puts them there."""
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    return known is None or order(row) > order(known)
+
+
+def _plain(column: pd.Series) -> list:
+    return column.astype(object).where(column.notna(), None).tolist()
 
-    Rows have kind ('response' or 'analysis'), ts and value: a response's status or an analysis's label.  With a grace,
-    a response without a fitting analysis is due only when the watermark has passed its time by that much.
-    """
 
-    def __init__(self, keys: list[str], fits: Callable[[str, str], bool], grace_ms: int = 0) -> None:
-        self.keys, self.fits, self.grace_ms = keys, fits, grace_ms
+def stateful_work_list(stream: DataFrame, keys: list[str], fits: Callable[[str, str], bool], *, late: str = "", grace_ms: int = 0) -> DataFrame:
+    """Section 2.12: keys, response_ts and reason ('missing', 'stale', 'unfit', '' when settled) as work becomes due.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.newest = {kind: handle.getValueState(kind, "us long, value string") for kind in ("response", "analysis")}
-        self.told = handle.getValueState("told", "us long, reason string")
+    `stream` has the keys, kind ('response' or 'analysis'), ts and value: a response's status or an analysis's label.
+    State is the newest response and analysis and what was told last for each key, whatever the number of rows; a key's
+    rows of a micro-batch may come in any order.  With a grace, `late` is the watermark, and a response without a
+    fitting analysis is due only when the watermark has passed its time by that much.
+    """
 
-    def reason(self, response: tuple, analysis: tuple | None) -> str:
+    def reason(response: tuple, analysis: tuple | None) -> str:
         if analysis is None:
             return "missing"
         if response[0] > analysis[0]:
             return "stale"
-        return "" if self.fits(response[1], analysis[1]) else "unfit"
+        return "" if fits(response[1], analysis[1]) else "unfit"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        newest: dict[str, tuple | None] = {"response": None, "analysis": None}
+        before, timer = None, None
+        if kept.exists:
+            r_us, r_value, r_there, a_us, a_value, a_there, told_us, told_reason, timer = kept.get
+            newest["response"] = (r_us, r_value) if r_there else None
+            newest["analysis"] = (a_us, a_value) if a_there else None
+            before = None if told_reason is None else (told_us, told_reason)
+        expired = kept.hasTimedOut
+        if not expired:
+            for frame in frames:
+                for kind, us, value in zip(_plain(frame["kind"]), _plain(frame["us"]), _plain(frame["value"]), strict=True):
+                    row = (None if us is None else int(us), value)
+                    if _newer(row, newest[kind]):
+                        newest[kind] = row
+                        if grace_ms and kind == "response":
+                            timer = row[0] // 1000 + grace_ms
+            expired = timer is not None and timer <= kept.getCurrentWatermarkMs()
+        response, analysis = newest["response"], newest["analysis"]
+        timer = None if expired else timer
+        if response is not None and (expired or not grace_ms or before):
+            now = (response[0], reason(response, analysis))
+            if now != before and (now[1] or before):
+                before = now
+                yield pd.DataFrame({**{k: pd.Series([v], dtype=object) for k, v in zip(keys, key, strict=True)}, "response_us": pd.Series([now[0]], dtype=object), "reason": [now[1]]})
+        kept.update((*(response or (None, None)), response is not None, *(analysis or (None, None)), analysis is not None, *(before or (None, None)), timer))
+        if timer is not None:
+            kept.setTimeoutTimestamp(timer)
 
-    def _due(self, key: tuple) -> Iterator[Row]:
-        response, analysis = self.newest["response"].get(), self.newest["analysis"].get()
-        if response is None:
-            return
-        now = (response[0], self.reason(tuple(response), analysis and tuple(analysis)))
-        before = self.told.get()
-        if now != (before and tuple(before)) and (now[1] or before):
-            self.told.update(now)
-            yield Row(**dict(zip(self.keys, key, strict=True)), response_us=now[0], reason=now[1])
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        for row in rows:
-            known = self.newest[row.kind].get()
-            if known is None or (row.us, row.value) > tuple(known):
-                self.newest[row.kind].update((row.us, row.value))
-                if self.grace_ms and row.kind == "response":
-                    for timer in list(self.handle.listTimers()):
-                        self.handle.deleteTimer(timer)
-                    self.handle.registerTimer(row.us // 1000 + self.grace_ms)
-        if not self.grace_ms or self.told.exists():
-            yield from self._due(key)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        yield from self._due(key)
-
-    def close(self) -> None:
-        pass
-
-
-def stateful_work_list(stream: DataFrame, keys: list[str], fits: Callable[[str, str], bool], *, late: str = "", grace_ms: int = 0) -> DataFrame:
-    """Section 2.12: keys, response_ts and reason ('missing', 'stale', 'unfit', '' when settled) as work becomes due.
-
-    `stream` has the keys, kind, ts and value.  State is a response, an analysis and what was told last for each key,
-    whatever the number of rows; a key's rows of a micro-batch may come in any order.  With a grace, `late` is the watermark.
-    """
     result = T.StructType([*[stream.schema[k] for k in keys], T.StructField("response_us", T.LongType()), T.StructField("reason", T.StringType())])
+    known = "r_us long, r_value string, r_there boolean, a_us long, a_value string, a_there boolean, told_us long, told_reason string, timer long"
     source = stream.withWatermark("ts", late) if grace_ms else stream
     grouped = source.select(*keys, "kind", "ts", F.unix_micros("ts").alias("us"), "value").groupBy(*keys)
-    told = grouped.transformWithState(WorkList(keys, fits, grace_ms), result, "Append" if grace_ms else "Update", "EventTime" if grace_ms else "None")
+    told = grouped.applyInPandasWithState(step, result, known, "append" if grace_ms else "update", GroupStateTimeout.EventTimeTimeout if grace_ms else GroupStateTimeout.NoTimeout)
     return told.select(*keys, F.timestamp_micros("response_us").alias("response_ts"), "reason")
 
 
@@ -142,37 +142,25 @@ def answered(responses: DataFrame, analyses: DataFrame, keys: list[str], late: s
 # -- breaker -----------------------------------------------------------------------------------------------------------
 
 
-class ErrorRuns(StatefulProcessor):
-    """The length of a key's current run of errors; one row a batch with the longest run that the batch reached."""
-
-    def __init__(self, key: str) -> None:
-        self.key = key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "n long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        known = self.run.get()
-        run, longest, n = known[0] if known else 0, 0, 0
-        for row in sorted(rows, key=lambda r: (r.ts, r.tie)):
-            run = run + 1 if row.error else 0
-            longest = max(longest, run)
-            n += 1
-        self.run.update((run,))
-        yield Row(**{self.key: key[0], "n": n, "longest": longest})
-
-    def close(self) -> None:
-        pass
-
-
 def error_runs(stream: DataFrame, key: str, ts: str, tie: str, error: Column) -> DataFrame:
     """key, n, longest: after each micro-batch, the longest run of errors of each key of the batch, runs before it counted on.
 
-    A key's rows of one micro-batch are sorted in memory; the source's limit of files or bytes a trigger bounds them.
+    State is the length of a key's current run.  A key's rows of one micro-batch are sorted in memory (null times last);
+    the source's limit of files or bytes a trigger bounds them.
     """
+
+    def step(of: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["us", "tie"], kind="stable")
+        bad = rows["error"].to_numpy(bool)
+        at = np.arange(len(bad))
+        last_good = np.maximum.accumulate(np.where(bad, -1 - (kept.get[0] if kept.exists else 0), at))
+        run = np.where(bad, at - last_good, 0)
+        kept.update((int(run[-1]),))
+        yield pd.DataFrame({key: pd.Series([of[0]], dtype=object), "n": [len(bad)], "longest": [int(run.max())]})
+
     result = T.StructType([stream.schema[key], T.StructField("n", T.LongType()), T.StructField("longest", T.LongType())])
-    rows = stream.select(key, F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.coalesce(error, F.lit(False)).alias("error"))
-    return rows.groupBy(key).transformWithState(ErrorRuns(key), result, "Update", "None")
+    rows = stream.select(key, F.unix_micros(ts).alias("us"), F.col(tie).alias("tie"), F.coalesce(error, F.lit(False)).alias("error"))
+    return rows.groupBy(key).applyInPandasWithState(step, result, "run long", "update", GroupStateTimeout.NoTimeout)
 
 
 class Breaker(StreamingQueryListener):
