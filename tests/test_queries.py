@@ -54,3 +54,17 @@ def test_divergence_of_all_languages(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     (got,) = catalog.QUERIES["divergence"](spark, str(tmp_path)).collect()
     assert (got.complete_delta_pp, got.denial_delta_pp, got.evasive_delta_pp, got.total_abs_delta_pp) == (-50.0, 50.0, 0.0, 100.0)
+
+
+def test_preference_pairs_round_half_to_even_and_put_nulls_last(spark, tmp_path):
+    # 2.5 is 2 as in SQL, so it ties with 2.4 and the smaller id wins; a null is never the shortest
+    rows = [(0, 0, 2.5), (3, 0, 2.4), (1, 0, None), (4, 0, 7.0), (2, 0, 0.5), (5, 0, 0.4), (6, 3, None), (7, 3, None), (10, 3, 1.0)]
+    where = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(where)
+    db = duckdb.connect()
+    db.sql(f"create view events as select * from '{where}/*.parquet'")
+    columns = "id, expected, chosen, rejected_label, rejected, n_wrong, boundary"
+    want = sorted(db.sql(f"select {columns} from ({catalog.SQL['preference_pairs']})").fetchall())
+    got = sorted(map(tuple, catalog.QUERIES["preference_pairs"](spark, str(tmp_path)).select(*columns.split(", ")).collect()))
+    assert got == want
+    assert (0, "COMPLETE", "0", "DENIAL", "4", 2, "COMPLETE->DENIAL") in got

@@ -539,9 +539,11 @@ SELECT id, expected, CAST(chosen AS VARCHAR) AS chosen, rejected_label, CAST(rej
 def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
     names = F.array(*[F.lit(x) for x in L.LABELS])
     pick = lambda c: names[(F.col(c) % 3).cast("int")]
-    r = table(spark, d, "events").select(F.col("user_id").alias("id"), pick("user_id").alias("expected"), pick("event_id").alias("observed"), F.round("value").cast("long").alias("generated_tokens"), F.col("event_id").alias("rollout_index"), F.col("event_id").cast("string").alias("raw_judge_response"))
+    r = table(spark, d, "events").select(F.col("user_id").alias("id"), pick("user_id").alias("expected"), pick("event_id").alias("observed"), F.rint("value").cast("long").alias("generated_tokens"), F.col("event_id").alias("rollout_index"), F.col("event_id").cast("string").alias("raw_judge_response"))
     sources = r.select("id", "expected").distinct()
-    return recon.preference_pairs(sources, r).select("id", "expected", "chosen", "rejected_label", "rejected", "n_wrong", "boundary")
+    tokens = F.col("generated_tokens")
+    shortest = F.struct(tokens.isNull(), tokens, "rollout_index")  # nulls last, as in SQL
+    return recon.preference_pairs(sources, r, shortest).select("id", "expected", "chosen", "rejected_label", "rejected", "n_wrong", "boundary")
 
 
 @query("""WITH s AS (SELECT doc_id, source, lang, quality, CASE WHEN quality IS NULL THEN 'missing_gold' WHEN doc_id % 3 = 0 THEN 'missing_votes' END AS skip FROM documents LEFT JOIN labels USING (doc_id)) SELECT coalesce(skip, 'used') AS reason, count(*) AS n FROM s GROUP BY 1""")
