@@ -188,3 +188,19 @@ def test_greedy_selection_where_one_cap_blocks_another(spark):
     rows = [(i, "q0", "m0", float(i)) for i in range(50)] + [(50 + i, "q1", f"m{i % 2}", 50.0 + i) for i in range(10)]
     got = sampling.select_capped(spark.createDataFrame(rows, "id int, q string, m string, o double"), [F.col("o")], {"m": 4, "q": 2}, 6, "id").orderBy("pick").collect()
     assert [x.id for x in got] == [0, 1, 50, 51]
+
+
+def test_theta_first_is_theta_best_and_meets_no_offer_with_all_profiles(spark):
+    offers = spark.range(400).selectExpr("id AS offer", "concat('b', id % 3) AS text", "nullif(id * 7 % 11, 4) AS need", "1.0 + id % 5 AS price")
+    profiles = spark.range(200).selectExpr("id AS tie", "concat('^b[', id % 4, id % 2, ']$') AS pattern", "cast(nullif(id * 5 % 13, 6) AS double) AS have", "id % 6 AS kind")
+    cost = F.col("price") * (F.col("kind") % 3)
+    got = recon.theta_first(offers, profiles, "text", "pattern", F.col("need"), F.col("have"), ["kind"], cost, "tie", "offer")
+    want = recon.theta_best(offers, profiles, "text", "pattern", F.col("have") >= F.col("need"), [cost, F.col("tie")], "offer")
+    rows = sorted((r.offer, r.tie, r.kind) for r in got.collect())
+    assert rows == sorted((r.offer, r.tie, r.kind) for r in want.collect()) and len(rows) > 200
+    # 20 times the profiles, which would be 20 times the pairs: the rows that reach an offer stay
+    many = profiles.crossJoin(spark.range(20).toDF("copy")).withColumn("tie", F.col("tie") + 1000 * F.col("copy")).drop("copy")
+    again = recon.theta_first(offers, many, "text", "pattern", F.col("need"), F.col("have"), ["kind"], cost, "tie", "offer")
+    assert sorted((r.offer, r.tie, r.kind) for r in again.collect()) == rows
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert ">=" not in plan and "Window" in plan

@@ -136,6 +136,26 @@ def theta_best(offers: DataFrame, profiles: DataFrame, text: str, pattern: str,
     return best.select("b.*")
 
 
+def theta_first(offers: DataFrame, profiles: DataFrame, text: str, pattern: str, need: Column, have: Column, same: Sequence[str], cost: Column, tie: str, offer_id: str) -> DataFrame:
+    """J14 where a profile fits if what it has is at least what the offer needs: the cheapest, ties to the smallest `tie`.
+
+    The cost depends on the offer and on the profile's columns `same` alone, so of the profiles that agree in these the
+    smallest `tie` that fits is the best.  It is a running least over profiles and distinct needs sorted together, so
+    no offer meets all of its profiles and work grows with the rows of both.
+    """
+    p, o = profiles.withColumn("_have", have), offers.withColumn("_need", need)
+    matched = offers.select(text).distinct().join(profiles.select(pattern).distinct(), F.rlike(text, F.col(pattern)))
+    asks = o.filter(F.col("_need").isNotNull()).select(text, "_need").distinct().join(matched, text)
+    held = p.filter(F.col("_have").isNotNull()).groupBy(pattern, *same, F.col("_have").alias("_v")).agg(F.min(tie).alias("_tie"))
+    asked = asks.join(p.select(pattern, *same).distinct(), pattern).withColumn("_v", F.col("_need"))
+    both = held.withColumn("_ask", F.lit(False)).unionByName(asked.withColumn("_ask", F.lit(True)), allowMissingColumns=True)
+    upto = Window.partitionBy(pattern, *same).orderBy(F.desc("_v"), "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_first", F.min("_tie").over(upto)).filter(F.col("_ask") & F.col("_first").isNotNull()).select(text, "_need", *same, F.col("_first").alias(tie))
+    best = o.join(found, [text, "_need"])
+    columns = [c for c in best.columns if c != "_need"]
+    return best.groupBy(offer_id).agg(F.min_by(F.struct(*columns), F.struct(cost.alias("cost"), F.col(tie).alias("tie"))).alias("b")).select("b.*")
+
+
 def merge_recovered(primary: DataFrame, fallback: DataFrame, key: str, label: str, is_error: Column) -> DataFrame:
     """The fallback's label where the primary's is an error, and where it came from."""
     f = fallback.select(key, F.col(label).alias("_fallback"))

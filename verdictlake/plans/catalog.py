@@ -476,7 +476,7 @@ def cost_rank_theta(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal", F.concat(F.lit("^Brand#"), (1 + F.col("s_nationkey") % 25).cast("string"), F.lit("$")).alias("pattern"))
     offers = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
     cost = scores.run_cost(F.col("p_retailprice"), 1 + F.col("s_nationkey"))
-    best = recon.theta_best(offers, p, "p_brand", "pattern", F.col("s_acctbal") >= F.col("p_size") * 10, [cost, F.col("s_suppkey")], "p_partkey")
+    best = recon.theta_first(offers, p, "p_brand", "pattern", F.col("p_size") * 10, F.col("s_acctbal"), ["s_nationkey"], cost, "s_suppkey", "p_partkey")
     return best.select("p_partkey", "s_suppkey", F.round(cost, 6).alias("cost"))
 
 
