@@ -103,3 +103,9 @@ def test_survey_scores(spark):
     answers = spark.createDataFrame([("s", "m", "i", 4), ("s", "m", "j", 2), ("s", "m", "i", 9)], "survey string, model string, item_id string, value long")
     r = rows.survey_scores(answers, surveys).first()
     assert (r.n, r.score) == (2, 4.0)
+
+
+def test_nested_strings_leave_no_other_session(spark, monkeypatch):
+    monkeypatch.setattr(type(spark), "newSession", lambda self: (_ for _ in ()).throw(AssertionError("the caller's settings would be lost")))
+    docs = spark.createDataFrame([(1, '{"a":{"b":[["x"],{}]},"c":null,"d":2}'), (2, '"y"'), (3, "{"), (4, None), (5, "[]")], "line int, j string")
+    assert sorted(map(tuple, rows.nested_strings(docs, "j", "line").collect())) == [(1, "a.b[0][0]", "x"), (2, "$", "y")]

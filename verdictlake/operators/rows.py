@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,29 +14,29 @@ from ..sources.scratch import scratch_path
 
 
 def nested_strings(df: DataFrame, json: str, key: str) -> DataFrame:
-    """P5: key, path and every string inside a JSON document of any depth, by one recursive query.
+    """P5: key, path and every string inside a JSON document of any depth, level by level.
 
-    A step explodes the objects and arrays of the step before; paths grow by `.name` or `[index]`.  The rows are
-    written, as the limits on recursion hold for the session in which the query runs: it has one of its own.
+    A step explodes the objects and arrays of the level before; paths grow by `.name` or `[index]`.  Strings and what is
+    still to be exploded are written at each level, so a task reads a split of a file, however large the table is.
     """
-    spark, view = df.sparkSession, f"nested_{uuid.uuid4().hex}"
-    df.select(F.col(key).alias("k"), F.expr(f"try_parse_json(`{json}`)").alias("v")).createOrReplaceGlobalTempView(view)
-    own = spark.newSession()
-    for limit in ("Level", "Row"):
-        own.conf.set(f"spark.sql.cteRecursion{limit}Limit", -1)
-    try:
-        found = own.sql(f"""
-            WITH RECURSIVE t(k, path, v) AS (
-              SELECT k, '', v FROM global_temp.{view} WHERE v IS NOT NULL
-              UNION ALL
-              SELECT t.k, t.path || if(e.key IS NULL, '[' || e.pos || ']', if(t.path = '', '', '.') || e.key), e.value FROM t, LATERAL variant_explode(t.v) e
-            )
-            SELECT k AS `{key}`, if(path = '', '$', path) AS path, cast(v AS string) AS string FROM t WHERE schema_of_variant(v) = 'STRING'""")
-        path = scratch_path(spark, "nested")
-        found.write.parquet(path)
-        return spark.read.schema(found.schema).parquet(path)
-    finally:
-        spark.catalog.dropGlobalTempView(view)
+    spark = df.sparkSession
+    out, kept = scratch_path(spark, "nested"), ""
+    kind = F.schema_of_variant("v")
+    level = df.select(F.col(key).alias("k"), F.lit("").alias("path"), F.expr(f"try_parse_json(`{json}`)").alias("v")).filter(F.col("v").isNotNull())
+    found = level.select(F.col("k").alias(key), F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("path"), F.col("v").cast("string").alias("string")).schema
+    while True:
+        strings = level.filter(kind == "STRING").select(F.col("k").alias(key), F.when(F.col("path") == "", "$").otherwise(F.col("path")).alias("path"), F.col("v").cast("string").alias("string"))
+        strings.write.mode("append").parquet(out)
+        inner = scratch_path(spark, "nested-level")
+        level.filter(kind.startswith("OBJECT<") | kind.startswith("ARRAY<")).write.parquet(inner)
+        if kept:  # exploded in full
+            where = spark._jvm.org.apache.hadoop.fs.Path(kept)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        kept = inner
+        left = spark.read.schema(level.schema).parquet(inner)
+        if left.isEmpty():
+            return spark.read.schema(found).parquet(out)
+        level = spark.sql("SELECT t.k, t.path || if(e.key IS NULL, '[' || e.pos || ']', if(t.path = '', '', '.') || e.key) AS path, e.value AS v FROM {t} t, LATERAL variant_explode(t.v) e", t=left)
 
 
 def cjk_report(df: DataFrame, json: str, key: str) -> DataFrame:
