@@ -153,3 +153,15 @@ def test_replacing_lines_is_all_or_nothing(spark, tmp_path):
     os.remove(f"{path}.lock")
     numbered.replace_lines(frame(["5"]), path)
     assert sorted(x for _, x in lines_of(spark, path, 1 << 20)) == ["5"]
+
+
+def test_survey_scoring_deals_more_parts_as_lines_grow(spark, data, monkeypatch):
+    from verdictlake.plans import extras
+
+    want = sorted(map(tuple, extras.survey_scoring(spark, data).collect()), key=repr)
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    monkeypatch.setattr(extras, "_LINES_A_TASK", lines // 16)
+    out = extras.survey_scoring(spark, data)
+    assert "hashpartitioning(l_orderkey#" in out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect()), key=repr) == want

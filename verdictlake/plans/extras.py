@@ -62,15 +62,21 @@ def best_answers(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source", "doc_id", "matches_won", "byes", "candidates")
 
 
+#: Lines that a task of the survey holds at most, but for the unevenness of hashes.
+_LINES_A_TASK = 250_000
+
+
 @query("""WITH a AS (SELECT l_orderkey, o_orderpriority AS survey, l_linenumber AS i, CAST(l_quantity AS BIGINT) % 7 AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 r AS (SELECT DISTINCT l_orderkey, survey FROM a), q AS (SELECT survey, i, CASE WHEN i = 7 THEN '' WHEN i % 2 = 0 THEN 'even' ELSE 'odd' END AS category, (i + length(survey)) % 3 = 0 AS inverted FROM (SELECT DISTINCT survey FROM a), range(1, 8) t(i)),
 e AS (SELECT r.l_orderkey AS respondent, survey, category, CASE WHEN v BETWEEN 1 AND 5 THEN CASE WHEN inverted THEN 6 - v ELSE v END END AS v FROM r JOIN q USING (survey) LEFT JOIN (SELECT l_orderkey, i, max(v) AS v FROM a GROUP BY 1, 2) x ON x.l_orderkey = r.l_orderkey AND x.i = q.i)
 SELECT respondent, survey, category, count(*) AS items, count(v) AS answered, CASE WHEN count(v) > 0 AND count(*) - count(v) <= 0.5 * count(*) THEN round(avg(v), 6) END AS score FROM e GROUP BY 1, 2, 3""")
 def survey_scoring(spark: SparkSession, d: str) -> DataFrame:
     """Section 2.15: orders as respondents, their priorities as surveys, lines as answers; some lie off the scale, some are missing."""
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_quantity").cast("long") % 7).alias("v"))
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // _LINES_A_TASK)  # a task's memory stays as tables grow
+    li = lines.select("l_orderkey", "l_linenumber", "l_quantity").repartition(n, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_quantity").cast("long") % 7).alias("v"))
     given = li.groupBy(F.col("l_orderkey").alias("respondent")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("i"), F.col("l_linenumber").cast("string")), "v"))).alias("answers"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("respondent"), F.col("o_orderpriority").alias("survey"))
+    orders = orders.select(F.col("o_orderkey").alias("respondent"), F.col("o_orderpriority").alias("survey")).repartition(n, "respondent")
     item = lambda i: F.struct(F.concat(F.lit("i"), i.cast("string")).alias("id"), F.when(i == 7, F.lit(None)).when(i % 2 == 0, "even").otherwise("odd").alias("category"), ((i + F.length("survey")) % 3 == 0).alias("inversion"))
     made = orders.select("survey").distinct().select(F.col("survey").alias("name"), F.struct(F.lit(1).alias("min"), F.lit(5).alias("max")).alias("scale"), F.transform(F.sequence(F.lit(1), F.lit(7)), item).alias("items"))
     return surveys.survey_scores(given.join(orders, "respondent"), made).withColumn("score", F.round("score", 6))
