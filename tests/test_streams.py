@@ -125,3 +125,35 @@ def test_runs_with_null_times_and_keys(spark, tmp_path):
     runs.writeStream.outputMode("update").foreachBatch(lambda rows, n: rows.withColumn("b", F.lit(n)).write.parquet(f"{sink}/{n}")).option("checkpointLocation", kept).trigger(availableNow=True).start().awaitTermination()
     got = spark.read.option("recursiveFileLookup", "true").parquet(sink).collect()
     assert {(r.b, r.model, r.n, r.longest) for r in got} == {(0, None, 2, 2), (0, "x", 2, 1), (1, None, 1, 3), (1, "x", 1, 1)}
+
+
+def test_a_work_list_keeps_state_by_part_not_by_key(spark, tmp_path):
+    """Thousands of keys, large numbers and nulls among them: few groups, and what a plain fold over the rows tells."""
+    folder, sink, kept = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "model string, question long, share double, kind string, ts timestamp, value string"
+    key = lambda i: (None if i % 7 == 0 else f"m{i % 7}", None if i % 501 == 0 else (1 << 60) + i, float("nan") if i % 5 == 0 else None if i % 5 == 1 else i / 3)
+    first = [(*key(i), "response", at(i % 1000), ("success", "moderation", "provider_error")[i % 3]) for i in range(4000)]
+    first += [(*key(i), "analysis", at((i * 7) % 1000), "COMPLETE" if i % 2 else "ERROR_ORIGINAL_RESPONSE") for i in range(0, 4000, 3)]
+    second = [(*key(i), "analysis", at(1001), "COMPLETE" if i % 3 else "ERROR_ORIGINAL_RESPONSE") for i in range(0, 4000, 2)]
+    for n, rows in enumerate((first, second)):
+        drop(spark, folder, rows, schema, n)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    write = lambda rows, n: rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{sink}/batch_id={n}")
+    query = state.stateful_work_list(stream, ["model", "question", "share"], fits).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", kept).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 1024
+    told, newest, want = {}, {}, []
+    for n, rows in enumerate((first, second)):
+        for *k, kind, ts, value in rows:
+            k = tuple(map(str, k))
+            newest.setdefault(k, {})[kind] = max((ts, value), newest.setdefault(k, {}).get(kind, ("", "")))
+        for k in {tuple(map(str, r[:3])) for r in rows}:
+            response, analysis = newest[k].get("response"), newest[k].get("analysis")
+            why = "missing" if analysis is None else "stale" if response[0] > analysis[0] else "" if fits(response[1], analysis[1]) else "unfit"
+            now = (response[0], why)
+            if now != told.get(k) and (why or k in told):
+                told[k] = now
+                want.append((n, *k, *now))
+    got = spark.read.option("recursiveFileLookup", "true").parquet(sink).collect()
+    assert len(want) > 4000
+    assert sorted((r.batch, str(r.model), str(r.question), str(r.share), str(r.response_ts), r.reason) for r in got) == sorted(want)

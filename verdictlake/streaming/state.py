@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import threading
 from collections.abc import Callable, Iterator
 
@@ -14,6 +16,8 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Parts that a work list's keys are dealt to.
+PARTS = 1 << 10
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,13 +44,24 @@ def _plain(column: pd.Series) -> list:
     return column.astype(object).where(column.notna(), None).tolist()
 
 
-def stateful_work_list(stream: DataFrame, keys: list[str], fits: Callable[[str, str], bool], *, late: str = "", grace_ms: int = 0) -> DataFrame:
+def _as_text(key: str, kind: T.DataType) -> Column:
+    """A key as pandas keeps it whole beside nulls: numbers and dates as their text, which casts back to them."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (F.col(key) + F.lit(0.0)).cast("string").alias(key)
+    return F.col(key).cast("string").alias(key) if isinstance(kind, (T.NumericType, T.BooleanType, T.DateType)) else F.col(key)
+
+
+def stateful_work_list(stream: DataFrame, keys: list[str], fits: Callable[[str, str], bool], *, late: str = "", grace_ms: int = 0, parts: int = PARTS) -> DataFrame:
     """Section 2.12: keys, response_ts and reason ('missing', 'stale', 'unfit', '' when settled) as work becomes due.
 
-    `stream` has the keys, kind ('response' or 'analysis'), ts and value: a response's status or an analysis's label.
-    State is the newest response and analysis and what was told last for each key, whatever the number of rows; a key's
-    rows of a micro-batch may come in any order.  With a grace, `late` is the watermark, and a response without a
-    fitting analysis is due only when the watermark has passed its time by that much.
+    `stream` has the keys (of atomic types), kind ('response' or 'analysis'), ts and value: a response's status or an
+    analysis's label.  State is the newest response and analysis and what was told last for each key, whatever the number
+    of rows; a key's rows of a micro-batch may come in any order.  With a grace, `late` is the watermark, and a response
+    without a fitting analysis is due only when the watermark has passed its time by that much.
+
+    Keys are dealt to `parts` parts by hash.  A part is one group to Spark: a micro-batch makes a call, and writes a state,
+    for each part that it touches, not for each key, and a part's keys are held in memory meanwhile.  The number belongs to
+    the checkpoint.
     """
 
     def reason(response: tuple, analysis: tuple | None) -> str:
@@ -56,41 +71,50 @@ def stateful_work_list(stream: DataFrame, keys: list[str], fits: Callable[[str,
             return "stale"
         return "" if fits(response[1], analysis[1]) else "unfit"
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        newest: dict[str, tuple | None] = {"response": None, "analysis": None}
-        before, timer = None, None
-        if kept.exists:
-            r_us, r_value, r_there, a_us, a_value, a_there, told_us, told_reason, timer = kept.get
-            newest["response"] = (r_us, r_value) if r_there else None
-            newest["analysis"] = (a_us, a_value) if a_there else None
-            before = None if told_reason is None else (told_us, told_reason)
-        expired = kept.hasTimedOut
-        if not expired:
+    def step(_: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        # by key: newest response, newest analysis, what was told, and the time from which a response is due
+        known: dict[tuple, list] = pickle.loads(kept.get[0]) if kept.exists else {}
+        touched = {}
+        if not kept.hasTimedOut:
             for frame in frames:
-                for kind, us, value in zip(_plain(frame["kind"]), _plain(frame["us"]), _plain(frame["value"]), strict=True):
-                    row = (None if us is None else int(us), value)
-                    if _newer(row, newest[kind]):
-                        newest[kind] = row
-                        if grace_ms and kind == "response":
-                            timer = row[0] // 1000 + grace_ms
-            expired = timer is not None and timer <= kept.getCurrentWatermarkMs()
-        response, analysis = newest["response"], newest["analysis"]
-        timer = None if expired else timer
-        if response is not None and (expired or not grace_ms or before):
-            now = (response[0], reason(response, analysis))
-            if now != before and (now[1] or before):
-                before = now
-                yield pd.DataFrame({**{k: pd.Series([v], dtype=object) for k, v in zip(keys, key, strict=True)}, "response_us": pd.Series([now[0]], dtype=object), "reason": [now[1]]})
-        kept.update((*(response or (None, None)), response is not None, *(analysis or (None, None)), analysis is not None, *(before or (None, None)), timer))
-        if timer is not None:
-            kept.setTimeoutTimestamp(timer)
-
-    result = T.StructType([*[stream.schema[k] for k in keys], T.StructField("response_us", T.LongType()), T.StructField("reason", T.StringType())])
-    known = "r_us long, r_value string, r_there boolean, a_us long, a_value string, a_there boolean, told_us long, told_reason string, timer long"
+                for *key, kind, us, value in zip(*(_plain(frame[c]) for c in (*keys, "kind", "us", "value")), strict=True):
+                    key = tuple(key)
+                    one = touched[key] = known.setdefault(key, [None, None, None, None])
+                    row = (None if us is None else int(us), value if value is None else sys.intern(value))
+                    at = 0 if kind == "response" else 1
+                    if _newer(row, one[at]):
+                        one[at] = row
+                        if grace_ms and not at:
+                            one[3] = row[0] // 1000 + grace_ms
+        expired = set()
+        if grace_ms:
+            mark = kept.getCurrentWatermarkMs()
+            expired = {key for key, one in known.items() if one[3] is not None and one[3] <= mark}
+        told = []
+        for key in (*touched, *(expired - touched.keys())):
+            one = known[key]
+            response, analysis, before, _ = one
+            if key in expired:
+                one[3] = None
+            if response is not None and (key in expired or not grace_ms or before):
+                now = (response[0], reason(response, analysis))
+                if now != before and (now[1] or before):
+                    one[2] = now
+                    told.append((*key, *now))
+        if told:
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip((*keys, "response_us", "reason"), zip(*told, strict=True), strict=True)})
+        kept.update((pickle.dumps(known, pickle.HIGHEST_PROTOCOL),))
+        timers = [one[3] for one in known.values() if one[3] is not None]
+        if timers:
+            kept.setTimeoutTimestamp(min(timers))
+
+    kinds = {k: stream.schema[k].dataType for k in keys}
     source = stream.withWatermark("ts", late) if grace_ms else stream
-    grouped = source.select(*keys, "kind", "ts", F.unix_micros("ts").alias("us"), "value").groupBy(*keys)
-    told = grouped.applyInPandasWithState(step, result, known, "append" if grace_ms else "update", GroupStateTimeout.EventTimeTimeout if grace_ms else GroupStateTimeout.NoTimeout)
-    return told.select(*keys, F.timestamp_micros("response_us").alias("response_ts"), "reason")
+    rows = source.select(*[_as_text(k, t) for k, t in kinds.items()], "kind", *["ts"] * bool(grace_ms), F.unix_micros("ts").alias("us"), "value")
+    grouped = rows.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts))).groupBy("_part")
+    result = T.StructType([*[T.StructField(k, rows.schema[k].dataType) for k in keys], T.StructField("response_us", T.LongType()), T.StructField("reason", T.StringType())])
+    told = grouped.applyInPandasWithState(step, result, "known binary", "append" if grace_ms else "update", GroupStateTimeout.EventTimeTimeout if grace_ms else GroupStateTimeout.NoTimeout)
+    return told.select(*[F.col(k).cast(t).alias(k) for k, t in kinds.items()], F.timestamp_micros("response_us").alias("response_ts"), "reason")
 
 
 def work_now(told: DataFrame, keys: list[str], order: Column) -> DataFrame:
